@@ -133,7 +133,8 @@ def _slots(sources: DataFrame, shard_slots: int, seed: int, partitions: int) ->
 def taken(m: Mix, keys: list[str]) -> DataFrame:
     """A row for each document and copy: the words that the mix takes of it, and the first shard that has any."""
     used = m.slots.groupBy("rank", "block").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
-    j = m.pieces.join(used, ["rank", "block"], "left")
+    # what is unfolded from a small table is estimated as small; it must not be broadcast
+    j = m.pieces.hint("merge").join(used.hint("merge"), ["rank", "block"], "left")
     words = F.coalesce(F.sum((F.col("word_to") - F.col("word_from")) * F.col("times")), F.lit(0)).cast("long")
     return j.groupBy(*keys, "source", "size", "copy").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), words.alias("taken"), F.min("shard").alias("first_shard"))
 
@@ -141,7 +142,7 @@ def taken(m: Mix, keys: list[str]) -> DataFrame:
 def spans(m: Mix, keys: list[str]) -> DataFrame:
     """The mix as runs of words: a row for each document, copy, pass and longest run of its neighboring blocks
     that this pass takes (word_from, word_to)."""
-    j = m.pieces.join(m.slots.select("rank", "block", "pass"), ["rank", "block"])
+    j = m.pieces.hint("merge").join(m.slots.select("rank", "block", "pass").hint("merge"), ["rank", "block"])
     each = [*keys, "source", "size", "copy", "pass"]
     j = j.withColumn("run", F.col("block") - F.row_number().over(W.partitionBy(*each).orderBy("block")))
     return j.groupBy(*each, "run").agg(F.min("word_from").alias("word_from"), F.max("word_to").alias("word_to"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .chat import op3_chat_format
 from .mixing import op1_mix_sources
+from .urls import ORACLE as URL_ORACLE
+from .urls import op6_url_filter
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_chat_format": op3_chat_format,
+    "op6_url_filter": op6_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": URL_ORACLE}
