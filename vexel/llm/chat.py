@@ -46,7 +46,7 @@ def unescaped(text: Column) -> Column:
 
 
 def _opening(role: Column) -> Column:
-    c = F.concat(F.lit(_OTHER[0]), escaped(F.replace(role, F.lit("]"), F.lit("\\3"))), F.lit(_OTHER[1]))
+    c = F.concat(F.lit(_OTHER[0]), F.replace(escaped(role), F.lit("]"), F.lit("\\3")), F.lit(_OTHER[1]))
     for name, (a, _) in MARKS.items():
         c = F.when(role == name, F.lit(a)).otherwise(c)
     return c

@@ -172,7 +172,7 @@ class CachedEncoder:
     vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut.
     A text that contains the string of a special token is encoded whole. most: chunks remembered."""
 
-    def __init__(self, path: str, keep_spaces: bool, most: int = 600_000):
+    def __init__(self, path: str, keep_spaces: bool, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -223,17 +223,30 @@ class CachedEncoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts after another, offsets of the texts in them); null is empty."""
+    def _which(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all chunks after another, chunks of each text)."""
         if len(self.numbers) > self.most:
             self._clear()
-        parts, counts = [], np.zeros(len(texts), np.int64)
+        which: list[int] = []
+        counts = np.zeros(len(texts), np.int64)
+        number = self.numbers.__getitem__
         for i, t in enumerate(texts):
-            c = list(map(self.numbers.__getitem__, self.chunks(t))) if t else []
-            counts[i] = len(c)
-            parts.append(np.array(c, np.int64))
+            if t:
+                c = self.chunks(t)
+                counts[i] = len(c)
+                which.extend(map(number, c))
         self._learn()
-        which = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return np.array(which, np.int64), counts
+
+    def count(self, texts: list[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        which, counts = self._which(texts)
+        sums = np.concatenate([[0], np.cumsum(self.bounds[which + 1] - self.bounds[which])])
+        return np.diff(sums[np.concatenate([[0], np.cumsum(counts)])])
+
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts after another, offsets of the texts in them); null is empty."""
+        which, counts = self._which(texts)
         begin, size = self.bounds[which], self.bounds[which + 1] - self.bounds[which]
         sums = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(begin - sums[:-1], size) + np.arange(sums[-1])]

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from .chat import op3_chat_format
+from .fingerprint import op5_fingerprint
 from .mixing import op1_mix_sources
+from .packing import op2_pack
+from .tokenfile import op9_token_file
 from .urls import ORACLE as URL_ORACLE
 from .urls import op6_url_filter
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pack": op2_pack,
     "op3_chat_format": op3_chat_format,
+    "op5_fingerprint": op5_fingerprint,
     "op6_url_filter": op6_url_filter,
+    "op9_token_file": op9_token_file,
 }
 
 ORACLES: dict[str, str] = {"op6_url_filter": URL_ORACLE}
