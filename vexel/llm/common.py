@@ -80,6 +80,9 @@ def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII signs but letters and digits.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[128:] = NOT_LETTERS[48:58] = NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -107,13 +110,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a batch of texts, found and hashed for all rows at once.
 
-    first[i] : first[i + 1] are the words of row i; start and end are their places in data."""
+    first[i] : first[i + 1] are the words of row i; start and end are their places in data. space: the bytes that
+    part words (ASCII white space, or NOT_LETTERS)."""
 
-    def __init__(self, col: pa.Array, lower: bool = True):
+    def __init__(self, col: pa.Array, lower: bool = True, space: np.ndarray = _SPACE):
         raw, off = raw_bytes(col)
         self.data = _LOWER[raw] if lower else raw
         n = len(raw)
-        word = ~_SPACE[raw]
+        word = ~space[raw]
         # a word also ends where its row ends
         begins = word.copy()
         begins[1:] &= ~word[:-1]

@@ -6,7 +6,10 @@ from .chat import op3_chat_format
 from .fingerprint import op5_fingerprint
 from .mixing import op1_mix_sources
 from .packing import op2_pack
+from .rollup import op8_token_counts
 from .tokenfile import op9_token_file
+from .topk import op4_top_k
+from .toxicity import op10_toxicity
 from .urls import ORACLE as URL_ORACLE
 from .urls import op6_url_filter
 
@@ -14,9 +17,12 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack": op2_pack,
     "op3_chat_format": op3_chat_format,
+    "op4_top_k": op4_top_k,
     "op5_fingerprint": op5_fingerprint,
     "op6_url_filter": op6_url_filter,
+    "op8_token_counts": op8_token_counts,
     "op9_token_file": op9_token_file,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op6_url_filter": URL_ORACLE}
