@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op3_chat_format
 from .fingerprint import op5_fingerprint
 from .mixing import op1_mix_sources
+from .near_dup import op7_near_duplicates
 from .packing import op2_pack
 from .rollup import op8_token_counts
 from .tokenfile import op9_token_file
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_top_k": op4_top_k,
     "op5_fingerprint": op5_fingerprint,
     "op6_url_filter": op6_url_filter,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_token_file": op9_token_file,
     "op10_toxicity": op10_toxicity,
