@@ -156,13 +156,29 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keys = ["doc_id", "text_hash"]
     narrow = written(keyed.select(*keys, "source", n_words(text_or_empty()).alias("size")), "mix-words")
     runs = spans(mix(narrow, keys, **options), keys)
+    # a document's runs are as many as its blocks at most, three times
+    part = F.struct("pass", "word_from", "word_to")
+    runs = runs.groupBy(*keys, "source", "size", "copy").agg(F.sort_array(F.collect_list(part)).alias("runs"))
     texts = keyed.dropDuplicates(["doc_id", "text_hash", "source"])
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.text_hash") == F.col("t.text_hash")) & F.col("r.source").eqNullSafe(F.col("t.source"))
     j = runs.alias("r").join(texts.alias("t"), same)
-    whole = (F.col("word_from") == 0) & (F.col("word_to") == F.col("size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("t.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), (F.col("word_from") + 1).cast("int"), (F.col("word_to") - F.col("word_from")).cast("int")), "")
-    text = F.when(whole, F.col("t.text")).otherwise(cut)
-    return j.select(F.col("t.doc_id").alias("doc_id"), text.alias("text"), F.col("t.lang").alias("lang"), F.col("t.source").alias("source")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+    def whole(run: Column) -> Column:
+        return (run["word_from"] == 0) & (run["word_to"] == F.col("size"))
+
+    words = F.when(F.exists("runs", lambda r: ~whole(r)), F.regexp_extract_all("t.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
+
+    def cut(word_list: Column) -> Column:
+        def one(run: Column) -> Column:
+            own = F.slice(word_list, (run["word_from"] + 1).cast("int"), (run["word_to"] - run["word_from"]).cast("int"))
+            return F.when(whole(run), F.col("t.text")).otherwise(F.array_join(own, ""))
+
+        return F.transform("runs", one)
+
+    # bound to a variable, the words are found once a document, not once a run
+    parts = F.flatten(F.transform(F.array(words), cut))
+    j = j.select(F.col("t.doc_id").alias("doc_id"), F.explode(parts).alias("text"), F.col("t.lang").alias("lang"), F.col("t.source").alias("source"))
+    return j.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
