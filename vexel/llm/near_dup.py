@@ -8,11 +8,11 @@ of a bounded number are finished within a task, which branches them on down to l
 signatures exhaustively; larger nodes are branched on as tables, level by level. Nodes that are still too large after
 all levels are compared in blocks of two parts, so none is cut short.
 
-A leaf doesn't name all its pairs. Documents whose signatures may reach the threshold form clusters, and the leaf names
-a spanning forest of each, by greatest estimate, and its members. Named pairs are confirmed on the full sets; links
-join components. Where a cluster falls into several components, all its pairs that may reach the threshold and lie
-across components are confirmed in a second round, so that no pair of a cluster is left open. Trees are as many
-as the target recall needs; the signature's filter lies 4.5 standard deviations below the threshold.
+A leaf names no pairs. Documents whose signatures may reach the threshold form its clusters, and each different cluster
+is confirmed once: a task takes the full sets of its members, counts all intersections as products of blocks of their
+incidence matrix, and names each member's least linked one. So what is emitted grows with the members, not with
+their pairs, and every pair of a cluster is compared on full sets. Links join components. Trees are as many as the
+target recall needs; the signature's filter lies 4.5 standard deviations below the threshold.
 
 Nulls and the like: a null or empty text has an empty set and is linked with nothing, nor is a null doc_id (its
 component is null, and it is kept); a text with fewer words than a shingle is one shingle; rows that share a
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Words, mix, slices, table, text_or_empty, written
@@ -36,7 +37,7 @@ THRESHOLD = 80
 TOKENS = 96
 RECALL = 0.999999
 #: The most documents of a node that one task finishes, and of a leaf.
-NODE_ROWS, LEAF_ROWS = 20_000, 1024
+NODE_ROWS, LEAF_ROWS = 20_000, 4096
 #: Nodes up to this size are compared once, however many trees find them.
 LISTED = 64
 LEVELS = 12
@@ -148,94 +149,130 @@ def _likely(threshold: float) -> int:
     return int(np.floor(TOKENS * threshold - 4.5 * np.sqrt(TOKENS * threshold * (1 - threshold))))
 
 
-def _forest(ids: np.ndarray, sig: np.ndarray, least: int) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
-    """For each cluster of two or more: its spanning tree by greatest estimate, and its members."""
-    n = len(ids)
-    best, via = np.full(n, -1), np.zeros(n, np.int64)
-    free = np.ones(n, bool)
-    edges: list[tuple[int, int]] = []
-    members: list[int] = []
-    for _ in range(n):
-        v = int(np.argmax(np.where(free, best, -2)))
-        if best[v] < least:
-            if len(members) > 1:
-                yield edges, members
-            edges, members = [], []
-            best[:] = -1
-        else:
-            edges.append((int(ids[via[v]]), int(ids[v])))
-        members.append(int(ids[v]))
-        free[v] = False
-        same = (sig == sig[v]).sum(1)
-        closer = free & (same > best)
-        best[closer], via[closer] = same[closer], v
-    if len(members) > 1:
-        yield edges, members
-
-
-def _branch(ids: np.ndarray, sig: np.ndarray, key: int, least: int, depth: int = 0) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
-    if len(ids) <= LEAF_ROWS or depth >= LEVELS:
-        yield from _forest(ids, sig, least)
-        return
-    rng = np.random.default_rng([key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF, depth])
+def _clusters(ids: np.ndarray, sig: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """Ids that are connected by pairs of signatures with enough equal tokens, two or more."""
+    while len(ids) > 1:
+        members, open_ = [ids[:1]], [sig[0]]
+        ids, sig = ids[1:], sig[1:]
+        while open_ and len(ids):
+            near = (sig == open_.pop()).sum(1) >= least
+            if near.any():
+                members.append(ids[near])
+                open_ += list(sig[near])
+                ids, sig = ids[~near], sig[~near]
+        if len(members) > 1:
+            yield np.concatenate(members)
+
+
+def _branch(ids: np.ndarray, sig: np.ndarray, key: int, least: int, threshold: float, depth: int = 0) -> Iterator[np.ndarray]:
     # positions at which all tokens agree wouldn't part the node
-    parts = np.flatnonzero((sig != sig[0]).any(0))
+    parts = np.flatnonzero((sig != sig[0]).any(0)) if len(ids) > LEAF_ROWS and depth < LEVELS else ()
     if not len(parts):
-        yield from _forest(ids, sig, least)
+        yield from _clusters(ids, sig, least)
         return
-    own = parts[rng.random(len(parts)) < 3 / len(parts)]
+    rng = np.random.default_rng([key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF, depth])
+    own = parts[rng.random(len(parts)) < 1 / (threshold * len(parts))]
     for p in own if len(own) else [rng.choice(parts)]:
         order = np.argsort(sig[:, p], kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order, p])) + 1
         for rows in np.split(order, cuts):
             if len(rows) > 1:
-                yield from _branch(ids[rows], sig[rows], key * 31 + int(sig[rows[0], p]) + int(p), least, depth + 1)
+                yield from _branch(ids[rows], sig[rows], key * 31 + int(sig[rows[0], p]) + int(p), least, threshold, depth + 1)
 
 
 def _finisher(threshold: float):
-    """Nodes to rows (kind, a, b): 0 a named pair, 1 a cluster and a member of it."""
+    """Nodes (node, id, signature) to clusters (cluster, id), a cluster named by its members."""
     least = _likely(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
-        seen: set[int] = set()
+        names, members, held, seen = [], [], 0, set()
         for key, (ids, sig) in _groups(batches):
-            if len(ids) == 2:
-                if (sig[0] == sig[1]).sum() >= least:
-                    out.append((0, int(ids[0]), int(ids[1])))
-                continue
-            for edges, members in _branch(ids, sig, key, least):
-                out += [(0, min(e), max(e)) for e in edges]
-                if len(members) > 2:
-                    name = int.from_bytes(hashlib.blake2b(np.sort(np.array(members)).tobytes(), digest_size=8).digest(), "little", signed=True)
-                    if name not in seen:
-                        seen.add(name)
-                        out += [(1, name, m) for m in members]
-            if len(out) > 50_000:
-                yield _triples(out)
-                out = []
-        if out:
-            yield _triples(out)
+            for own in _branch(ids, sig, key, least, threshold) if len(ids) > 2 else [ids] * int((sig[0] == sig[1]).sum() >= least):
+                own = np.sort(own)
+                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if name not in seen:
+                    seen.add(name)
+                    names.append(np.full(len(own), name, np.int64))
+                    members.append(own)
+                    held += len(own)
+            if held > 50_000:
+                yield _columns(("cluster", "id"), names, members)
+                names, members, held = [], [], 0
+        if held:
+            yield _columns(("cluster", "id"), names, members)
 
     return run
 
 
-def _triples(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    a = np.array(rows, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a[:, 0].astype(np.int32)), pa.array(a[:, 1]), pa.array(a[:, 2])], names=["kind", "a", "b"])
+def _columns(names: tuple[str, ...], *parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p), pa.int64()) for p in parts], names=list(names))
+
+
+#: Bytes of an incidence block, and rows of an intersection block.
+_BLOCK_BYTES, _BLOCK_ROWS = 64 << 20, 1024
+
+
+def _linked(sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """For each of the sets, the number of the first one that it reaches by links; all pairs are compared."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([0, 0 if both and 100 * both >= threshold * (sizes.sum() - both) else 1])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what a single set holds is in no intersection
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(n), sizes)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width, total = max(64, _BLOCK_BYTES // (4 * n)), int(column[-1]) + 1 if len(column) else 0
+    links = np.zeros((n, -(-n // 8)), np.uint8)
+    for a in range(0, n, _BLOCK_ROWS):
+        both = np.zeros((min(_BLOCK_ROWS, n - a), n), np.float32)
+        for c in range(0, total, width):
+            low, high = np.searchsorted(column, [c, c + width])
+            m = np.zeros((n, min(width, total - c)), np.float32)
+            m[row[low:high], column[low:high] - c] = 1
+            both += m[a : a + _BLOCK_ROWS] @ m.T
+        shared = both.astype(np.int64)
+        ok = (shared > 0) & (100 * shared >= threshold * (sizes[a : a + _BLOCK_ROWS, None] + sizes[None, :] - shared))
+        links[a : a + _BLOCK_ROWS] = np.packbits(ok, axis=1)
+    first, free = np.arange(n), np.ones(n, bool)
+    for v in range(n):
+        if free[v]:
+            free[v], open_ = False, [v]
+            while open_:
+                near = np.flatnonzero(np.unpackbits(links[open_.pop()], count=n).astype(bool) & free)
+                first[near], free[near] = v, False
+                open_ += near.tolist()
+    return first
+
+
+def _confirmer(k: int, threshold: int):
+    """Clusters (cluster, id, text), sorted, to links (a, b): a is the least id that b reaches within the cluster."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
 
-def _crosser(threshold: float):
-    """Clusters with components (cluster, id, component, signature) to all pairs across components that may link."""
-    least = _likely(threshold)
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                own = np.array(ids, np.int64)
+                order = np.argsort(own, kind="stable")
+                first = _linked([sets[i] for i in order], threshold)
+                a, b = own[order][first], own[order]
+                if (a != b).any():
+                    yield _columns(("a", "b"), [a[a != b]], [b[a != b]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (ids, comp, sig) in _groups(batches):
-            for i in range(len(ids) - 1):
-                j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-                j = j[(sig[j] == sig[i]).sum(1) >= least]
-                if len(j):
-                    yield _triples([(0, min(int(ids[i]), int(ids[x])), max(int(ids[i]), int(ids[x]))) for x in j])
+        for batch in batches:
+            for s in slices(batch, 2, 2 << 20):
+                sh, off, _, _ = shingles(s.column(2), k)
+                for i, (c, d) in enumerate(zip(s.column(0).to_pylist(), s.column(1).to_pylist())):
+                    if c != key:
+                        yield from links()
+                        key, ids, sets = c, [], []
+                    ids.append(d)
+                    sets.append(np.unique(sh[off[i] : off[i + 1]]))
+        yield from links()
 
     return run
 
@@ -273,46 +310,26 @@ def _sorted_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.repartition(n, key).sortWithinPartitions(key, columns[0]).select(key, *columns)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets are alike enough. texts: id, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in slices(batch, 2, 2 << 20):
-                left, right = ([np.unique(sh[a:b]) for a, b in zip(off, off[1:])] for sh, off, _, _ in (shingles(s.column(2), k), shingles(s.column(3), k)))
-                ok = []
-                for x, y in zip(left, right):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    j = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return j.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) to id, component (the smallest id reachable), for all linked ids: stars to greater and to smaller
-    neighbors in turn, until the edges stay the same."""
-
-    def stars(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return both.join(least, "a")
+    neighbors in turn, until the edges, each from an id to a smaller one, stay the same."""
 
     def settled(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges, before = written(links.select("a", "b").where("a != b").distinct(), "edges"), None
+    def least(side: str):
+        return F.min(side).over(W.partitionBy("a"))
+
+    edges, before = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), None
     while True:
-        large = stars(edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.withColumn("m", F.least("a", least("b"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # each edge leads from its greater end; that end's least neighbor takes all
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        small = large.withColumn("m", least("b")).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
         now = settled(edges)
         if now == before:
-            return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.col("m").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now
 
 
@@ -329,25 +346,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, rec
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
-    joined = rows.hint("merge").join(reps, "id")
-    out = written(_sorted_by(joined, "node", "id", "signature").mapInArrow(_finisher(s), "kind int, a long, b long"), "pairs")
-    pairs = written(out.where("kind = 0").select("a", "b").where("a != b").distinct(), "named")
-    clusters = out.where("kind = 1").select(F.col("a").alias("cluster"), F.col("b").alias("id")).distinct()
-
-    ids = out.select(F.col("b").alias("id")).unionByName(out.where("kind = 0").select(F.col("a").alias("id"))).distinct()
-    texts = written(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi"), "texts")
-    links = written(confirmed(pairs, texts, k, threshold), "links")
+    joined = _sorted_by(rows.hint("merge").join(reps, "id"), "node", "id", "signature")
+    clusters = written(joined.mapInArrow(_finisher(s), "cluster long, id long"), "clusters").distinct()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
+    full = _sorted_by(clusters.hint("merge").join(texts.hint("merge"), "id"), "cluster", "id", "text")
+    links = written(full.mapInArrow(_confirmer(k, threshold), "a long, b long"), "links")
     comp = written(components(links), "components")
 
-    inside = clusters.join(comp, "id", "left").select("cluster", "id", F.coalesce("component", "id").alias("component"))
-    split = inside.groupBy("cluster").agg((F.max("component") != F.min("component")).alias("split")).where("split").select("cluster")
-    open_ = inside.join(split, "cluster").join(reps, "id")
-    across = _sorted_by(open_, "cluster", "id", "component", "signature").mapInArrow(_crosser(s), "kind int, a long, b long")
-    more = written(across.select("a", "b").where("a != b").distinct().join(pairs, ["a", "b"], "left_anti"), "across")
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(more, texts, k, threshold))
-        comp = written(components(links), "components")
-
     member = classes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
     each = drawn.select("doc_id", "digest", "n_shingles").join(member, "digest", "left")
     # an id with several texts is one document: its component is the least that any of them reaches
