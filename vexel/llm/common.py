@@ -49,7 +49,7 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose binary or string column holds about most_bytes at most (one row at least)."""
     n = batch.num_rows
     if not n:
@@ -176,7 +176,7 @@ class CachedEncoder:
     vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut.
     A text that contains the string of a special token is encoded whole. most: chunks remembered."""
 
-    def __init__(self, path: str, keep_spaces: bool, most: int = 1_000_000):
+    def __init__(self, path: str, keep_spaces: bool, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -82,7 +82,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch, 1, 2 << 20):
+            for s in slices(batch, 1):
                 sh, off, w, h = shingles(s.column(1), k)
                 full = np.flatnonzero(np.diff(off) > 0)
                 sig = np.zeros((len(full), TOKENS), "<u4")
@@ -264,7 +264,7 @@ def _confirmer(k: int, threshold: int):
                     yield _columns(("a", "b"), [a[a != b]], [b[a != b]])
 
         for batch in batches:
-            for s in slices(batch, 2, 2 << 20):
+            for s in slices(batch, 2):
                 sh, off, _, _ = shingles(s.column(2), k)
                 for i, (c, d) in enumerate(zip(s.column(0).to_pylist(), s.column(1).to_pylist())):
                     if c != key:
