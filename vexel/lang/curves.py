@@ -43,7 +43,7 @@ def factor(x: Column, base: float, low: float, high: float) -> Column:
     return (F.pow(F.lit(base), x - low) - 1) / (math.pow(base, span) - 1)
 
 
-def bezier(x: Column, x1: float, y1: float, x2: float, y2: float, rounds: int = 40) -> Column:
+def bezier(x: Column, x1: float, y1: float, x2: float, y2: float, rounds: int = 30) -> Column:
     """The height of the curve through (0, 0), (x1, y1), (x2, y2), (1, 1) at x: x is monotonous in the curve's parameter,
     which is found by halving."""
 

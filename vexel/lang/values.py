@@ -112,6 +112,10 @@ def asserted(v: Val, kind: str) -> Val:
     """v as a kind; an error where it is not of it, null included."""
     if v.const is not ABSENT and v.kind != kind and v.kind != "value":
         raise ExpressionError(f"Expected {kind} but found {v.kind} instead.")
+    if v.kind == "null":
+        # a property that no row has: an error for each row, not for the expression
+        n = narrowed(v, kind)
+        return replace(n, ok=F.lit(False))
     if v.kind not in (kind, "value"):
         raise ExpressionError(f"Expected {kind} but found {v.kind} instead.")
     if v.const is not ABSENT:

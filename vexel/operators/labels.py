@@ -102,8 +102,8 @@ def merged_lines(lines: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", ignore_index=True)
-        got = merge_lines([(t, list(zip(xs, ys))) for t, xs, ys in zip(pdf["text"], pdf.xs, pdf.ys)])
-        rows = [(pdf.tile[i], pdf.layer[i], int(pdf.ord[i]), pdf["text"][i], [p[0] for p in pts], [p[1] for p in pts]) for i, pts in got]
+        got = merge_lines([(t, list(zip(xs, ys))) for t, xs, ys in zip(pdf["text"], pdf["xs"], pdf["ys"])])
+        rows = [(pdf["tile"][i], pdf["layer"][i], int(pdf["ord"][i]), pdf["text"][i], [p[0] for p in pts], [p[1] for p in pts]) for i, pts in got]
         return pd.DataFrame(rows, columns=["tile", "layer", "ord", "text", "xs", "ys"])
 
     return lines.groupBy("tile", "layer").applyInPandas(run, lines.select("tile", "layer", "ord", "text", "xs", "ys").schema)

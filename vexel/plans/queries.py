@@ -173,7 +173,7 @@ _MATH = {
     "neg": (["-", "x"], f"-{_X}"),
     "mul": (["*", "x", "y"], f"{_X} * {_Y}"),
     "div": (["/", "x", "y"], f"CASE WHEN {_Y} <> 0 THEN {_X} / {_Y} WHEN {_X} = 0 THEN {_NAN} WHEN {_X} > 0 THEN {_INF} ELSE -{_INF} END"),
-    "mod": (["%", "x", "y"], f"CASE WHEN {_Y} <> 0 THEN fmod({_X}, {_Y}) ELSE {_NAN} END"),
+    "mod": (["%", "x", "y"], f"CASE WHEN {_Y} <> 0 THEN {_X} - {_Y} * trunc({_X} / {_Y}) ELSE {_NAN} END"),
     "pow": (["^", "y", 3], f"pow({_Y}, 3)"),
     "min": (["min", "x", "y", 4], f"least({_X}, {_Y}, 4)"),
     "max": (["max", "x", "y", -4], f"greatest({_X}, {_Y}, -4)"),
@@ -203,10 +203,10 @@ def _named(x):
 
 for _name, (_json, _sql) in _MATH.items():
 
-    @query(f"expr_math_{_name}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 9)::DOUBLE AS v FROM lineitem")
+    @query(f"expr_math_{_name}", f"SELECT l_orderkey, l_linenumber, round({_sql}, 9)::DOUBLE + 0 AS v FROM lineitem")
     def _run(spark, sf, x=_named(_json)):
         df = apply_expressions(table(spark, sf, "lineitem"), _LINE, {"v": x})
-        return df.withColumn("v", F.when(F.isnan("v") | (F.abs("v") == float("inf")), F.col("v")).otherwise(F.round("v", 9)))
+        return df.withColumn("v", F.when(F.isnan("v") | (F.abs("v") == float("inf")), F.col("v")).otherwise(F.round("v", 9) + 0.0))
 
 
 # -- legacy functions
@@ -274,7 +274,7 @@ def tile_url(spark, sf):
     return tile_assign(spark, sf).select("c_custkey", expand("https://t/{z}/{x}/{y}?q={foo}", 9, F.col("x"), F.col("y"), scheme="tms").alias("url"))
 
 
-@query("tile_cover_box", "SELECT 5::INT AS z, x::INT AS x, y::INT AS y FROM (SELECT unnest([30, 31, 0, 1]) AS x), (SELECT unnest(range(13, 20)) AS y)")
+@query("tile_cover_box", "SELECT 5::INT AS z, x::INT AS x, y::INT AS y FROM (SELECT unnest([30, 31, 0, 1]) AS x), (SELECT unnest(range(13, 19)) AS y)")
 def tile_cover_box(spark, sf):
     return projection.box_cover(spark, 160.0, -30.0, -160.0, 30.0, 5)
 
