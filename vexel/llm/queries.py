@@ -5,10 +5,12 @@ from __future__ import annotations
 from .chat import op3_chat_format
 from .fingerprint import op5_fingerprint
 from .mixing import op1_mix_sources
+from .near_dup import ORACLE as NEAR_DUP_ORACLE
 from .near_dup import op7_near_duplicates
 from .packing import op2_pack
 from .rollup import op8_token_counts
 from .tokenfile import op9_token_file
+from .topk import ORACLE as TOP_K_ORACLE
 from .topk import op4_top_k
 from .toxicity import op10_toxicity
 from .urls import ORACLE as URL_ORACLE
@@ -27,4 +29,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filter": URL_ORACLE}
+ORACLES: dict[str, str] = {"op4_top_k": TOP_K_ORACLE, "op6_url_filter": URL_ORACLE, "op7_near_duplicates": NEAR_DUP_ORACLE}
