@@ -52,12 +52,12 @@ class Lists:
         self.ids, self.v = ids[by_id], vectors[by_id]
         self.order = np.argsort(self.v, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.v, self.order.T, 0).T.astype(np.float64)
-        self.largest = float(np.abs(self.v).max(initial=0))
+        self.largest = float(np.abs(self.v.astype(np.float64)).max(initial=0))
 
     def best(self, query_id: int, q: np.ndarray, k: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The k best (-score, id) of known and this block's candidates but query_id itself."""
         n, d = self.v.shape
-        if float(np.abs(q).max(initial=0)) * self.largest * max(d, 1) >= _EXACT:
+        if float(np.abs(q.astype(np.float64)).max(initial=0)) * self.largest * max(d, 1) >= _EXACT:
             scores = (self.v.astype(object) * q.astype(object)[None, :]).sum(1)
             most = (1 << 63) - 1
             found = [(-max(-most, min(most, int(s))), int(i)) for s, i in zip(scores, self.ids)]
