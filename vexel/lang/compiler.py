@@ -196,7 +196,7 @@ class Compiler:
             return to_color([v])
         if v.kind in ("number", "color") or v.kind == "array" and v.item == "number":
             return v
-        if v.kind == "value":
+        if v.kind == "value" or v.kind == "null" and v.const is ABSENT:
             return asserted(v, "number")
         raise ExpressionError(f"Type {v.kind} is not interpolatable.")
 
@@ -221,7 +221,9 @@ class Compiler:
                 x, y = narrowed(a, "string").col, narrowed(b, "string").col
                 same = F.when(x.isNotNull() & y.isNotNull(), F.collate(x, collation.const) == F.collate(y, collation.const)).otherwise(same)
             return self._result("boolean", same if name == "==" else ~same, a, b)
-        known = sides - {"value"}
+        if any(v.kind == "null" and v.const is not ABSENT for v in (a, b)):
+            raise ExpressionError(f"\"{name}\" can't order null.")
+        known = sides - {"value", "null"}
         if len(known) > 1 or known - {"string", "number"}:
             raise ExpressionError(f"\"{name}\" can't compare {a.kind} and {b.kind}.")
         op = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}[name]
@@ -363,7 +365,7 @@ class Compiler:
     def assertion(self, name, args):
         self._count(name, args, 1)
         vals = [self.compile(a) for a in args]
-        fits = [v.kind == name or v.kind == "value" for v in vals]
+        fits = [v.kind in (name, "value") or v.kind == "null" and v.const is ABSENT for v in vals]
         if not any(fits):
             raise ExpressionError(f"Expected {name} but found {vals[0].kind} instead.")
         if len(vals) == 1:
@@ -393,11 +395,12 @@ class Compiler:
                 ok = ok & (F.size(a.col) == int(size))
             col = a.col
             if item is not None and a.item != item:
-                if a.item not in (None, "value"):
-                    ok = F.lit(False)
                 sql = {"number": "double", "string": "string", "boolean": "boolean"}[item]
-                ok = ok & F.coalesce(F.forall(a.col, lambda e: narrowed(Val("value", e), item).col.isNotNull()), F.lit(False))
-                col = F.transform(a.col, lambda e: F.try_variant_get(e, "$", sql)) if a.item in (None, "value") else F.lit(None).cast(f"array<{sql}>")
+                if a.item in (None, "value"):
+                    ok = ok & F.coalesce(F.forall(a.col, lambda e: narrowed(Val("value", e), item).col.isNotNull()), F.lit(False))
+                    col = F.transform(a.col, lambda e: F.try_variant_get(e, "$", sql))
+                else:
+                    ok, col = F.lit(False), F.lit(None).cast(f"array<{sql}>")
             typed.append(Val("array", F.when(F.coalesce(ok, F.lit(False)), col), v.ok, item=item or a.item).with_deps(v))
         v = self._ladder([t.col.isNotNull() for t in typed[:-1]], typed, [t.ok for t in typed[:-1]]) if len(typed) > 1 else typed[0]
         return replace(v, ok=all_ok(v.ok, v.col.isNotNull()))
