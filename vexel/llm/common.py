@@ -152,19 +152,23 @@ class Words:
 #: White space as the Unicode property has it.
 _WS = " \t-\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_ODD = re.compile(f"[{_WS}] (?:[{_WS}]|$)")
+#: What a text must not hold for its spaces to be cuts: a space before other white space or the end, or white space
+#: beyond ASCII.
+_BEFORE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
+_BEYOND = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class _Numbers(dict):
-    """Numbers for chunks of text in order of first use."""
+    """Numbers for chunks of text in order of first use, shared by the dicts of one encoder. lead stands before each
+    key in the text."""
 
-    def __init__(self):
+    def __init__(self, learned: list[str], lead: str = ""):
         super().__init__()
-        self.new: list[str] = []
+        self.learned, self.lead = learned, lead
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.new.append(key)
+        self[key] = n = len(self.learned)
+        self.learned.append(self.lead + key)
         return n
 
 
@@ -174,7 +178,8 @@ class CachedEncoder:
     A text is cut only where its ids cannot depend on what stands across the cut. keep_spaces: the vocabulary
     keeps white space (byte-level): cuts stand before a space, never inside a run of white space that the
     vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut.
-    A text that contains the string of a special token is encoded whole. most: chunks remembered."""
+    A text that contains the string of a special token is encoded whole. most: chunks remembered; when they are more, the
+    later half is forgotten, as common chunks come early."""
 
     def __init__(self, path: str, keep_spaces: bool, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -188,21 +193,29 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.learned: list[str] = []
+        self.numbers, self.spaced = _Numbers(self.learned), _Numbers(self.learned, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        keep = self.most // 2
+        del self.learned[keep:]
+        for d in (self.numbers, self.spaced):
+            for key in [k for k, n in d.items() if n >= keep]:
+                del d[key]
+        self.bounds = self.bounds[: keep + 1].copy()
+
     def _learn(self) -> None:
-        new = self.numbers.new
+        new = self.learned[len(self.bounds) - 1 :]
         if not new:
             return
         ids, lengths = self._encoded(new)
         at = int(self.bounds[-1])
         if at + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:at], np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            self.flat = np.concatenate([self.flat[:at], np.zeros(max(len(self.flat) // 2, len(ids)), np.uint32)])
         self.flat[at : at + len(ids)] = ids
         self.bounds = np.concatenate([self.bounds, at + np.cumsum(lengths)])
-        self.numbers.new = []
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, their counts). Chunks go through the library in long texts, with a special token
@@ -217,30 +230,31 @@ class CachedEncoder:
         marks = np.flatnonzero(ids == mark_id)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def chunks(self, text: str) -> list[str]:
+    def _chunks(self, text: str, which: list[int]) -> None:
+        """Adds the numbers of a text's chunks to a list."""
         if self.special and "<|" in text and self.special.search(text):
-            return [text]
-        if not self.keep:
-            return text.split(" ")
-        if _ODD.search(text):
-            return _CHUNK.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            which.append(self.numbers[text])
+        elif not self.keep:
+            which.extend(map(self.numbers.__getitem__, text.split(" ")))
+        elif any(x in text for x in _BEFORE) or text.endswith(" ") or any(x in text for x in _BEYOND):
+            which.extend(map(self.numbers.__getitem__, _CHUNK.findall(text)))
+        else:
+            first, *rest = text.split(" ")
+            which.append(self.numbers[first])
+            which.extend(map(self.spaced.__getitem__, rest))
 
     def _which(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all chunks after another, chunks of each text)."""
-        if len(self.numbers) > self.most:
-            self._clear()
+        if len(self.learned) > self.most:
+            self._forget()
         which: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        number = self.numbers.__getitem__
+        ends = np.zeros(len(texts) + 1, np.int64)
         for i, t in enumerate(texts):
             if t:
-                c = self.chunks(t)
-                counts[i] = len(c)
-                which.extend(map(number, c))
+                self._chunks(t, which)
+            ends[i + 1] = len(which)
         self._learn()
-        return np.array(which, np.int64), counts
+        return np.array(which, np.int64), np.diff(ends)
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         """How many ids each text has."""
