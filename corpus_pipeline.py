@@ -32,7 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(pack(docs, vocabulary("byte_bpe_50k.json")))
+    # the stages before leave less memory to the workers than a query of its own has
+    return digests(pack(docs, vocabulary("byte_bpe_50k.json"), remembered=300_000))
 
 
 STAGES = [

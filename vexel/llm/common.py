@@ -149,6 +149,8 @@ class Words:
             return mix((sums[end] - sums[self.start]) * inverse[self.start])
 
 
+#: Chunks that a tokenizer remembers: about 200 bytes each, in each Python worker.
+REMEMBERED = 1_500_000
 #: White space as the Unicode property has it.
 _WS = " \t-\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -158,17 +160,26 @@ _BEFORE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 _BEYOND = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+class _Pending:
+    """Chunks that have a number but no ids yet, and how many have numbers."""
+
+    def __init__(self):
+        self.count, self.chunks = 0, []
+
+
 class _Numbers(dict):
     """Numbers for chunks of text in order of first use, shared by the dicts of one encoder. lead stands before each
     key in the text."""
 
-    def __init__(self, learned: list[str], lead: str = ""):
+    def __init__(self, pending: _Pending, lead: str = ""):
         super().__init__()
-        self.learned, self.lead = learned, lead
+        self.pending, self.lead = pending, lead
 
     def __missing__(self, key: str) -> int:
-        self[key] = n = len(self.learned)
-        self.learned.append(self.lead + key)
+        p = self.pending
+        self[key] = n = p.count
+        p.count += 1
+        p.chunks.append(self.lead + key)
         return n
 
 
@@ -181,7 +192,7 @@ class CachedEncoder:
     A text that contains the string of a special token is encoded whole. most: chunks remembered; when they are more, the
     later half is forgotten, as common chunks come early."""
 
-    def __init__(self, path: str, keep_spaces: bool, most: int = 700_000):
+    def __init__(self, path: str, keep_spaces: bool, most: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -193,21 +204,21 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.learned: list[str] = []
-        self.numbers, self.spaced = _Numbers(self.learned), _Numbers(self.learned, " ")
+        self.pending = _Pending()
+        self.numbers, self.spaced = _Numbers(self.pending), _Numbers(self.pending, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
     def _forget(self) -> None:
         keep = self.most // 2
-        del self.learned[keep:]
+        self.pending.count = keep
         for d in (self.numbers, self.spaced):
             for key in [k for k, n in d.items() if n >= keep]:
                 del d[key]
         self.bounds = self.bounds[: keep + 1].copy()
 
     def _learn(self) -> None:
-        new = self.learned[len(self.bounds) - 1 :]
+        new, self.pending.chunks = self.pending.chunks, []
         if not new:
             return
         ids, lengths = self._encoded(new)
@@ -245,7 +256,7 @@ class CachedEncoder:
 
     def _which(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all chunks after another, chunks of each text)."""
-        if len(self.learned) > self.most:
+        if self.pending.count > self.most:
             self._forget()
         which: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
@@ -278,12 +289,13 @@ class CachedEncoder:
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 
-def encoder(path: str, keep_spaces: bool) -> CachedEncoder:
+def encoder(path: str, keep_spaces: bool, most: int) -> CachedEncoder:
     """This worker's encoder: the file is read and chunks are remembered once a process."""
-    if (path, keep_spaces) not in _ENCODERS:
+    key = (path, keep_spaces, most)
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, keep_spaces] = CachedEncoder(path, keep_spaces)
-    return _ENCODERS[path, keep_spaces]
+        _ENCODERS[key] = CachedEncoder(path, keep_spaces, most)
+    return _ENCODERS[key]
 
 
 def text_or_empty(name: str = "text"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, scratch_dir, slices, table, text_or_empty, written
+from .common import REMEMBERED, encoder, scratch_dir, slices, table, text_or_empty, written
 from .mixing import n_words
 from .packing import vocabulary
 
@@ -103,7 +103,7 @@ def token_counts(docs: DataFrame, path: str, keep_spaces: bool = True) -> DataFr
     rest = [c for c in docs.columns if c not in ("text", "n_tokens")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, keep_spaces)
+        e = encoder(path, keep_spaces, REMEMBERED // 2)
         for batch in batches:
             for s in slices(batch, len(rest)):
                 n = e.count(s.column(len(rest)).to_pylist())

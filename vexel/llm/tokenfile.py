@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, scratch_dir, slices, table, text_or_empty
+from .common import REMEMBERED, encoder, scratch_dir, slices, table, text_or_empty
 from .packing import END_ID, vocabulary
 
 #: Fixed values of the seekable format.
@@ -145,7 +145,7 @@ def write_files(docs: DataFrame, folder: str, path: str, keep_spaces: bool, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, e = TaskContext.get(), encoder(path, keep_spaces)
+        context, e = TaskContext.get(), encoder(path, keep_spaces, REMEMBERED)
         part = context.partitionId()
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
