@@ -218,14 +218,13 @@ def build(rows: DataFrame) -> DataFrame:
     """Canonical rows (z, x, y, source_layer, feature_index, id, geom_type, geom, props_json) to tiles (z, x, y, data): a
     tile's features are gathered in one task, as the format holds them together."""
 
-    def run(key, pdf):
-        import pandas as pd
-
+    def run(table: pa.Table) -> pa.Table:
         layers: dict[str, dict] = {}
-        for r in pdf.sort_values(["source_layer", "feature_index"]).to_dict("records"):
+        rows = table.to_pylist()
+        for r in sorted(rows, key=lambda r: (r["source_layer"], r["feature_index"])):
             parts = [[(p["x"], p["y"]) for p in ring] for part in r["geom"] for ring in part]
-            fid = None if pd.isna(r["id"]) else int(r["id"])
-            layers.setdefault(r["source_layer"], {"name": r["source_layer"], "features": []})["features"].append({"id": fid, "type": r["geom_type"], "geom": parts, "props": json.loads(r["props_json"])})
-        return pd.DataFrame([[*key, encode(list(layers.values()))]], columns=["z", "x", "y", "data"])
+            layers.setdefault(r["source_layer"], {"name": r["source_layer"], "features": []})["features"].append({"id": r["id"], "type": r["geom_type"], "geom": parts, "props": json.loads(r["props_json"])})
+        own = [[rows[0][c]] for c in ("z", "x", "y")] + [[encode(list(layers.values()))]]
+        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(own, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["z", "x", "y", "data"])
 
-    return rows.groupBy("z", "x", "y").applyInPandas(run, "z int, x int, y int, data binary")
+    return rows.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, data binary")
