@@ -150,7 +150,7 @@ class Words:
 
 
 #: Chunks that a tokenizer remembers: about 200 bytes each, in each Python worker.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: White space as the Unicode property has it.
 _WS = " \t-\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, encoder, scratch_dir, slices, table, text_or_empty
+from .common import encoder, scratch_dir, slices, table, text_or_empty
 from .packing import END_ID, vocabulary
 
 #: Fixed values of the seekable format.
@@ -138,14 +138,18 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_files(docs: DataFrame, folder: str, path: str, keep_spaces: bool, end_id: int = END_ID) -> list[tuple]:
+#: Chunks that a worker's tokenizer remembers; the writer holds little else.
+REMEMBERED = 1_500_000
+
+
+def write_files(docs: DataFrame, folder: str, path: str, keep_spaces: bool, end_id: int = END_ID, remembered: int = REMEMBERED) -> list[tuple]:
     """Encodes docs (doc_id, text) and writes them to files in the folder, a URI that all executors reach. Returns a
     row a file: part, file, n_docs, n_tokens, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, e = TaskContext.get(), encoder(path, keep_spaces, REMEMBERED)
+        context, e = TaskContext.get(), encoder(path, keep_spaces, remembered)
         part = context.partitionId()
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
