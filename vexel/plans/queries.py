@@ -291,7 +291,7 @@ def _tile_set(spark, sf, z: int, where: str) -> DataFrame:
 
 
 _SET = lambda z, w: f"SELECT DISTINCT {z}::INT AS z, {_tile_sql(z)[0]} AS x, {_tile_sql(z)[1]} AS y FROM {_PLACES} WHERE {w}"
-_BEFORE, _NOW = "c_custkey % 3 <> 0", "c_custkey % 3 <> 1"
+_BEFORE, _NOW = "c_acctbal < 7000", "c_acctbal > 2000"
 
 
 @query("cover_diff", f"WITH b AS ({_SET(4, _BEFORE)}), n AS ({_SET(4, _NOW)}) SELECT 'entered' AS change, * FROM (SELECT * FROM n EXCEPT SELECT * FROM b) UNION ALL SELECT 'left', * FROM (SELECT * FROM b EXCEPT SELECT * FROM n)")
@@ -302,13 +302,13 @@ def cover_diff(spark, sf):
 
 @query("tile_substitution")
 def tile_substitution(spark, sf):
-    loaded = _tile_set(spark, sf, 5, "c_custkey % 2 = 0").unionByName(_tile_set(spark, sf, 4, "c_custkey % 5 = 0")).unionByName(_tile_set(spark, sf, 1, "true"))
+    loaded = _tile_set(spark, sf, 5, "c_acctbal > 3000").unionByName(_tile_set(spark, sf, 4, "c_acctbal < 0")).unionByName(_tile_set(spark, sf, 1, "true"))
     return tiles.substituted(_tile_set(spark, sf, 4, "true"), loaded)
 
 
 @query("tile_masks")
 def tile_masks(spark, sf):
-    return tiles.masks(_tile_set(spark, sf, 2, "true").unionByName(_tile_set(spark, sf, 4, "c_custkey % 7 = 0")))
+    return tiles.masks(_tile_set(spark, sf, 2, "true").unionByName(_tile_set(spark, sf, 4, "c_acctbal < 0")))
 
 
 @query("tile_refined", f"WITH t AS ({_SET(3, 'true')}) SELECT 4::INT AS z, (x * 2 + i)::INT AS x, (y * 2 + j)::INT AS y FROM t, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)")
@@ -326,11 +326,11 @@ def join_box_range(spark, sf):
     return joins.box_join(places(spark, sf).select("c_custkey", "lon", "lat"), boxes, 12.0, "lon", "lat").select("c_custkey", "s_suppkey")
 
 
-_VEC = "(SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+_VEC = "(SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
 
 
 def _vectors(spark, sf, p: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias(f"{p}_id"), F.col("embedding")[0].cast("double").alias(f"{p}x"), F.col("embedding")[1].cast("double").alias(f"{p}y"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias(f"{p}_id"), F.col("embedding")[0].cast("double").alias(f"{p}x"), F.col("embedding")[1].cast("double").alias(f"{p}y"), F.col("label").alias(f"{p}_label"))
 
 
 @query("join_radius", f"SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM {_VEC} a JOIN {_VEC} b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02 * 0.02 AND a.vec_id < b.vec_id")
@@ -357,9 +357,9 @@ def join_region_anti(spark, sf):
     return places(spark, sf).where(~point_in(F.col("lon"), F.col("lat"), edge_array(_REGION))).select("c_custkey")
 
 
-@query("join_radius_anti", f"SELECT a.vec_id AS a_id FROM {_VEC} a WHERE NOT EXISTS (SELECT 1 FROM {_VEC} b WHERE b.vec_id % 2 = 1 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01 * 0.01)")
+@query("join_radius_anti", f"SELECT a.vec_id AS a_id FROM {_VEC} a WHERE NOT EXISTS (SELECT 1 FROM {_VEC} b WHERE b.label > 4 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.01 * 0.01)")
 def join_radius_anti(spark, sf):
-    return joins.radius_join(_vectors(spark, sf, "a"), _vectors(spark, sf, "b").where("b_id % 2 = 1"), 0.01, "ax", "ay", "bx", "by", "left_anti").select("a_id")
+    return joins.radius_join(_vectors(spark, sf, "a"), _vectors(spark, sf, "b").where("b_label > 4").drop("b_label"), 0.01, "ax", "ay", "bx", "by", "left_anti").select("a_id")
 
 
 @query("asof_stops", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= 40 THEN 'c' WHEN l_quantity >= 15 THEN 'b' WHEN l_quantity >= 5 THEN 'a' END AS v FROM lineitem")
@@ -407,9 +407,9 @@ def cluster_children(spark, sf):
     return levels.where("parent_id <> 0").groupBy("z", "parent_id").agg(F.count("*").alias("children"), F.sum("n").alias("points"))
 
 
-@query("cluster_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN o_orderkey::VARCHAR ELSE NULL END AS v FROM orders WHERE o_orderkey < 1000")
+@query("cluster_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN o_orderkey::VARCHAR WHEN o_orderkey < 10000 THEN printf('%.1fk', round_even(o_orderkey / 1000.0, 1)) ELSE printf('%.0fk', round_even(o_orderkey / 1000.0, 0)) END AS v FROM orders")
 def cluster_abbreviated(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey < 1000").select("o_orderkey", cluster.abbreviated(F.col("o_orderkey")).alias("v"))
+    return table(spark, sf, "orders").select("o_orderkey", cluster.abbreviated(F.col("o_orderkey")).alias("v"))
 
 
 @query("pyramid_minmax", " UNION ALL ".join(f"SELECT {k}::INT AS level, (x >> {k})::INT AS cx, (y >> {k})::INT AS cy, min(c_acctbal) AS low, max(c_acctbal) AS high FROM (SELECT c_acctbal, {_tile_sql(5)[0]} AS x, {_tile_sql(5)[1]} AS y FROM {_PLACES}) GROUP BY 1, 2, 3" for k in range(4)))
@@ -452,9 +452,9 @@ def lru_running_sum(spark, sf):
     return catalog.evicted(r, 20000).select(F.col("accessed").alias("event_id"), "running")
 
 
-@query("query_dedupe_order", "SELECT event_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events) WHERE user_id % 10 = 0 OR n = 1")
+@query("query_dedupe_order", "SELECT event_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events) WHERE event_type = 'view' OR n = 1")
 def query_dedupe_order(spark, sf):
-    e = table(spark, sf, "events").withColumn("name", F.when(F.col("user_id") % 10 != 0, F.col("user_id")))
+    e = table(spark, sf, "events").withColumn("name", F.when(F.col("event_type") != "view", F.col("user_id")))
     return ordered.deduplicated(e, ["event_type"], "name", [F.col("event_id")]).select("event_id")
 
 
@@ -508,17 +508,18 @@ def fades(spark, sf):
     return state.fades(e)
 
 
-@query("frame_changes", "WITH b AS (SELECT c_custkey AS k, c_mktsegment AS c FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE c_mktsegment END AS c FROM customer WHERE c_custkey % 3 <> 1) SELECT coalesce(b.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'released' WHEN b.k IS NULL THEN 'announced' WHEN b.c <> n.c THEN 'changed' ELSE 'kept' END AS change FROM b FULL JOIN n ON b.k = n.k")
+@query("frame_changes", "WITH b AS (SELECT c_custkey AS k, c_mktsegment AS c FROM customer WHERE c_acctbal < 7000), n AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN 'X' ELSE c_mktsegment END AS c FROM customer WHERE c_acctbal > 2000) SELECT coalesce(b.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'released' WHEN b.k IS NULL THEN 'announced' WHEN b.c <> n.c THEN 'changed' ELSE 'kept' END AS change FROM b FULL JOIN n ON b.k = n.k")
 def frame_changes(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("c"))
-    return state.frame_changes(c.where("k % 3 <> 0"), c.where("k % 3 <> 1").withColumn("c", F.when(F.col("k") % 5 == 0, "X").otherwise(F.col("c"))), ["k"], "c")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("c"), "c_acctbal")
+    now = c.where("c_acctbal > 2000").withColumn("c", F.when(F.col("c_acctbal") > 5000, "X").otherwise(F.col("c")))
+    return state.frame_changes(c.where("c_acctbal < 7000"), now, ["k"], "c")
 
 
-@query("stable_ids", "WITH p AS (SELECT c_custkey AS k, (c_custkey * 2)::BIGINT AS id FROM customer WHERE c_custkey % 2 = 0), t AS (SELECT max(id) AS top FROM p), n AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) SELECT n.k, coalesce(p.id, (SELECT top FROM t) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY n.k))::BIGINT AS id FROM n LEFT JOIN p ON n.k = p.k")
+@query("stable_ids", "WITH p AS (SELECT c_custkey AS k, (c_custkey * 2)::BIGINT AS id FROM customer WHERE c_acctbal < 6000), t AS (SELECT max(id) AS top FROM p), n AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 1000) SELECT n.k, coalesce(p.id, (SELECT top FROM t) + row_number() OVER (PARTITION BY p.id IS NULL ORDER BY n.k))::BIGINT AS id FROM n LEFT JOIN p ON n.k = p.k")
 def stable_ids(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    prior = c.where("k % 2 = 0").select("k", (F.col("k") * 2).alias("id"))
-    return state.stable_ids(c.where("k % 3 = 0"), prior, ["k"])
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    prior = c.where("c_acctbal < 6000").select("k", (F.col("k") * 2).alias("id"))
+    return state.stable_ids(c.where("c_acctbal > 1000").select("k"), prior, ["k"])
 
 
 # -- the catalog
@@ -545,10 +546,10 @@ def catalog_pins(spark, sf):
     return catalog.pinned(responses, claims).select("url", "bytes", "pins")
 
 
-@query("catalog_upsert", f"SELECT url, bytes FROM {_RESPONSES} WHERE url::BIGINT % 4 <> 0 UNION ALL SELECT o_orderkey::VARCHAR, 1::BIGINT FROM orders WHERE o_orderkey % 4 = 0")
+@query("catalog_upsert", f"SELECT r.url, r.bytes FROM {_RESPONSES} r JOIN orders o ON r.url = o.o_orderkey::VARCHAR WHERE o_orderpriority <> '1-URGENT' UNION ALL SELECT o_orderkey::VARCHAR, 1::BIGINT FROM orders WHERE o_orderpriority = '1-URGENT'")
 def catalog_upsert(spark, sf):
     _, responses = _catalog(spark, sf)
-    new = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").cast("string").alias("url"), F.lit(1).cast("long").alias("bytes"))
+    new = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("url"), F.lit(1).cast("long").alias("bytes"))
     return catalog.upserted(responses, new, ["url"])
 
 
@@ -560,10 +561,10 @@ def catalog_region_delete(spark, sf):
     return catalog.pinned(responses, left).select("url", "pins")
 
 
-@query("catalog_prune", f"SELECT region_id, url FROM {_CLAIMS} WHERE region_id <> 2 OR url::BIGINT % 5 = 0")
+@query("catalog_prune", f"SELECT region_id, url FROM {_CLAIMS} WHERE region_id <> 2 OR url IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_totalprice > 100000)")
 def catalog_prune(spark, sf):
     claims, _ = _catalog(spark, sf)
-    keep = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("url"))
+    keep = table(spark, sf, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").cast("string").alias("url"))
     return catalog.pruned(claims, 2, keep)
 
 
@@ -609,7 +610,7 @@ def placement(spark, sf):
 
 @query("merged_lines")
 def merged_lines(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    li = table(spark, sf, "lineitem")
     a, b = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
     lines = li.select((F.col("l_orderkey") % 20).alias("tile"), F.lit("roads").alias("layer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("text"), F.array(a, b).cast("array<double>").alias("xs"), F.array(b, a).cast("array<double>").alias("ys"))
     return labels.merged_lines(lines).select("tile", "layer", "ord", "text", F.size("xs").alias("points"))
