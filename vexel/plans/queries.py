@@ -161,7 +161,7 @@ _expression(
     {"r": ["at", 0, ["to-rgba", ["rgba", ["get", "l_quantity"], 0, 0, 0.5]]], "s": ["to-string", ["rgb", ["get", "l_quantity"], 1, 2]]},
     {"r": "l_quantity / 255 * 255", "s": "'rgba(' || round(l_quantity / 255 * 255)::INT || ',1,2,1)'"},
 )
-_expression("expr_number_format", "part", ["p_partkey"], {"v": ["number-format", ["get", "p_retailprice"], {"locale": "en-US", "min-fraction-digits": 2, "max-fraction-digits": 2}]}, None)
+_expression("expr_number_format", "part", ["p_partkey"], {"v": ["number-format", ["get", "p_retailprice"], {"locale": "en-US", "min-fraction-digits": 2, "max-fraction-digits": 2}]}, {"v": "format('{:,.2f}', p_retailprice)"})
 _expression("expr_error_default", "lineitem", _LINE, {"v": ["case", [">", ["get", "l_quantity"], 25], ["+", ["get", "l_returnflag_number"], 1], 7]}, {"v": "CASE WHEN l_quantity > 25 THEN NULL ELSE 7 END::DOUBLE"})
 
 #: Arguments with zero and negative values among them, and what each function gives for them.
@@ -264,7 +264,17 @@ def tile_quadkey(spark, sf):
     return tile_assign(spark, sf).select("c_custkey", projection.quadkey(9, F.col("x"), F.col("y")).alias("quadkey"))
 
 
-@query("tile_hilbert_id")
+def _hilbert_sql() -> str:
+    sql = f"SELECT c_custkey, x, y, 0::BIGINT AS d FROM (SELECT c_custkey, {_tile_sql(9)[0]} AS x, {_tile_sql(9)[1]} AS y FROM {_PLACES})"
+    for k in reversed(range(9)):
+        n = 1 << k
+        turned = f"CASE WHEN rx = 1 AND ry = 0 THEN {n - 1} - (%s & {n - 1}) ELSE %s & {n - 1} END"
+        x, y = (turned.replace("%s", c) for c in "xy")
+        sql = f"SELECT c_custkey, CASE WHEN ry = 0 THEN {y} ELSE {x} END AS x, CASE WHEN ry = 0 THEN {x} ELSE {y} END AS y, d + {n * n} * xor(3 * rx, ry) AS d FROM (SELECT *, x >> {k} & 1 AS rx, y >> {k} & 1 AS ry FROM ({sql}))"
+    return f"SELECT c_custkey, (d + {((1 << 18) - 1) // 3})::BIGINT AS tile_id FROM ({sql})"
+
+
+@query("tile_hilbert_id", _hilbert_sql())
 def tile_hilbert(spark, sf):
     return tile_assign(spark, sf).select("c_custkey", projection.tile_id(9, F.col("x"), F.col("y")).alias("tile_id"))
 
@@ -478,10 +488,12 @@ def _log(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     kind = F.when(F.col("l_linenumber") == 1, "announce").when((F.col("l_linenumber") == 6) & (F.col("l_returnflag") == "A"), "retire").when(F.col("l_linestatus") == "O", "use").otherwise("release")
-    return li.select(seq.alias("seq"), kind.alias("kind"), (F.col("l_partkey") % 500).alias("geometry"), (F.col("l_suppkey") % 4).alias("view"), F.col("l_shipdate").cast("date").cast("string").alias("payload")).dropDuplicates(["seq"])
+    return li.select(seq.alias("seq"), kind.alias("kind"), (F.col("l_partkey") % 500).alias("geometry"), (F.col("l_suppkey") % 4).alias("view"), F.col("l_shipdate").cast("date").cast("string").alias("payload")).groupBy("seq").agg(F.min(F.struct("kind", "geometry", "view", "payload")).alias("r")).select("seq", "r.*")
 
 
-_LOG = "SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'announce' WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'retire' WHEN l_linestatus = 'O' THEN 'use' ELSE 'release' END AS kind, l_partkey % 500 AS geometry, l_suppkey % 4 AS view, l_shipdate::DATE::VARCHAR AS payload FROM lineitem"
+# rows that share a number count once: the least one
+_LOG = "SELECT DISTINCT ON (seq) * FROM (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'announce' WHEN l_linenumber = 6 AND l_returnflag = 'A' THEN 'retire' WHEN l_linestatus = 'O' THEN 'use' ELSE 'release' END AS kind, l_partkey % 500 AS geometry, l_suppkey % 4 AS view, l_shipdate::DATE::VARCHAR AS payload FROM lineitem) ORDER BY seq, kind, geometry, view, payload"
+_LIVE = f"l AS ({_LOG}), r AS (SELECT geometry, max(seq) AS ended FROM l WHERE kind = 'retire' GROUP BY geometry), v AS (SELECT l.* FROM l LEFT JOIN r ON l.geometry = r.geometry WHERE r.ended IS NULL OR l.seq > r.ended)"
 
 
 @query("latest_wins", "SELECT user_id, max(event_id) AS seq, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -590,7 +602,7 @@ def clip_rings(spark, sf):
     return c.where(F.size("rings") > 0).select("c_custkey", geometry.signed_area(F.col("rings")[0]).alias("area")).where("area > 0")
 
 
-@query("label_point")
+@query("label_point", f"SELECT c_custkey, lon AS x, lat AS y FROM {_PLACES}")
 def label_point(spark, sf):
     p = geometry.label_point_column(F.array("ring"), 0.1)
     return _shapes(spark, sf).select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"))
@@ -652,12 +664,15 @@ def box_query_geojson(spark, sf):
     return box_query.as_geojson(box_query.query(_drawn(spark, sf), 10, 5, 30, 20), ["kind"])
 
 
-@query("announce_use_join")
+@query(
+    "announce_use_join",
+    f"WITH {_LIVE}, a AS (SELECT geometry, arg_max(payload, seq) AS payload FROM v WHERE kind = 'announce' GROUP BY geometry), u AS (SELECT geometry, view, max(seq) AS use_seq FROM v WHERE kind IN ('use', 'release') GROUP BY geometry, view HAVING arg_max(kind, seq) = 'use') SELECT u.geometry, u.view, u.use_seq, a.payload FROM u JOIN a ON u.geometry = a.geometry",
+)
 def announce_use_join(spark, sf):
     return state.joined(_log(spark, sf))
 
 
-@query("release_retire", f"WITH l AS (SELECT DISTINCT ON (seq) * FROM ({_LOG})), r AS (SELECT geometry, max(seq) AS ended FROM l WHERE kind = 'retire' GROUP BY geometry) SELECT l.geometry, count(*) AS live FROM l LEFT JOIN r ON l.geometry = r.geometry WHERE r.ended IS NULL OR l.seq > r.ended GROUP BY l.geometry")
+@query("release_retire", f"WITH {_LIVE} SELECT geometry, count(*) AS live FROM v GROUP BY geometry")
 def release_retire(spark, sf):
     log = _log(spark, sf)
     ended = log.where("kind = 'retire'").groupBy("geometry").agg(F.max("seq").alias("ended"))
