@@ -97,3 +97,52 @@ def test_sizes_lights_and_fades(spark):
     with pytest.raises(Exception):
         extras.light({"position": [1]})
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_world_copies_reach(spark):
+    from vexel.spatial.joins import reaches
+
+    rows = [(1, 170.0, 190.0), (2, -10.0, 10.0)]
+    df = spark.createDataFrame(rows, "i int, low double, high double")
+    at = lambda x, wrap: {r.i for r in df.where(reaches(F.col("low"), F.col("high"), 2, x, wrap)).collect()}
+    assert at(0, 1) == {1} and at(3, 0) == {1} and at(1, 0) == {2} and at(2, 0) == {2} and at(0, 0) == set()
+
+
+def test_elevation_of_places(spark):
+    from vexel.sources import dem
+
+    px = [(0, 0, 0, i, j, float(i)) for i in range(-1, 5) for j in range(-1, 5)]
+    pixels = spark.createDataFrame(px, "z int, x int, y int, px int, py int, h double")
+    got = dem.elevations(spark.createDataFrame([(0.0, 0.0), (90.0, 0.0)], "lon double, lat double"), pixels, 0, 4).orderBy("lon").collect()
+    assert [round(r.h, 9) for r in got] == [1.5, 2.5]
+    cells = spark.createDataFrame([(x, y, float(x), float(x + y)) for x in range(8) for y in range(8)], "cx int, cy int, low double, high double")
+    r = dem.range_over_box(dem.pyramid(cells, 3), 3, 3, 4, 4).first()
+    assert (r.low, r.high) == (3.0, 8.0)
+    r = dem.range_over_box(dem.pyramid(cells, 3), 1, 1, 5, 2).first()
+    assert r.low <= 1.0 and r.high >= 7.0
+    m = spark.range(1).select(dem.invisible_relief(10, F.lit(0.0), 1.0, 1.0).alias("a"), dem.invisible_relief(11, F.lit(0.0), 1.0, 1.0).alias("b")).first()
+    assert m.a == pytest.approx(2 * m.b)
+
+
+def test_collision_shapes(spark):
+    from vexel.operators import labels
+
+    e = {"top": F.lit(-1.0), "bottom": F.lit(1.0), "left": F.lit(-4.0), "right": F.lit(4.0)}
+    flat = labels.collision_box(e, F.lit(10.0), F.lit(20.0), F.lit(2.0), F.lit(1.0))
+    turned = labels.collision_box(e, F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(90.0))
+    r = spark.range(1).select(*[c.alias(f"a{i}") for i, c in enumerate(flat)], *[c.alias(f"b{i}") for i, c in enumerate(turned)]).first()
+    assert tuple(r)[:4] == (1.0, 17.0, 19.0, 23.0) and tuple(r)[4:] == pytest.approx((-1, -4, 1, 4))
+    c = labels.line_circles([(0, 0), (10, 0), (10, 10)], 10, 8, 2)
+    assert len(c) == 4 and c[0] == (7.0, 0.0, 1.0) and c[-1] == (10.0, 3.0, 1.0)
+    assert labels.line_circles([(0, 0), (5, 0)], 2, 8, 2) == []
+
+
+def test_images_and_replaced_sources(spark):
+    from vexel.plans.document import Style, images_used, replaced
+
+    s = Style.parse({"version": 8, "layers": [{"id": "a", "type": "symbol", "layout": {"icon-image": ["match", ["get", "k"], "key", "one", "two"]}}, {"id": "b", "type": "fill", "paint": {"fill-pattern": "dots"}}]})
+    assert images_used(s) == {"one", "two", "dots"}
+    held = replaced(None, spark.createDataFrame([(1,)], "i int"), "x", 1)
+    held = replaced(held, spark.createDataFrame([(2,)], "i int"), "y", 1)
+    held = replaced(held, spark.createDataFrame([(3,), (4,)], "i int"), "x", 2)
+    assert {(r.i, r.source, r.revision) for r in held.collect()} == {(2, "y", 1), (3, "x", 2), (4, "x", 2)}

@@ -196,3 +196,34 @@ def glyph_ranges(texts: DataFrame) -> DataFrame:
 
 def owed(needed: DataFrame, loaded: DataFrame) -> DataFrame:
     return needed.join(loaded, ["stack", "range"], "left_anti")
+
+
+def collision_box(extent: dict, anchor_x, anchor_y, scale, padding, degrees=None) -> tuple:
+    """A label's box (x0, y0, x1, y1) as Columns: its extent (top, bottom, left, right) scaled and padded around the
+    anchor; turned, it is the upright box around the turned one."""
+    x0, x1 = extent["left"] * scale - padding, extent["right"] * scale + padding
+    y0, y1 = extent["top"] * scale - padding, extent["bottom"] * scale + padding
+    if degrees is not None:
+        a = F.radians(degrees)
+        corners = [(x * F.cos(a) - y * F.sin(a), x * F.sin(a) + y * F.cos(a)) for x in (x0, x1) for y in (y0, y1)]
+        x0, x1 = F.least(*[c[0] for c in corners]), F.greatest(*[c[0] for c in corners])
+        y0, y1 = F.least(*[c[1] for c in corners]), F.greatest(*[c[1] for c in corners])
+    return anchor_x + x0, anchor_y + y0, anchor_x + x1, anchor_y + y1
+
+
+def line_circles(line: list[tuple[float, float]], at: float, length: float, height: float) -> list[tuple[float, float, float]]:
+    """Circles (x, y, r) that cover a label of a length and height along a line, its middle at a distance; none where the
+    line is too short."""
+    steps = [np.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(line, line[1:])]
+    ends = np.concatenate([[0.0], np.cumsum(steps)])
+    r = height / 2
+    if r <= 0 or at - length / 2 < 0 or at + length / 2 > ends[-1]:
+        return []
+    n = max(1, int(np.ceil(length / height)))
+    out = []
+    for d in at - length / 2 + (np.arange(n) + 0.5) * length / n:
+        k = min(int(np.searchsorted(ends, d, side="right")) - 1, len(steps) - 1)
+        t = (d - ends[k]) / steps[k] if steps[k] else 0.0
+        (ax, ay), (bx, by) = line[k], line[k + 1]
+        out.append((float(ax + (bx - ax) * t), float(ay + (by - ay) * t), r))
+    return out

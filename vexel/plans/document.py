@@ -187,3 +187,37 @@ def label_template(text: str, fields: Fields) -> Column:
 def ranked(df: DataFrame, by: list[str], tie: str) -> DataFrame:
     """A dense place from 1 within each layer."""
     return df.withColumn("place", F.row_number().over(W.partitionBy("layer").orderBy(*by, tie)))
+
+
+def images_used(style: Style) -> set[str]:
+    """Image names that layers name outright, or as outcomes of their expressions."""
+    found: set[str] = set()
+
+    def walk(x) -> None:
+        if isinstance(x, str):
+            found.add(x)
+        elif isinstance(x, list) and x:
+            if x[0] in ("match", "case", "step", "coalesce", "image", "literal", "let", "interpolate"):
+                # labels and inputs of a match aren't outcomes
+                parts = [*x[3::2], x[-1]] if x[0] == "match" else [*x[2::2], x[-1]] if x[0] in ("case", "step") else x[1:]
+                for p in parts:
+                    walk(p)
+        elif isinstance(x, dict):
+            for _, v in x.get("stops", []):
+                walk(v)
+
+    names = {n for group in SPECS.values() for n, s in group.items() if s.kind == "image"} | {"icon-image"}
+    for layer in style.layers:
+        for name, written in {**layer.paint, **layer.layout}.items():
+            if name in names:
+                walk(written)
+    return found
+
+
+def replaced(held: DataFrame | None, new: DataFrame, source: str, revision: int) -> DataFrame:
+    """The features of all sources with one source's replaced; its rows carry the new data revision, so what was built
+    from older ones no longer matches."""
+    rows = new.withColumns({"source": F.lit(source), "revision": F.lit(revision)})
+    if held is None:
+        return rows
+    return held.where(F.col("source") != source).unionByName(rows.select(*held.columns))

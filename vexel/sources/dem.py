@@ -139,3 +139,39 @@ def read_png(data: bytes) -> tuple[int, int, bytes]:
             p = line[i : i + n]
             out += bytes([p[0]] * 3 if n < 3 else p[:3]) + bytes([p[-1] if n in (2, 4) else 255])
     return width, height, bytes(out)
+
+
+def range_over_box(pyramid_rows: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataFrame:
+    """Low and high of the cells that hold a box of finest cells, read at the finest level at which the box spans two cells
+    an axis at most."""
+    level = 0
+    while (x1 >> level) - (x0 >> level) > 1 or (y1 >> level) - (y0 >> level) > 1:
+        level += 1
+    own = (F.col("level") == level) & F.col("cx").between(x0 >> level, x1 >> level) & F.col("cy").between(y0 >> level, y1 >> level)
+    return pyramid_rows.where(own).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def dem_position(lon: Column, lat: Column, z: int, dim: int) -> tuple[Column, Column, Column, Column]:
+    """The elevation tile (x, y) of zoom z that holds a place, and where in it, in pixels from the middle of the first."""
+    from ..spatial.projection import project, tile_of
+
+    x, y = tile_of(lon, lat, z)
+    u, v = project(lon, lat, float(1 << z))
+    return x, y, (u - x) * dim - 0.5, (v - y) * dim - 0.5
+
+
+def elevations(places: DataFrame, pixels: DataFrame, z: int, dim: int) -> DataFrame:
+    """places (lon, lat) with h from bordered pixels (z, x, y, px, py, h)."""
+    x, y, u, v = dem_position(F.col("lon"), F.col("lat"), z, dim)
+    p = places.withColumns({"z": F.lit(z), "x": x, "y": y, "u": u, "v": v})
+    return sampled(p, pixels).drop("z", "x", "y", "u", "v")
+
+
+def invisible_relief(zoom: Column | int, lat: Column, exaggeration: float, pixels: float, most_pitch: float = 60.0) -> Column:
+    """Metres of relief that stay below a number of pixels at the top of a zoom, seen at the steepest pitch."""
+    import math
+
+    z = F.lit(zoom) if isinstance(zoom, int) else zoom
+    around = F.abs(F.cos(F.radians(lat))) * (2 * math.pi * 6378137.0)
+    per_metre = F.pow(F.lit(2.0), z + 1) * 512.0 / around
+    return F.lit(pixels) / (per_metre * math.sin(math.radians(most_pitch)) * max(exaggeration, 1e-300))

@@ -100,3 +100,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns
     w = W.partitionBy(*by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_side") == 0, F.struct(*columns)), ignorenulls=True).over(w)
     return a.unionByName(b).withColumn("_found", last).where("_side = 1").select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
+
+
+def reaches(low: Column, high: Column, z: int, x: int, wrap: int, buffer: float = 128.0) -> Column:
+    """Whether a feature's extent of longitudes meets a world copy of a tile with its buffer (in units of the extent 8192)."""
+    width, margin = 360.0 / (1 << z), 360.0 / (1 << z) * buffer / 8192
+    west = -180.0 + x * width + 360.0 * wrap
+    return (low <= west + width + margin) & (high >= west - margin)
