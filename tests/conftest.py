@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -22,3 +24,4 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(os.path.join(tempfile.gettempdir(), "vexel-scratch"), ignore_errors=True)

@@ -417,7 +417,7 @@ def cluster_children(spark, sf):
     return levels.where("parent_id <> 0").groupBy("z", "parent_id").agg(F.count("*").alias("children"), F.sum("n").alias("points"))
 
 
-@query("cluster_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN o_orderkey::VARCHAR WHEN o_orderkey < 10000 THEN printf('%.1fk', round_even(o_orderkey / 1000.0, 1)) ELSE printf('%.0fk', round_even(o_orderkey / 1000.0, 0)) END AS v FROM orders")
+@query("cluster_abbreviated", "SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN o_orderkey::VARCHAR WHEN o_orderkey < 10000 THEN printf('%.1fk', (o_orderkey / 1000.0)::DOUBLE) ELSE printf('%.0fk', (o_orderkey / 1000.0)::DOUBLE) END AS v FROM orders")
 def cluster_abbreviated(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", cluster.abbreviated(F.col("o_orderkey")).alias("v"))
 

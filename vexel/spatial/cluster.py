@@ -136,9 +136,15 @@ def hierarchy(features: DataFrame, lon: str, lat: str, index: str, o: Options =
 
 
 def abbreviated(n: Column) -> Column:
-    """999, 1.2k, 12k. Ties of the shown digit go to the even one."""
-    k = n / 1000.0
-    return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.concat(F.bround(k, 1).cast("string"), F.lit("k"))).otherwise(F.concat(F.bround(k, 0).cast("long").cast("string"), F.lit("k")))
+    """999, 1.2k, 12k. The digits shown are those of n / 1000 as a double, rounded from its exact value, ties to even."""
+    tenths, rest = F.floor(n / 100), n % 100
+    # in a tie of decimals the double lies above, below or on it
+    exact = (F.floor(n / 1000.0 * float(1 << 52))).cast("decimal(20,0)") * 1000
+    tie = n.cast("decimal(10,0)") * F.lit(1 << 52).cast("decimal(20,0)")
+    up = (rest > 50) | (rest == 50) & ((exact > tie) | (exact == tie) & (tenths % 2 == 1))
+    t = tenths + F.when(up, 1).otherwise(0)
+    one = F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("k"))
+    return F.when(n < 1000, n.cast("string")).when(n < 10_000, one).otherwise(F.concat(F.bround(n / 1000.0, 0).cast("long").cast("string"), F.lit("k")))
 
 
 def with_properties(levels: DataFrame) -> DataFrame:
