@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import in_ranges, starts
+
 
 def upserted(table: DataFrame, rows: DataFrame, key: list[str], newest: Column | None = None) -> DataFrame:
     """rows take the place of the table's rows of equal key; of several new ones the newest counts."""
@@ -70,20 +72,14 @@ def sizes(responses: DataFrame) -> DataFrame:
     return responses.agg(F.count("*").alias("resources"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.when(is_pinned, 1)).alias("pinned"), F.coalesce(F.sum(F.when(is_pinned, F.col("bytes"))), F.lit(0)).alias("pinned_bytes"))
 
 
-#: Buckets of access order that a global running sum is made of.
-_BUCKETS = 4096
-
-
 def evicted(responses: DataFrame, capacity: int) -> DataFrame:
     """The unpinned responses that must go so that the most recently used ones fit. The running sum is global but is
     made in two passes: sums of ranges of access time, then rows within each range."""
-    r = responses.where("pins = 0")
-    dealt = r.repartitionByRange(F.col("accessed").desc(), F.col("url").desc()).withColumn("_part", F.spark_partition_id())
-    own = W.partitionBy("_part").orderBy(F.col("accessed").desc(), F.col("url").desc()).rowsBetween(W.unboundedPreceding, 0)
-    sums = dealt.groupBy("_part").agg(F.sum("bytes").alias("_size"))
-    starts = sums.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    total = F.sum("bytes").over(own) + F.col("_start")
-    return dealt.join(F.broadcast(starts), "_part").withColumn("running", total).where(F.col("running") > capacity).select(*responses.columns, "running")
+    newest = [F.col("accessed").desc(), F.col("url").desc()]
+    dealt = in_ranges(responses.where("pins = 0"), *newest)
+    own = F.sum("bytes").over(W.partitionBy("_part").orderBy(*newest).rowsBetween(W.unboundedPreceding, 0))
+    total = dealt.join(F.broadcast(starts(dealt, F.col("bytes"))), "_part").withColumn("running", own + F.col("_start"))
+    return total.where(F.col("running") > capacity).select(*responses.columns, "running")
 
 
 def region_plan(tile_sets: list[dict], z_low: int, z_high: int, cover, extras: DataFrame | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def place(boxes: pd.DataFrame, cell: float = 64.0) -> list[bool]:
     """First come, first placed: a box (x0, y0, x1, y1) that touches a placed one isn't placed, unless its overlap is
@@ -125,11 +127,9 @@ def cross_tile_ids(symbols: DataFrame, prior: DataFrame, tolerance: float = 4.0)
             out.append((r.key, int(r.ord), r.x, r.y, found))
         return pd.DataFrame(out, columns=["key", "ord", "x", "y", "cross_id"]).astype({"cross_id": "Int64", "ord": "int64"})
 
-    from pyspark.sql import Window as W
-
     matched = both.groupBy("key").applyInPandas(run, "key string, ord long, x double, y double, cross_id long")
     top = prior.agg(F.coalesce(F.max("cross_id"), F.lit(0)).alias("top"))
-    fresh = matched.where("cross_id is null").withColumn("n", F.row_number().over(W.orderBy("ord", "key")))
+    fresh = numbered(matched.where("cross_id is null"), ["ord", "key"], "n")
     new = fresh.join(F.broadcast(top)).select("key", "ord", "x", "y", (F.col("top") + F.col("n")).cast("long").alias("cross_id"))
     return matched.where("cross_id is not null").unionByName(new)
 

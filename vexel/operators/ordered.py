@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
 
 def sort_rank(df: DataFrame, key: Column, order: str, by: list[str], reverse_ties: bool = False) -> DataFrame:
     """A place from 1 within each group by key; failures (null) count as 0, NaN comes last. Equal keys keep the order
@@ -68,3 +70,22 @@ def entered_and_left(before: DataFrame, now: DataFrame, key: list[str]) -> tuple
 def counters(df: DataFrame, key: list[str]) -> DataFrame:
     """Counts by key, and whether something was counted twice."""
     return df.groupBy(*key).agg(F.count("*").alias("n")).withColumn("duplicated", F.col("n") > 1)
+
+
+def in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """df dealt by ranges of an order and written, with the number of its part: parts stay what they are for all that
+    reads them."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def starts(dealt: DataFrame, size: Column) -> DataFrame:
+    """_part and the sum of all sizes in the parts before it: as many rows as there are parts."""
+    sums = dealt.groupBy("_part").agg(F.sum(size).alias("_size"))
+    return sums.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in an order over the whole table, in two passes: sizes of ranges, then rows within each."""
+    dealt = in_ranges(df, *[F.col(c) for c in order])
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(starts(dealt, F.lit(1))), "_part").withColumn(name, (own + F.col("_start")).cast("long")).drop("_part", "_start")

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from ..spatial.projection import project
 
 
 def added(annotations: DataFrame, new: DataFrame) -> DataFrame:
     """New annotations get the next ids, in order of their column ord."""
     top = annotations.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    n = F.row_number().over(W.orderBy("ord"))
-    own = new.withColumn("_n", n).join(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("_n")).cast("long"))
+    own = numbered(new, ["ord"], "_n").join(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("_n")).cast("long"))
     return annotations.unionByName(own.select(*annotations.columns))
 
 

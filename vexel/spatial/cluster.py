@@ -16,9 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from ..operators.scratch import cut
 from .joins import radius_join
 from .projection import cluster_position
@@ -109,13 +109,8 @@ def _level_by_rounds(level: DataFrame, zoom: int, o: Options) -> tuple[DataFrame
     done = j.select(F.lit(zoom + 1).alias("z"), "index", "id", "x", "y", "n", F.when(grown, own).otherwise(F.lit(0)).alias("parent_id"))
     heads = j.where(grown & (F.col("index") == F.col("taker"))).select("taker", "index", own.alias("id"), (F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"))
     single = j.where(~grown).select("taker", "index", "id", "x", "y", F.lit(1).cast("long").alias("n"))
-    up = heads.unionByName(single).withColumn("order", F.struct("taker", "index"))
-    # places in order: ranges of the order, their sizes summed, then places within them
-    dealt = cut(up.repartitionByRange(64, "taker", "index").withColumn("part", F.spark_partition_id()), "level")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
-    starts = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    place = F.row_number().over(W.partitionBy("part").orderBy("taker", "index")) - 1 + F.col("start")
-    return done, dealt.join(F.broadcast(starts), "part").select(place.cast("long").alias("index"), "id", "x", "y", "n")
+    up = numbered(heads.unionByName(single), ["taker", "index"], "place")
+    return done, up.select((F.col("place") - 1).alias("index"), "id", "x", "y", "n")
 
 
 def hierarchy(features: DataFrame, lon: str, lat: str, index: str, o: Options = Options(), task_points: int = TASK_POINTS) -> DataFrame:

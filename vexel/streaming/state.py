@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import numbered
+
 # -- latest wins
 
 
@@ -228,7 +230,7 @@ def stable_ids(now: DataFrame, prior: DataFrame, key: list[str]) -> DataFrame:
     """Ids for keys: a key keeps the id it had (prior: key columns, id), new keys get the next free ones in order of key."""
     known = now.select(*key).distinct().join(prior, key, "left")
     top = prior.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    fresh = known.where("id is null").select(*key, F.row_number().over(W.orderBy(*key)).alias("n"))
+    fresh = numbered(known.where("id is null").select(*key), key, "n")
     new = fresh.join(F.broadcast(top)).select(*key, (F.col("top") + F.col("n")).cast("long").alias("id"))
     return known.where("id is not null").unionByName(new)
 
