@@ -201,6 +201,27 @@ def test_filters(spark):
         assert {r.id for r in got if r[f"c{n}"]} == want, f
 
 
+PUSHED = [["all", [">=", ["get", "k"], 2], ["==", ["get", "s"], "b"]], ["all", ["<", "k", 3], ["!=", "s", "a"]], [">", ["get", "k"], "x"], ["==", "k", 2], ["any", ["==", "k", 2], ["==", "k", 3]], None, ["all", ["==", "absent", 1]], ["<=", ["get", "k"], ["get", "k"]], ["==", ["get", "k"], None], ["all", ["all", ["==", "s", "b"]], ["has", "k"]]]
+
+
+def test_pushed_comparisons_change_no_result(spark):
+    from vexel.lang.filters import admitted
+
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, "b"), (None, "b"), (float("nan"), None)], "k double, s string")
+    fields = Fields.of(df)
+    for f in PUSHED:
+        try:
+            want = sorted(map(str, df.where(compile_filter(f, fields)).collect()))
+        except ExpressionError:
+            continue
+        assert sorted(map(str, admitted(df, f, fields).collect())) == want, f
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = admitted(spark.read.parquet("/root/testdata/sf0.001/orders.parquet"), ["all", [">", ["get", "o_totalprice"], 5], ["==", ["get", "o_orderstatus"], "F"]], Fields.of(spark.read.parquet("/root/testdata/sf0.001/orders.parquet")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThan(o_totalprice,5.0)" in text and "EqualTo(o_orderstatus,F)" in text
+
+
 @pytest.mark.parametrize("f", [["<", "$type", "Point"], [1, 2], ["==", 1, 2], ["==", ["get", "a"], ["feature-state", "b"]], ["+", 1, 2]])
 def test_filters_that_do_not_compile(f):
     with pytest.raises(ExpressionError):

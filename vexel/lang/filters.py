@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .compiler import Compiler, filter_column
@@ -133,3 +133,32 @@ def compile_filter(f, fields: Fields) -> Column:
     if v.kind not in ("boolean", "value", "null"):
         raise ExpressionError(f"A filter must be boolean, but found {v.kind}.")
     return filter_column(narrowed(v, "boolean"))
+
+
+def pushable(f, fields: Fields) -> Column | None:
+    """Plain comparisons that every admitted feature meets, so that scans can apply them: those of typed columns with
+    constants, at the top of a filter or within its "all"."""
+    if not isinstance(f, list) or not f or not isinstance(fields.props, dict):
+        return None
+    if f[0] == "all":
+        parts = [p for p in (pushable(x, fields) for x in f[1:]) if p is not None]
+        return reduce(lambda a, b: a & b, parts) if parts else None
+    if f[0] not in ("==", *_ORDERED) or len(f) != 3:
+        return None
+    name, x = f[1], f[2]
+    if is_expression_filter(f):
+        if not (isinstance(name, list) and len(name) == 2 and name[0] == "get"):
+            return None
+        name = name[1]
+    target = fields.props.get(name) if isinstance(name, str) and name[:1] != "$" else None
+    kind = "string" if isinstance(x, str) else "number" if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    if target is None or target.kind != kind:
+        return None
+    value = F.lit(x if kind == "string" else float(x))
+    return target.col == value if f[0] == "==" else getattr(target.col, _ORDERED[f[0]])(value)
+
+
+def admitted(df: DataFrame, f, fields: Fields) -> DataFrame:
+    """The rows of df that a filter admits."""
+    plain = pushable(f, fields)
+    return (df if plain is None else df.where(plain)).where(compile_filter(f, fields))

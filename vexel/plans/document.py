@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lang.compiler import Compiler
-from ..lang.filters import compile_filter
+from ..lang.filters import compile_filter, pushable
 from ..lang.values import ExpressionError, Fields, Val, column_value
 from .properties import SPECS, Property, resolve_group
 
@@ -104,6 +104,7 @@ class Compiled:
     layer: Layer
     index: int
     filter: Column
+    pushed: Column | None
     paint: dict[str, Property]
     layout: dict[str, Property]
     sort_key: Val | None
@@ -114,6 +115,8 @@ class Compiled:
         df = features
         if self.layer.source_layer is not None and "source_layer" in df.columns:
             df = df.where(F.col("source_layer") == self.layer.source_layer)
+        if self.pushed is not None:
+            df = df.where(self.pushed)
         df = df.where(self.filter)
         out = [F.lit(self.layer.id).alias("layer"), F.lit(self.index).alias("layer_index")]
         out += [p.column().alias(n) for n, p in {**self.paint, **self.layout}.items()]
@@ -166,7 +169,7 @@ def compile_layer(layer: Layer, index: int, fields: Fields) -> Compiled:
     key = layer.layout.get(f"{layer.type}-sort-key")
     sort_key = Compiler(fields, state_allowed=False).of(key, "number") if key is not None else None
     known = {n: v for n, v in layer.layout.items() if n in SPECS.get((layer.type, "layout"), {})}
-    return Compiled(layer, index, compile_filter(layer.filter, fields), resolve_group(layer.type, "paint", layer.paint, fields), resolve_group(layer.type, "layout", known, fields), sort_key)
+    return Compiled(layer, index, compile_filter(layer.filter, fields), pushable(layer.filter, fields), resolve_group(layer.type, "paint", layer.paint, fields), resolve_group(layer.type, "layout", known, fields), sort_key)
 
 
 _TOKEN = re.compile(r"\{([^{}]*)\}")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import apply_expressions
-from ..lang.filters import compile_filter
+from ..lang.filters import admitted
 from ..lang.legacy import LegacyFunction
 from ..lang.values import Fields, Val
 from ..operators import catalog, labels, ordered, tiles
@@ -53,7 +53,7 @@ def _filter(name: str, f, where: str):
     @query(name, f"SELECT event_id FROM events WHERE {where}")
     def run(spark, sf, f=f):
         df, fields = events(spark, sf)
-        return df.where(compile_filter(f, fields)).select("event_id")
+        return admitted(df, f, fields).select("event_id")
 
 
 _filter("filter_legacy_cmp", ["all", [">=", "k", 50], ["==", "event_type", "click"], ["<", "value", 90.5]], f"coalesce({_K} >= 50, false) AND event_type = 'click' AND value < 90.5")
@@ -68,7 +68,7 @@ _filter("filter_cross_type", ["any", ["<", "event_type", 5], [">", "value", "a"]
 def filter_expr(spark, sf):
     df = table(spark, sf, "orders")
     f = ["all", [">", ["get", "o_totalprice"], 100000], ["any", ["==", ["get", "o_orderstatus"], "F"], ["==", ["get", "o_orderpriority"], "1-URGENT"]], ["!", ["==", ["%", ["get", "o_custkey"], 2], 0]]]
-    return df.where(compile_filter(f, Fields.of(df))).select("o_orderkey")
+    return admitted(df, f, Fields.of(df)).select("o_orderkey")
 
 
 def _zoomed(name: str, zoom: float, expression, sql: str):

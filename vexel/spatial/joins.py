@@ -33,7 +33,8 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, lx: str, ly: str, r
     dx, dy = F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)
     on = (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & (dx * dx + dy * dy <= r * r)
     keep = left.columns if how in ("left_semi", "left_anti") else left.columns + right.columns
-    return a.join(b, on, how).select(*[(a if c in left.columns else b)[c] for c in keep])
+    # what is unfolded is larger than Spark estimates, so it isn't broadcast
+    return a.join(b.hint("merge"), on, how).select(*[(a if c in left.columns else b)[c] for c in keep])
 
 
 def box_join(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y: str = "y", bounds=("x0", "y0", "x1", "y1"), how: str = "inner") -> DataFrame:
@@ -45,7 +46,7 @@ def box_join(points: DataFrame, boxes: DataFrame, size: float, x: str = "x", y:
     inside = a[x].between(b[x0], b[x1]) & a[y].between(b[y0], b[y1])
     on = (a["_cx"] == b["_cx"]) & (a["_cy"] == b["_cy"]) & inside
     keep = points.columns if how in ("left_semi", "left_anti") else points.columns + boxes.columns
-    return a.join(b, on, how).select(*[(a if c in points.columns else b)[c] for c in keep])
+    return a.join(b.hint("merge"), on, how).select(*[(a if c in points.columns else b)[c] for c in keep])
 
 
 def boxes_overlap(a: list[Column], b: list[Column]) -> Column:
@@ -73,7 +74,7 @@ def box_box_join(left: DataFrame, right: DataFrame, size: float, key: list[str])
         df = df.withColumn("_cx", F.explode(F.sequence(_cell(F.col(f"{p}x0"), size), _cell(F.col(f"{p}x1"), size))))
         return df.withColumn("_cy", F.explode(F.sequence(_cell(F.col(f"{p}y0"), size), _cell(F.col(f"{p}y1"), size))))
 
-    j = cells(left, "l_").join(cells(right, "r_"), ["_cx", "_cy", *key])
+    j = cells(left, "l_").hint("merge").join(cells(right, "r_").hint("merge"), ["_cx", "_cy", *key])
     a, b = [F.col(f"l_{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(f"r_{c}") for c in ("x0", "y0", "x1", "y1")]
     first = (_cell(F.greatest(a[0], b[0]), size) == F.col("_cx")) & (_cell(F.greatest(a[1], b[1]), size) == F.col("_cy"))
     return j.where(boxes_overlap(a, b) & first).drop("_cx", "_cy")
