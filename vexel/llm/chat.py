@@ -6,6 +6,10 @@ conversation's system turn first, then a limited history of earlier turns, then
 covers the texts of the span's own assistant turns; a target that is repeated as history is masked, so each
 assistant text is learned once.
 
+A turn's tokens are those that the caller counts (a column of turns, which adds the marks'), or else the bytes of its
+formatted text: no byte-level vocabulary makes more tokens than bytes, so a window never exceeds its budget under any of
+them.
+
 Spans: a turn of more than half the budget is long and starts a segment; among the other turns of a segment, a
 turn belongs to span floor(prefix / step), where step is the budget less the segment's longest other turn. A span
 of such turns never exceeds the budget; only a turn that is itself longer does, as its text is kept whole.
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-BUDGET = 1024
-HISTORY_TOKENS = 256
+BUDGET = 4096
+HISTORY_TOKENS = 1024
 HISTORY_TURNS = 2
 
 #: What a turn is set in. No text holds "[" or "<" after escaping, so none holds a mark.
@@ -59,20 +63,17 @@ def _closing(role: Column) -> Column:
     return c
 
 
-def tokens(text: Column) -> Column:
-    """An upper estimate of a text's tokens: words in parts of four characters at most, and single other signs."""
-    return F.regexp_count(text, F.lit(r"\p{L}{1,4}|\p{N}{1,3}|[^\s\p{L}\p{N}]")).cast("long")
-
-
-def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
+def windows(turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, tokens: str | None = None) -> DataFrame:
     """turns (conv_id, turn, role, text) to windows: conv_id, window (from 0), text, n_tokens, and segments, an array of
     (turn_no, role, start, length, own, loss): where each turn's escaped text stands in the window's text (start
-    from 1), whether the turn belongs to the window's span, and whether it is a target."""
+    from 1), whether the turn belongs to the window's span, and whether it is a target. tokens: a column of turns with
+    the tokens of a turn as it is formatted; null counts as the bytes."""
     conv = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("text"))
+    known = F.col(tokens).cast("long") if tokens else F.lit(None).cast("long")
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text_or_empty().alias("text"), known.alias("known"))
     t = t.withColumn("no", F.row_number().over(conv).cast("long"))
-    t = t.select("conv_id", "no", "role", _opening(F.col("role")).alias("open"), escaped(F.col("text")).alias("body"), _closing(F.col("role")).alias("close"))
-    t = t.withColumn("tokens", tokens(F.concat("open", "body", "close")))
+    t = t.select("conv_id", "no", "role", _opening(F.col("role")).alias("open"), escaped(F.col("text")).alias("body"), _closing(F.col("role")).alias("close"), "known")
+    t = t.withColumn("tokens", F.coalesce("known", (F.octet_length("open") + F.octet_length("body") + F.octet_length("close")).cast("long")))
     t = t.withColumn("keeps", (F.col("no") == 1) & (F.col("role") == "system"))
     by_no = W.partitionBy("conv_id").orderBy("no")
     room = F.lit(budget - history_tokens) - F.coalesce(F.max(F.when(F.col("keeps"), F.col("tokens"))).over(W.partitionBy("conv_id")), F.lit(0))
