@@ -1,18 +1,21 @@
 """Exact top-k search by inner product, with sequential access only.
 
-Each component is a list of the candidates, sorted by that component. For a query, a list is read from its end of
-greater contributions on, a part of all lists at a time. What has been read of a candidate is its lower bound so far; its
-upper bound adds, for each list in which it has not been met, the contribution at which that list's reading stands.
-Once the k-th best score known is above the upper bounds of all others, reading stops, and the candidates that
-can still qualify are resolved to final scores. Equal scores can still qualify, as ties go to the smaller id.
-
-Candidates are dealt to tasks in blocks, and every block keeps its own lists; a task carries a query's k best from
-block to block, so later blocks stop sooner. Queries go to the tasks in groups of bounded size, one pass over
-the candidates a group. The tasks' best rows meet in a last top-k for each query.
-
-Nulls and the like: vectors that are null, or hold null or non-finite components, take no part, nor do null ids; of
-rows with equal id, the one with the smallest vector stays; vectors are only compared with those of equal length; a
-query with fewer than k candidates gets them all.
+Each component is a list of the candidates, sorted by that component. For a query, the lists are read from their ends of
+greater contributions on, in lockstep, some entries of each list a step. What has been read of a candidate adds to its
+bounds: the lower one counts, for each list in which it hasn't been met, the least contribution of that list, the upper
+one the contribution at which that list's reading stands. After each step, the threshold is the k-th best lower bound
+(or the k-th best score that is known from earlier blocks, if that is greater). Reading stops once no more candidates than
+can win have an upper bound that reaches the threshold: outsiders cannot qualify. Their final scores are resolved then.
+Equal bounds can still qualify, as ties go to the smaller id, so ties are read on.
+
+Queries and candidates are dealt in blocks of bounded bytes; each pair of a query block and a candidate block is a cell
+that one task handles, all in one job. Within a cell, candidates go in smaller blocks with lists of their own, and a
+query's k best are carried from one to the next, so later ones stop sooner. The cells' best rows meet in a last top-k.
+
+Nulls and the like: vectors that are null, or hold null or non-finite components, take no part, nor do null ids; rows
+of equal id are rows of their own, rows that are equal in id and vector are counted, as candidates and as queries; vectors
+are only compared with those of equal length; a query with fewer than k candidates gets them all; other columns take no
+part.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Bytes of query vectors that go to the tasks at once.
-GROUP_BYTES = 16 << 20
-BLOCK_ROWS = 2048
-#: Parts of each list that are read before each look at the bounds.
-DEPTHS = (0.5, 0.8, 1.0)
-#: Reading stops once one in so many candidates is left, and these are resolved.
-RESOLVED = 2
+#: Bytes of the vectors of a query block and of a candidate block: what a task holds at once.
+CELL_BYTES = 16 << 20
+#: Candidates whose lists are sorted together.
+BLOCK_ROWS = 4096
+#: Steps in which a list can be read to its end.
+STEPS = 64
+#: Repeated rows that one row unfolds to.
+_STEP = 1 << 14
 _EXACT = float(1 << 53)
 
 
@@ -45,144 +49,207 @@ def quantized(vector: Column, scale: float = 256.0) -> Column:
 
 
 class Lists:
-    """A block of candidates as lists sorted by each component."""
+    """A block of candidates as lists sorted by each component. times: how often each candidate occurs."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        by_id = np.argsort(ids, kind="stable")
-        self.ids, self.v = ids[by_id], vectors[by_id]
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray):
+        by_id = np.lexsort((keys, ids))
+        self.keys, self.ids, self.times, self.v = keys[by_id], ids[by_id], times[by_id], vectors[by_id]
         self.order = np.argsort(self.v, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(self.v, self.order.T, 0).T.astype(np.float64)
         self.largest = float(np.abs(self.v.astype(np.float64)).max(initial=0))
+        #: Entries read from lists, and what reading all lists to their ends would have been.
+        self.reads, self.entries = 0, 0
 
-    def best(self, query_id: int, q: np.ndarray, k: int, known: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """The k best (-score, id) of known and this block's candidates but query_id itself."""
-        n, d = self.v.shape
-        if float(np.abs(q.astype(np.float64)).max(initial=0)) * self.largest * max(d, 1) >= _EXACT:
+    def best(self, key: int, q: np.ndarray, k: int, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """The k best (-score, id, key, times) of known and this block's candidates; the query's own row isn't one."""
+        times = np.where(self.keys == key, self.times - 1, self.times)
+        if float(np.abs(q.astype(np.float64)).max(initial=0)) * self.largest * max(self.v.shape[1], 1) >= _EXACT:
             scores = (self.v.astype(object) * q.astype(object)[None, :]).sum(1)
             most = (1 << 63) - 1
-            found = [(-max(-most, min(most, int(s))), int(i)) for s, i in zip(scores, self.ids)]
-            return sorted([*known, *(x for x in found if x[1] != query_id)])[:k]
+            found = [(-max(-most, min(most, int(s))), int(i), int(c), int(n)) for s, i, c, n in zip(scores, self.ids, self.keys, times) if n]
+            return _first(sorted([*known, *found]), k)
         ask = q.astype(np.float64)
-        alive = np.flatnonzero(self.ids != query_id)
-        lists = np.flatnonzero(ask != 0)
-        # the reading end of each list: from the back where the query's component is positive
-        front, rear = lists[ask[lists] < 0], lists[ask[lists] > 0]
-        weights = np.concatenate([ask[front], ask[rear]])[:, None]
-        for depth in DEPTHS:
-            read = int(np.ceil(n * depth))
-            where = np.concatenate([self.order[front, :read], self.order[rear, n - read :]])
-            gain = np.concatenate([self.sorted[front, :read], self.sorted[rear, n - read :]]) * weights
-            threshold = -known[k - 1][0] if len(known) >= k else self._kth_lower(where, gain, front, rear, weights, alive, k)
-            # where a list's reading stands bounds all of it that hasn't been met
-            stand = np.concatenate([gain[: len(front), -1], gain[len(front) :, 0]])
-            upper = stand.sum() + np.bincount(where.ravel(), (gain - stand[:, None]).ravel(), n)
-            alive = alive[upper[alive] >= threshold]
-            if len(alive) <= max(4 * k, n // RESOLVED) or len(known) < k:
-                break
+        alive = self._qualified(ask, np.flatnonzero(times > 0), times, k, _kth(known, k))
         scores = self.v[alive].astype(np.float64) @ ask
-        if len(scores) > k:
+        if len(alive) > k:
+            # all of greater scores, and of the k-th score those of the least ids: the block is in ascending order of id
             kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = scores >= kth
+            keep = np.concatenate([np.flatnonzero(scores > kth), np.flatnonzero(scores == kth)[:k]])
             alive, scores = alive[keep], scores[keep]
-            alive, scores = self._few(alive, scores, kth, k)
-        return sorted([*known, *((-int(s), int(self.ids[i])) for s, i in zip(scores, alive))])[:k]
-
-    @staticmethod
-    def _few(alive: np.ndarray, scores: np.ndarray, kth: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """At most k rows at the k-th score: rows are in ascending order of id, so the first ones win."""
-        ties = np.flatnonzero(scores == kth)[k:]
-        return np.delete(alive, ties), np.delete(scores, ties)
-
-    def _kth_lower(self, where, gain, front, rear, weights, alive: np.ndarray, k: int) -> float:
-        """The k-th best lower bound: what has been read, and the least that each unread list can hold."""
-        if len(alive) < k:
-            return -np.inf
-        least = np.concatenate([self.sorted[front, -1], self.sorted[rear, 0]]) * weights[:, 0]
-        lower = least.sum() + np.bincount(where.ravel(), (gain - least[:, None]).ravel(), len(self.ids))[alive]
-        return float(np.partition(lower, len(lower) - k)[len(lower) - k])
-
-
-def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) for each length of vector in a batch (id, vector)."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
-    off = batch.column(1).offsets.to_numpy()
-    flat, sizes = batch.column(1).values.to_numpy(zero_copy_only=False), np.diff(off)
+        return _first(sorted([*known, *((-int(s), int(self.ids[i]), int(self.keys[i]), int(times[i])) for s, i in zip(scores, alive))]), k)
+
+    def _qualified(self, ask: np.ndarray, alive: np.ndarray, times: np.ndarray, k: int, known: float) -> np.ndarray:
+        """The candidates that can still be among the best when the reading of the lists stops."""
+        n, used = len(self.ids), np.flatnonzero(ask != 0)
+        # the reading end of each list: from the back where the query's component is positive
+        front, rear = used[ask[used] < 0], used[ask[used] > 0]
+        weight = np.concatenate([ask[front], ask[rear]])[:, None]
+        least = np.concatenate([self.sorted[front, -1], self.sorted[rear, 0]]) * weight[:, 0]
+        self.entries += n * len(used)
+        lower, read = np.full(n, least.sum()), np.zeros(n)
+        met = np.zeros((n, len(used)), np.float64)
+        step, at = max(1, -(-n // STEPS)), 0
+        while len(used) and len(alive) and at < n:
+            end = min(n, at + step)
+            where = np.concatenate([self.order[front, at:end], self.order[rear, n - end : n - at]])
+            gain = np.concatenate([self.sorted[front, at:end], self.sorted[rear, n - end : n - at]]) * weight
+            stand = np.concatenate([gain[: len(front), -1], gain[len(front) :, 0]])
+            self.reads += where.size
+            read += np.bincount(where.ravel(), gain.ravel(), n)
+            lower += np.bincount(where.ravel(), (gain - least[:, None]).ravel(), n)
+            met[where, np.arange(len(used))[:, None]] = 1
+            at = end
+            upper = read[alive] + stand.sum() - met[alive] @ stand
+            threshold = max(known, _kth_lower(lower[alive], times[alive], k))
+            alive = alive[upper >= threshold]
+            if int(np.minimum(times[alive], k).sum()) <= k:
+                break
+        return alive
+
+
+def _kth_lower(lower: np.ndarray, times: np.ndarray, k: int) -> float:
+    """The k-th greatest of bounds that occur some times each."""
+    if len(lower) > k:
+        top = np.argpartition(lower, len(lower) - k)[-k:]
+        lower, times = lower[top], times[top]
+    order = np.argsort(-lower)
+    through = np.cumsum(np.minimum(times[order], k))
+    return float(lower[order][np.searchsorted(through, k)]) if len(through) and through[-1] >= k else -np.inf
+
+
+def _kth(known: list[tuple[int, int, int, int]], k: int) -> float:
+    held = 0
+    for s, _, _, n in known:
+        held += n
+        if held >= k:
+            return float(-s)
+    return -np.inf
+
+
+def _first(found: list[tuple[int, int, int, int]], k: int) -> list[tuple[int, int, int, int]]:
+    """The first rows that occur k times together."""
+    held = 0
+    for i, x in enumerate(found):
+        held += x[3]
+        if held >= k:
+            return found[: i + 1]
+    return found
+
+
+def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, ids, times, vectors) for each length of vector in a batch (key, id, times, vector)."""
+    columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+    off = batch.column(3).offsets.to_numpy()
+    flat, sizes = batch.column(3).values.to_numpy(zero_copy_only=False), np.diff(off)
     for d in np.unique(sizes):
         rows = np.flatnonzero(sizes == d)
-        yield ids[rows], flat[off[rows][:, None] + np.arange(d)[None, :]] if d else np.zeros((len(rows), 0), np.int64)
+        yield *(c[rows] for c in columns), flat[off[rows][:, None] + np.arange(d)[None, :]] if d else np.zeros((len(rows), 0), np.int64)
 
 
-def _searcher(queries, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = queries.value
-        best: dict[int, list[tuple[int, int]]] = {}
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+class _Cell:
+    """A query block and the candidates that have come of its candidate block."""
 
-        def search(d: int) -> None:
-            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(d)))
-            for a in range(0, len(ids), BLOCK_ROWS):
-                block = Lists(ids[a : a + BLOCK_ROWS], vectors[a : a + BLOCK_ROWS])
-                for query_id, q in zip(*asked[d]):
-                    best[int(query_id)] = block.best(int(query_id), q, k, best.get(int(query_id), []))
+    def __init__(self, k: int):
+        self.k, self.asked, self.held, self.best = k, {}, {}, {}
 
+    def ask(self, batch: pa.RecordBatch) -> None:
+        for found in _vectors(batch):
+            self.asked.setdefault(found[3].shape[1], []).append(found)
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        for found in _vectors(batch):
+            d = found[3].shape[1]
+            if d in self.asked:
+                self.held.setdefault(d, []).append(found)
+                if sum(len(x[0]) for x in self.held[d]) >= BLOCK_ROWS:
+                    self._search(d)
+
+    def _search(self, d: int) -> None:
+        rows = [np.concatenate(x) for x in zip(*self.held.pop(d))]
+        for a in range(0, len(rows[0]), BLOCK_ROWS):
+            block = Lists(*(x[a : a + BLOCK_ROWS] for x in rows))
+            for keys, _, _, vectors in self.asked[d]:
+                for key, q in zip(keys.tolist(), vectors):
+                    self.best[key] = block.best(key, q, self.k, self.best.get(key, []))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for d in list(self.held):
+            self._search(d)
+        found = [(key, i, -s, n) for key, own in self.best.items() for s, i, _, n in own]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query", "id", "score", "times"])
+
+
+def _searcher(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cell = None, None
         for batch in batches:
-            for ids, vectors in _vectors(batch):
-                d = vectors.shape[1]
-                if d in asked:
-                    held.setdefault(d, []).append((ids, vectors))
-                    if sum(len(x[0]) for x in held[d]) >= BLOCK_ROWS:
-                        search(d)
-        for d in list(held):
-            search(d)
-        rows = [(query, i, -s) for query, found in best.items() for s, i in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "id", "score"])
+            if not batch.num_rows:
+                continue
+            where = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
+            for a, b in zip(cuts, cuts[1:]):
+                number, side = divmod(int(where[a]), 2)
+                if number != at:
+                    if cell is not None:
+                        yield from cell.rows()
+                    at, cell = number, _Cell(k)
+                own = batch.slice(a, b - a).select([2, 3, 4, 5])
+                # slices of lists keep the offsets of the whole
+                own = pa.RecordBatch.from_arrays([*own.columns[:3], pa.concat_arrays([own.column(3)])], names=["key", "id", "times", "vector"])
+                cell.meet(own) if side else cell.ask(own)
+        if cell is not None:
+            yield from cell.rows()
 
     return run
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """For each of queries (id, vector of long), the k best of candidates (id, vector of long) other than itself:
-    query_id, rank from 1, id, score."""
+def numbered(vectors: DataFrame) -> DataFrame:
+    """vectors (id, vector) as written rows key, id, times, vector: rows that are equal in both are one row, counted."""
+    rows = vectors.where("id is not null and vector is not null").groupBy("id", "vector").agg(F.count("*").alias("times"))
+    return written(rows.select(F.monotonically_increasing_id().alias("key"), "id", "times", "vector"), "vectors")
+
+
+def top_k(candidates: DataFrame, asked: Column, k: int, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """For each row of candidates (id, vector of long) for which asked holds, the k best of all other rows: query_id,
+    rank from 1, id, score."""
     spark = candidates.sparkSession
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vector").cast("long") * 8 + 200), F.lit(0)).alias("bytes")).first()
-    # dealt by hash, a group can be larger than the mean one; half the bound leaves room
-    groups = max(1, -(-2 * size.bytes // group_bytes)) if size.bytes > group_bytes else 1
-    found = []
-    for g in range(groups):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g) if groups > 1 else queries
-        asked: dict[int, tuple] = {}
-        for batch in own.select("id", "vector").toArrow().combine_chunks().to_batches():
-            for ids, vectors in _vectors(batch):
-                if vectors.shape[1] in asked:
-                    ids, vectors = (np.concatenate(x) for x in zip(asked[vectors.shape[1]], (ids, vectors)))
-                asked[vectors.shape[1]] = (ids, vectors)
-        run = _searcher(spark.sparkContext.broadcast(asked), k)
-        part = candidates.select("id", "vector").mapInArrow(run, "query_id long, id long, score long")
-        found.append(written(part, "topk") if groups > 1 else part)
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    rows = numbered(candidates)
+    bytes_ = F.coalesce(F.sum(F.size("vector").cast("long") * 8 + 40), F.lit(0))
+    queries = rows.where(asked)
+    q_blocks = max(1, -(-queries.agg(bytes_.alias("b")).first().b // cell_bytes))
+    cores = spark.sparkContext.defaultParallelism
+    c_blocks = max(1, -(-rows.agg(bytes_.alias("b")).first().b // cell_bytes), -(-2 * cores // q_blocks))
+
+    def dealt(df: DataFrame, side: int, own: int, others: int, number) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit(side), "key"), F.lit(own))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return df.withColumn("own", mine).withColumn("other", other).select(number(F.col("own"), F.col("other")).cast("long").alias("cell"), F.lit(side).alias("side"), "key", "id", "times", "vector")
+
+    cells = dealt(queries, 0, q_blocks, c_blocks, lambda own, other: own * c_blocks + other).unionByName(dealt(rows, 1, c_blocks, q_blocks, lambda own, other: other * c_blocks + own))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(q_blocks * c_blocks, 20_000))
+    found = cells.repartition(n, "cell").sortWithinPartitions("cell", "side").mapInArrow(_searcher(k), "query long, id long, score long, times long")
+    # a row that occurs k times or more fills all ranks
+    each = found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "id"))
+    best = each.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
+    # a query row that is repeated unfolds in steps, after the join
+    names = queries.select(F.col("key").alias("query"), F.col("id").alias("query_id"), "times", F.explode(F.sequence(F.lit(1).cast("long"), "times", F.lit(_STEP).cast("long"))).alias("from"))
+    own = F.explode(F.sequence("from", F.least("times", F.col("from") + _STEP - 1)))
+    return names.hint("merge").join(best.hint("merge"), "query").select("query_id", "rank", "id", "score", own.alias("time")).drop("time")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
-    rows = rows.where("vector is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    rows = written(rows, "vectors")
-    found = top_k(rows, rows.where("id % 50 = 0"), 5)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("vector"))
+    return top_k(rows, F.col("id") % 50 == 0, 5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(q) AS q FROM (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
-  GROUP BY vec_id),
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  SELECT a.row, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.row <> b.row AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
