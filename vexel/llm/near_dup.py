@@ -8,11 +8,19 @@ of a bounded number are finished within a task, which branches them on down to l
 signatures exhaustively; larger nodes are branched on as tables, level by level. Nodes that are still too large after
 all levels are compared in blocks of two parts, so none is cut short.
 
+Recall: below the root a node chooses so many positions that a pair at the threshold shares BRANCHES children on
+average, and the chance that none of its paths goes on through all levels is taken from that branching process (_through).
+The roots of all trees are so many that a pair at the threshold is missed less often than 1 - RECALL allows even where
+its nodes need all LEVELS. The roots' tokens have 64 bits, so that strangers do not meet there; the others have 32 bits, as
+they only tell the documents of one node apart. A token is a hash of the least element, not its value, so tokens of
+large sets don't crowd.
+
 A leaf names no pairs. Documents whose signatures may reach the threshold form its clusters, and each different cluster
 is confirmed once: a task takes the full sets of its members, counts all intersections as products of blocks of their
-incidence matrix, and names each member's least linked one. So what is emitted grows with the members, not with
-their pairs, and every pair of a cluster is compared on full sets. Links join components. Trees are as many as the
-target recall needs; the signature's filter lies 4.5 standard deviations below the threshold.
+incidence matrix, and names each member's least linked one. A cluster of more than CELL_HASHES hashes is cut into parts,
+and each two parts are confirmed together, so a task's memory is bounded by bytes, not by members. What is emitted grows
+with the members, not with their pairs, and every pair of a cluster is compared on full sets. Links join components.
+The signature's filter lies 4.5 standard deviations below the threshold.
 
 Nulls and the like: a null or empty text has an empty set and is linked with nothing, nor is a null doc_id (its
 component is null, and it is kept); a text with fewer words than a shingle is one shingle; rows that share a
@@ -27,20 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, table, text_or_empty, written
+from .common import Words, mix, slices, spread, table, text_or_empty, written
 
 THRESHOLD = 80
 TOKENS = 96
-RECALL = 0.999999
+RECALL = 0.99999
+#: Children that a pair at the threshold shares on average, below the root.
+BRANCHES = 2
 #: The most documents of a node that one task finishes, and of a leaf.
 NODE_ROWS, LEAF_ROWS = 20_000, 4096
 #: Nodes up to this size are compared once, however many trees find them.
 LISTED = 64
 LEVELS = 12
+#: Hashes of the sets that a task confirms together, about.
+CELL_HASHES = 4 << 20
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -77,35 +87,49 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, text) to doc_id, digest (of the words), n_shingles, signature (null without shingles)."""
+def sketches(docs: DataFrame, k: int, roots: list[int]) -> DataFrame:
+    """docs (doc_id, text) to doc_id, digest (of the words), n_shingles, signature (32-bit tokens) and roots (64-bit tokens
+    of the given positions); the last two are null without shingles."""
+    wide = sorted(set(roots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch, 1):
                 sh, off, w, h = shingles(s.column(1), k)
                 full = np.flatnonzero(np.diff(off) > 0)
-                sig = np.zeros((len(full), TOKENS), "<u4")
+                sig, own = np.zeros((len(full), TOKENS), "<u4"), np.zeros((len(full), len(wide)), ">u8")
                 with np.errstate(over="ignore"):
                     for t in range(TOKENS if len(full) else 0):
-                        sig[:, t] = np.minimum.reduceat((sh * _A[t] + _B[t]) >> np.uint64(32), off[full])
+                        token = mix(np.minimum.reduceat(sh * _A[t] + _B[t], off[full]))
+                        sig[:, t] = token >> np.uint64(32)
+                        if t in wide:
+                            own[:, wide.index(t)] = token
                 n = [len(np.unique(sh[a:b])) for a, b in zip(off, off[1:])]
                 digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(w.first, w.first[1:])]
-                signatures: list[bytes | None] = [None] * s.num_rows
+                signatures: list[list[bytes | None]] = [[None] * s.num_rows, [None] * s.num_rows]
                 for i, r in enumerate(full):
-                    signatures[r] = sig[i].tobytes()
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "digest", "n_shingles", "signature"])
+                    signatures[0][r], signatures[1][r] = sig[i].tobytes(), own[i].tobytes()
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in signatures)], names=["doc_id", "digest", "n_shingles", "signature", "roots"])
+
+    return spread(docs.select("doc_id", text_or_empty().alias("text"))).mapInArrow(run, "doc_id long, digest binary, n_shingles long, signature binary, roots binary")
+
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, signature binary")
+def _through(levels: int) -> float:
+    """The chance that a pair at the threshold still shares a node so many levels below one that it shares: shared
+    children are about Poisson distributed, with the mean BRANCHES."""
+    p = 1.0
+    for _ in range(levels):
+        p = 1 - float(np.exp(-BRANCHES * p))
+    return p
 
 
-def root_positions(threshold: float, recall: float) -> list[tuple[int, int]]:
+def root_positions(threshold: float, recall: float, levels: int = LEVELS) -> list[tuple[int, int]]:
     """(tree, position) for the roots of all trees: each position of a tree with probability 1 / (threshold *
     TOKENS), one at least; trees until a pair at the threshold is missed less often than 1 - recall allows."""
     rng, found = np.random.default_rng(7), []
-    needed = np.log(1 - recall) / np.log(1 - threshold)
+    needed = np.log(1 - recall) / np.log(1 - threshold * _through(levels))
     tree = 0
-    while len(found) < 1.25 * needed:
+    while len(found) < needed:
         own = np.flatnonzero(rng.random(TOKENS) < 1 / (threshold * TOKENS))
         found += [(tree, int(i)) for i in (own if len(own) else [rng.integers(TOKENS)])]
         tree += 1
@@ -171,7 +195,7 @@ def _branch(ids: np.ndarray, sig: np.ndarray, key: int, least: int, threshold: f
         yield from _clusters(ids, sig, least)
         return
     rng = np.random.default_rng([key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF, depth])
-    own = parts[rng.random(len(parts)) < 1 / (threshold * len(parts))]
+    own = parts[rng.random(len(parts)) < BRANCHES / (threshold * len(parts))]
     for p in own if len(own) else [rng.choice(parts)]:
         order = np.argsort(sig[:, p], kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order, p])) + 1
@@ -180,24 +204,44 @@ def _branch(ids: np.ndarray, sig: np.ndarray, key: int, least: int, threshold: f
                 yield from _branch(ids[rows], sig[rows], key * 31 + int(sig[rows[0], p]) + int(p), least, threshold, depth + 1)
 
 
-def _finisher(threshold: float):
-    """Nodes (node, id, signature) to clusters (cluster, id), a cluster named by its members."""
+def _cells(ids: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A cluster's ids, whole if its sets hold at most so many hashes; else each two of the parts that hold half as many,
+    or a single set."""
+    part = np.cumsum(sizes) - sizes
+    part = np.cumsum(np.concatenate([[0], np.diff(2 * part // most) > 0])) if sizes.sum() > most else np.zeros(len(ids), np.int64)
+    n = int(part[-1]) + 1
+    if n <= 2:
+        yield ids
+        return
+    own = [ids[part == i] for i in range(n)]
+    for i in range(n):
+        for j in range(i + 1, n):
+            yield np.concatenate([own[i], own[j]])
+
+
+def _finisher(threshold: float, most: int):
+    """Nodes (node, id, n_shingles, signature) to cells of clusters (cluster, id), each named by its members."""
     least = _likely(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, members, held, seen = [], [], 0, set()
-        for key, (ids, sig) in _groups(batches):
-            for own in _branch(ids, sig, key, least, threshold) if len(ids) > 2 else [ids] * int((sig[0] == sig[1]).sum() >= least):
-                own = np.sort(own)
-                name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                if name not in seen:
-                    seen.add(name)
-                    names.append(np.full(len(own), name, np.int64))
-                    members.append(own)
-                    held += len(own)
-            if held > 50_000:
-                yield _columns(("cluster", "id"), names, members)
-                names, members, held = [], [], 0
+        for key, (ids, sizes, sig) in _groups(batches):
+            rows = np.arange(len(ids))
+            for found in _branch(rows, sig, key, least, threshold) if len(ids) > 2 else [rows] * int((sig[0] == sig[1]).sum() >= least):
+                found = found[np.argsort(ids[found], kind="stable")]
+                for own in _cells(ids[found], sizes[found], most):
+                    name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    if name not in seen:
+                        seen.add(name)
+                        names.append(np.full(len(own), name, np.int64))
+                        members.append(own)
+                        held += len(own)
+                    if held > 50_000:
+                        yield _columns(("cluster", "id"), names, members)
+                        names, members, held = [], [], 0
+            # names already given only save work; a task forgets them rather than grow
+            if len(seen) > 1_000_000:
+                seen.clear()
         if held:
             yield _columns(("cluster", "id"), names, members)
 
@@ -279,7 +323,9 @@ def _confirmer(k: int, threshold: int):
 
 def nodes(reps: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS) -> list[DataFrame]:
     """Nodes (node, id) of two documents or more and of node_rows at most, a table a level."""
-    roots = [F.xxhash64(F.lit(t), F.lit(p), _token(F.lit(p))) for t, p in root_positions(threshold, recall)]
+    positions = root_positions(threshold, recall)
+    wide = sorted({p for _, p in positions})
+    roots = [F.xxhash64(F.lit(t), F.lit(p), F.substring(F.col("roots"), 8 * wide.index(p) + 1, 8)) for t, p in positions]
     rows = reps.select("id", F.explode(F.array(*roots)).alias("node"))
     found = []
     for level in range(LEVELS):
@@ -293,10 +339,10 @@ def nodes(reps: DataFrame, threshold: float, recall: float, node_rows: int = NOD
         if large.isEmpty():
             return found
         if level < LEVELS - 1:
-            share = int((1 << 20) / (threshold * TOKENS))
+            share = int(BRANCHES * (1 << 20) / (threshold * TOKENS))
             chosen = F.filter(F.array(*[F.lit(i) for i in range(TOKENS)]), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < share)
             chosen = F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.pmod(F.xxhash64("node"), F.lit(TOKENS)).cast("int")))
-            rows = large.join(reps, "id").select("id", "node", "signature", F.explode(chosen).alias("at")).select("id", F.xxhash64("node", "at", _token(F.col("at"))).alias("node"))
+            rows = large.hint("merge").join(reps.hint("merge"), "id").select("id", "node", "signature", F.explode(chosen).alias("at")).select("id", F.xxhash64("node", "at", _token(F.col("at"))).alias("node"))
     # what no level has parted: each two parts of a node meet in a block
     parts = F.ceil(F.col("n") * 2 / node_rows).cast("int")
     own = large.select("id", "node", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
@@ -317,15 +363,18 @@ def components(links: DataFrame) -> DataFrame:
     def settled(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    def least(side: str):
-        return F.min(side).over(W.partitionBy("a"))
+    def with_least(e: DataFrame) -> DataFrame:
+        """Each edge with the least neighbor of its end a. The minima are made within tasks first and written, so that Spark
+        can split the join's partitions: an end of any number of edges is no task of its own."""
+        least = written(e.groupBy("a").agg(F.min("b").alias("m")), "least")
+        return e.hint("merge").join(least.hint("merge"), "a")
 
     edges, before = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", least("b"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         # each edge leads from its greater end; that end's least neighbor takes all
-        small = large.withColumn("m", least("b")).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        small = with_least(large).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         edges = written(small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
         now = settled(edges)
         if now == before:
@@ -333,28 +382,30 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, recall: float = RECALL, node_rows: int = NODE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, recall: float = RECALL, node_rows: int = NODE_ROWS, cell_hashes: int = CELL_HASHES) -> DataFrame:
     """A row for each of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable), kept
     (doc_id = component_id)."""
     s = threshold / 100
-    drawn = written(sketches(docs, k), "sketches")
+    drawn = written(sketches(docs, k, [p for _, p in root_positions(s, recall)]), "sketches")
     named = drawn.where("doc_id is not null and signature is not null")
-    classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
-    reps = classes.select("id", "signature")
+    one = F.min(F.struct("doc_id", "n_shingles", "signature", "roots"))
+    classes = written(named.groupBy("digest").agg(one.alias("d")).select("digest", F.col("d.doc_id").alias("id"), "d.n_shingles", "d.signature", "d.roots"), "classes")
+    reps = classes.drop("digest")
 
     found = nodes(reps, s, recall, node_rows)
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
-    joined = _sorted_by(rows.hint("merge").join(reps, "id"), "node", "id", "signature")
-    clusters = written(joined.mapInArrow(_finisher(s), "cluster long, id long"), "clusters").distinct()
+    joined = _sorted_by(rows.hint("merge").join(reps.hint("merge"), "id"), "node", "id", "n_shingles", "signature")
+    clusters = written(joined.mapInArrow(_finisher(s, cell_hashes), "cluster long, id long"), "clusters").distinct()
+    # a class's text is that of its document's row; equal rows agree in their words
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
     full = _sorted_by(clusters.hint("merge").join(texts.hint("merge"), "id"), "cluster", "id", "text")
     links = written(full.mapInArrow(_confirmer(k, threshold), "a long, b long"), "links")
     comp = written(components(links), "components")
 
-    member = classes.select("digest", "id").join(comp, "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
-    each = drawn.select("doc_id", "digest", "n_shingles").join(member, "digest", "left")
+    member = classes.select("digest", "id").join(comp.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
+    each = drawn.select("doc_id", "digest", "n_shingles").join(member.hint("merge"), "digest", "left")
     # an id with several texts is one document: its component is the least that any of them reaches
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("found")).otherwise(F.col("doc_id"))
     return each.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
