@@ -70,7 +70,31 @@ def test_mix_meets_targets_and_limits(spark):
     # each place of each shard is filled once
     slots = m.slots.collect()
     assert len({(s.shard, s.place) for s in slots}) == len(slots) and max(s.place for s in slots) < 64
-    assert all(c.blocks <= 64 for c in mixing.shard_counts(m.slots).collect())
+    # slots are as the counts say, which are the shards' draws conditioned on the targets
+    held = Counter((s.shard, s.rank) for s in slots)
+    counts = m.counts.collect()
+    assert {(c.shard, c.rank): c.blocks for c in counts if c.blocks} == dict(held)
+    drawn, blocks, by_source = Counter(), Counter(), Counter()
+    for c in counts:
+        drawn[c.shard] += c.drawn
+        blocks[c.shard] += c.blocks
+        by_source[c.rank] += c.blocks
+    assert drawn == blocks and all(n == 64 for k, n in drawn.items() if k != max(drawn))
+    assert by_source == {s["rank"]: s.n_slots for s in m.sources.collect() if s.n_slots}
+
+
+def test_draws_are_multinomial_and_little_is_drawn_anew(spark):
+    sources = spark.createDataFrame([(1, 0, 50_000), (2, 50_000, 30_000), (3, 80_000, 20_000)], "rank int, first_slot long, n_slots long")
+    counts = mixing.drawn_counts(sources, 1000, 5).collect()
+    per = {r: [c.drawn for c in counts if c["rank"] == r] for r in (1, 2, 3)}
+    for r, p in ((1, 0.5), (2, 0.3), (3, 0.2)):
+        got = np.array(per[r])
+        assert abs(got.mean() - 1000 * p) < 8
+        # the variance of binomial draws, within the error of a hundred shards
+        assert 0.6 < got.var() / (1000 * p * (1 - p)) < 1.6
+        assert sum(c.blocks for c in counts if c["rank"] == r) == 100_000 * p
+    assert sum(abs(c.blocks - c.drawn) for c in counts) < 2000
+    assert all(sum(c.blocks for c in counts if c.shard == s) == 1000 for s in range(100))
 
 
 def test_mix_is_the_same_again_however_rows_are_dealt(spark):
@@ -96,6 +120,10 @@ def test_mixed_documents_hold_what_is_taken(spark):
     for r in out.collect():
         assert r.text in texts[r.doc_id] and r.n_chars == len(r.text)
         counts[r.doc_id] += len(WORDS.findall(r.text))
+    more = docs.withColumns({"size": F.lit("own"), "pass": F.lit(1), "block": F.col("doc_id"), "_text_hash": F.lit("h"), "runs": F.lit(0.5), "a b": F.lit(2)})
+    wide = mixing.mixed_documents(more, block=16)
+    assert wide.columns == more.columns
+    assert sorted(map(str, wide.select(*docs.columns).collect())) == sorted(map(str, out.collect()))
     narrow = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("text_hash"), "source", mixing.n_words(F.coalesce("text", F.lit(""))).alias("size"))
     taken = mixing.taken(mixing.mix(narrow, ["doc_id", "text_hash"], block=16), ["doc_id", "text_hash"]).collect()
     assert {r.doc_id: r.taken for r in taken if r.taken} == dict(counts)
@@ -146,6 +174,26 @@ def test_turns_come_back_and_targets_once(spark):
     assert all(n <= 200 or k == 1 for n, k in longest.values())
 
 
+def test_no_byte_level_vocabulary_exceeds_a_window_s_budget(spark):
+    from vexel.llm.common import CachedEncoder
+    from vexel.llm.packing import vocabulary
+
+    e = CachedEncoder(vocabulary("byte_bpe_50k.json"), True)
+    words = ["漢字" * 16, "Привет мир", "สวัสดี", "שלום", "zqxj vwkq", "plain words", "😀"]
+    rng = random.Random(3)
+    rows = [(c, i, ("user", "assistant")[i % 2], " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for c in range(5) for i in range(20)]
+    formatted, _ = read(spark, rows, budget=1500, history_tokens=300)
+    assert all(len(e.tokenizer.encode(w.text, add_special_tokens=False).ids) <= w.n_tokens for w in formatted)
+    assert all(w.n_tokens <= 1500 or sum(s.own for s in w.segments) == 1 for w in formatted)
+
+
+def test_counted_tokens_choose_the_spans(spark):
+    rows = [(1, i, "user", "x" * 500, 1) for i in range(10)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n long").withColumn("no", F.lit("own"))
+    assert chat.windows(df, budget=100, history_tokens=10, tokens="n").count() == 1
+    assert chat.windows(df, budget=100, history_tokens=10).count() == 10
+
+
 def test_ties_repeats_and_null_conversations(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 0, "assistant", "x"), (None, 1, "user", "y")]
     _, back = read(spark, rows)
@@ -213,36 +261,49 @@ def test_top_k_against_brute_force(spark):
     rows[13] = (13, rows[40][1])
     rows += [(2000 + i, rows[60][1]) for i in range(12)] + [(50, [0.0] * 6), (3, [9.0, 1.0]), (100, None), (150, [math.nan] + [0.0] * 5), (None, [1.0] * 6), (5000, [1e300, 0.0, 0.0, 0.0, 0.0, 0.0]), (5050, [-1e300, 1.0, 1.0, 1.0, 1.0, 1.0]), (5100, [0.5, 2.0]), (5150, [])]
     df = spark.createDataFrame(rows, "id long, e array<double>").repartition(6)
-    q = df.where("id is not null").select("id", topk.quantized(F.col("e")).alias("vector")).where("vector is not null").groupBy("id").agg(F.min("vector").alias("vector")).cache()
-    got = {}
-    for r in topk.top_k(q, q.where("id % 50 = 0"), 5, group_bytes=2000).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.score))
-    v = {r.id: r.vector for r in q.collect()}
-    most = (1 << 63) - 1
-    for i, x in v.items():
+    df = df.unionByName(df.where("id in (50, 60, 100, 7)")).unionByName(spark.createDataFrame([(50, [1.0] * 6)], df.schema))
+    q = df.select("id", topk.quantized(F.col("e")).alias("vector"), F.lit(1).alias("key"), F.lit("x").alias("times")).cache()
+    got = Counter((r.query_id, r["rank"], r.id, r.score) for r in topk.top_k(q, F.col("id") % 50 == 0, 5, cell_bytes=4000).collect())
+    v = [(r.id, r.vector) for r in q.collect() if r.id is not None and r.vector is not None]
+    most, want = (1 << 63) - 1, Counter()
+    for n, (i, x) in enumerate(v):
         if i % 50 == 0:
-            all_ = sorted((-max(-most, min(most, sum(a * b for a, b in zip(x, y)))), j) for j, y in v.items() if j != i and len(y) == len(x))[:5]
-            assert sorted(got.get(i, [])) == [(n + 1, j, -s) for n, (s, j) in enumerate(all_)], i
-    assert set(got) <= {i for i in v if i % 50 == 0}
+            every = sorted((-max(-most, min(most, sum(a * b for a, b in zip(x, y)))), j) for m, (j, y) in enumerate(v) if m != n and len(y) == len(x))[:5]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(every))
+    assert got == want
 
 
-def test_lists_stop_early_and_stay_exact():
+def test_lists_are_read_until_outsiders_cannot_qualify():
     rng = np.random.default_rng(8)
     v = np.floor(rng.normal(size=(4000, 32)) * 256).astype(np.int64)
-    ids = rng.permutation(4000)
+    # some candidates that no other comes near
+    v[:10] = np.sign(v[0]) * 2000 + v[:10]
+    ids, keys, once = rng.permutation(4000), np.arange(4000), np.ones(4000, np.int64)
     for block in (100, 1000, 4000):
-        for q in range(5):
-            known = []
+        for q in (0, 3, 500, 501):
+            known, reads, entries = [], 0, 0
             for a in range(0, 4000, block):
-                known = topk.Lists(ids[a : a + block], v[a : a + block]).best(int(ids[q]), v[q], 7, known)
+                lists = topk.Lists(keys[a : a + block], ids[a : a + block], once[a : a + block], v[a : a + block])
+                known = lists.best(q, v[q], 7, known)
+                reads, entries = reads + lists.reads, entries + lists.entries
             s = v @ v[q]
-            want = sorted((-int(x), int(i)) for x, i in zip(s, ids) if i != ids[q])[:7]
-            assert known == want
+            want = sorted((-int(x), int(i)) for x, i, k in zip(s, ids, keys) if k != q)[:7]
+            assert [x[:2] for x in known] == want
+            assert reads <= entries
+            if q < 10:
+                # once the ten are known, each block's lists are left long before their ends
+                assert reads < 0.6 * entries
+
+
+def test_repeated_candidates_fill_as_many_ranks():
+    lists = topk.Lists(np.array([0, 1, 2]), np.array([5, 4, 4]), np.array([3, 1, 1]), np.array([[2], [1], [2]]))
+    assert lists.best(9, np.array([1]), 3, []) == [(-2, 4, 2, 1), (-2, 5, 0, 3)]
+    assert lists.best(0, np.array([1]), 9, []) == [(-2, 4, 2, 1), (-2, 5, 0, 2), (-1, 4, 1, 1)]
 
 
 def test_top_k_of_nothing(spark):
     e = spark.createDataFrame([], "id long, vector array<long>")
-    assert topk.top_k(e, e, 5).count() == 0
+    assert topk.top_k(e, F.col("id") > 0, 5).count() == 0
 
 
 # -- fingerprints
@@ -387,6 +448,71 @@ def test_intersections_in_blocks_are_exact():
     assert got.tolist() == [find(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("cell", [1, 300, 10**9])
+def test_clusters_are_confirmed_in_cells(spark, cell):
+    rows = near_rows(12, seed=21)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dup.near_duplicates(df, k=4, cell_hashes=cell).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == components(rows, 4)
+
+
+def test_recall_through_levels():
+    """Planted pairs at the threshold among strangers that share half of their tokens with all: each node is branched on
+    down to small leaves, and the pairs that share a leaf in any of the trees are found."""
+    rng = np.random.default_rng(31)
+    pairs, n = 400, 2400
+    common = rng.integers(0, 1 << 32, near_dup.TOKENS, dtype=np.uint32)
+    sig = rng.integers(0, 1 << 32, (n, near_dup.TOKENS), dtype=np.uint32)
+    sig = np.where(rng.random(sig.shape) < 0.5, common, sig)
+    for i in range(pairs):
+        same = rng.permutation(near_dup.TOKENS) < 0.8 * near_dup.TOKENS
+        sig[2 * i + 1][same] = sig[2 * i][same]
+        sig[2 * i + 1][~same] = rng.integers(0, 1 << 32, (~same).sum(), dtype=np.uint32)
+    found, depths, old = set(), [], near_dup.LEAF_ROWS
+    clusters = near_dup._clusters
+
+    def seen(ids, s, least):
+        # a pair that shares a leaf is compared exhaustively there
+        here = set(ids.tolist())
+        found.update(i for i in range(pairs) if 2 * i in here and 2 * i + 1 in here)
+        return iter(())
+
+    try:
+        near_dup.LEAF_ROWS, near_dup._clusters = 20, seen
+        for tree, p in near_dup.root_positions(0.8, near_dup.RECALL):
+            for token in np.unique(sig[:, p]):
+                rows = np.flatnonzero(sig[:, p] == token)
+                if len(rows) > 1:
+                    list(near_dup._branch(rows, sig[rows], int(token) * 96 + p + tree, 0, 0.8))
+    finally:
+        near_dup.LEAF_ROWS, near_dup._clusters = old, clusters
+    assert len(found) / pairs >= 0.99
+
+
+def test_tokens_of_large_sets_do_not_crowd():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}_{j}" for j in range(1500)) for i in range(8)]
+    run = {}
+
+    class Frame:
+        def select(self, *a):
+            return self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+
+    old, near_dup.spread = near_dup.spread, lambda df: df
+    try:
+        near_dup.sketches(Frame(), 4, [0, 5])
+    finally:
+        near_dup.spread = old
+    (b,) = run["f"](iter([pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(texts)], names=["doc_id", "text"])]))
+    tokens = np.concatenate([np.frombuffer(x, "<u4") for x in b.column(3).to_pylist()])
+    assert 0.4 < tokens.mean() / (1 << 32) < 0.6
+    assert all(len(x) == 16 for x in b.column(4).to_pylist())
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -452,6 +578,61 @@ def test_labels_of_one_class_reject_nothing(spark, rows):
     assert len(got) == 3 and not any(r._toxic or r._low_quality for r in got)
 
 
+def test_chain_is_the_same_however_rows_are_dealt(spark):
+    docs, labels = labelled(spark, 200)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    names, found = ["low_quality", "toxic"], []
+    for n in (1, 5):
+        df = spark.createDataFrame(docs[:: 1 if n == 1 else -1], "doc_id long, text string, own string").repartition(n)
+        m = toxicity.train(toxicity.training_sample(df, y.repartition(n)), names)
+        found.append(sorted((r.doc_id, r.p_low_quality, r.p_toxic, r.toxic) for r in toxicity.scored(df, m).collect()))
+    assert found[0] == found[1]
+
+
+def test_scores_against_the_formula(spark):
+    """Probabilities worked out text by text: features as a set of hashed beginnings of words, the chain link by link."""
+    import pyarrow as pa
+
+    docs, labels = labelled(spark, 150)
+    df = spark.createDataFrame([*docs, (9000, None, None), (9001, "", None)], "doc_id long, text string, own string")
+    m = toxicity.train(toxicity.training_sample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ["low_quality", "toxic"])
+    got = {r.doc_id: r for r in toxicity.scored(df, m).collect()}
+    number = {int(f): i for i, f in enumerate(m.features)}
+    for i, text, _ in [*docs, (9000, None, None), (9001, "", None)]:
+        words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")
+        hashes = {int(h) for w in words for h in toxicity.hashed(toxicity.Words(pa.array([w]), space=toxicity.NOT_LETTERS))[0]}
+        n, inside = len((text or "").encode()), sum(len(w.encode()) for w in words)
+        measures = np.array([math.log1p(n), math.log1p(len(words)), min(20, inside / max(1, len(words))), 1 - inside / max(1, n)])
+        earlier = []
+        for link in m.models:
+            z = link.bias + sum(link.weights[number[h]] for h in hashes if h in number) + float(link.dense @ [*(measures - m.center) / m.spread, *earlier])
+            earlier.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert np.allclose([got[i].p_low_quality, got[i].p_toxic], earlier, atol=1e-9)
+        assert got[i].toxic == (got[i].p_toxic >= m.models[1].threshold)
+
+
+def test_folds_do_not_leak(spark):
+    """Labels by chance, and words that each stand in a few texts only: models that had seen a row's label could tell it."""
+    rng = random.Random(17)
+    docs = [(i, " ".join(f"w{rng.randrange(150)}" for _ in range(25))) for i in range(600)]
+    labels = [(i, rng.randrange(2), rng.randrange(2)) for i, _ in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    old, toxicity.LEAST_RATIO = toxicity.LEAST_RATIO, 0.5
+    try:
+        m = toxicity.train(toxicity.training_sample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ["low_quality", "toxic"])
+    finally:
+        toxicity.LEAST_RATIO = old
+    # out-of-fold probabilities that tell nothing have their best F1 where nearly all rows are taken
+    taken = sum(r.toxic for r in toxicity.scored(df, m).collect())
+    assert len(m.features) > 20 and (taken > 400 or m.models[1].threshold < 0.45)
+
+
+def test_no_documents_are_scored(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    m = toxicity.train(toxicity.training_sample(empty, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")), ["low_quality", "toxic"])
+    assert toxicity.scored(empty, m).count() == 0
+
+
 def test_sample_is_bounded(spark):
     docs, labels = labelled(spark)
     s = toxicity.training_sample(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), train_rows=50)

@@ -44,7 +44,7 @@ def test_slices_cover_all_rows():
 
 @pytest.mark.parametrize(("name", "keep"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_cached_ids_are_the_library_s(name, keep):
-    e = CachedEncoder(vocabulary(name), keep, most=500)
+    e = CachedEncoder(vocabulary(name), keep, most=100_000)
     for seed in range(3):
         t = texts(1500, seed)
         ids, off = e.encode(t)
@@ -91,6 +91,27 @@ def test_packing_holds_every_id_once(spark):
     assert all(len(x.ids) == 256 for x in s) and sum(x.n_tokens for x in s) == want
 
 
+def test_memory_is_bounded_by_bytes_and_long_chunks_are_not_kept():
+    e = CachedEncoder(vocabulary("byte_bpe_50k.json"), True, most=60_000)
+    rng = random.Random(2)
+    for _ in range(30):
+        t = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)) + " " + "y" * 5000]
+        ids, _ = e.encode(t)
+        assert ids.tolist() == e.tokenizer.encode(t[0], add_special_tokens=False).ids
+        assert e.bytes <= 60_000 + 200 * 250 + 40_000
+        assert all(len(k) < 256 for d in (e.numbers, e.spaced) for k in d)
+
+
+def test_extra_columns_take_no_part(spark):
+    df = docs_frame(spark)
+    more = df.selectExpr("*", "1 as part", "'x' as ids", "doc_id as start", "2 as n_tokens", "'y' as file")
+    path = vocabulary("byte_bpe_50k.json")
+    key = lambda rows: sorted(map(str, rows))
+    assert packing.digests(packing.pack(more, path)).agg({"length": "sum"}).collect() == packing.digests(packing.pack(df, path)).agg({"length": "sum"}).collect()
+    counted = rollup.token_counts(more, path)
+    assert "text" not in counted.columns and key(counted.select("doc_id", "n_tokens").collect()) == key(rollup.token_counts(df, path).select("doc_id", "n_tokens").collect())
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, ids int"), vocabulary("byte_bpe_50k.json")).count() == 0
 
@@ -118,6 +139,12 @@ def test_empty_table_to_files(spark, tmp_path):
     assert tokenfile.read_files(spark, files).count() == 0
 
 
+def test_the_least_id_is_no_null(spark, tmp_path):
+    df = spark.createDataFrame([(-(1 << 63), "a", 1), (None, "b", 2), (0, None, 3)], "doc_id long, text string, part int")
+    files = tokenfile.write_files(df, f"file://{tmp_path}/n", vocabulary("word_bpe_49k.json"), False)
+    assert [r.doc_id for r in sorted(tokenfile.read_files(spark, files).collect(), key=lambda r: r.start)] == [None, -(1 << 63), 0]
+
+
 def sample_file(n=50, frame=400):
     out = io.BytesIO()
     w = tokenfile.Writer(out, frame_bytes=frame)
@@ -176,6 +203,31 @@ def test_rollup_sums_signed_changes_once(spark, tmp_path):
     assert r.batches() == ["a", "b", "c"] and r.totals().count() == 1
 
 
+def test_a_crash_within_compaction_counts_nothing_twice(spark, tmp_path):
+    r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
+    one = lambda n: spark.createDataFrame([("insert", "s", "en", "1", n, None)], CHANGES)
+    r.commit("a", one(10))
+    r.compact()
+    r.commit("b", one(5))
+    sweep, r._sweep = r._sweep, lambda: None
+    r.compact()
+    want = {("s", "en", "1", 2, 15)}
+    # the old base and batch b are still there beside the new base that holds them
+    assert len(r._complete("base-")) == 2 and r._complete("batch-") == ["b"]
+    assert {tuple(x) for x in r.totals().collect()} == want and r.batches() == ["a", "b"]
+    assert not r.commit("a", one(10)) and not r.commit("b", one(5))
+    # a base without its mark of completion counts nothing
+    (tmp_path / "r" / "base-x").mkdir()
+    assert {tuple(x) for x in r.totals().collect()} == want
+    r._sweep = sweep
+    r.commit("c", one(1))
+    r.compact()
+    assert len(r._complete("base-")) == 1 and r._complete("batch-") == [] and r.batches() == ["a", "b", "c"]
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "1", 3, 16)}
+    r.compact()
+    assert {tuple(x) for x in r.totals().collect()} == {("s", "en", "1", 3, 16)}
+
+
 def test_unfinished_batch_is_overwritten(spark, tmp_path):
     r = rollup.TokenRollup(spark, f"file://{tmp_path}/r")
     left = tmp_path / "r" / "batch-a"

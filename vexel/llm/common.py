@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import cut, scratch_dir
+
 #: A word is a longest run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,32 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where the setting is absent (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "vexel-scratch")
-    return f"{root.rstrip('/')}/vexel/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared scratch folder, read again: the lineage ends there, and a lost executor
-    costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+written = cut
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what written() left, once no result that reads it is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a table of few row groups is dealt out, row by row, where a
+    Python worker is to do much with each row. Plans that shuffle anyway, and wider tables, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -149,8 +134,13 @@ class Words:
             return mix((sums[end] - sums[self.start]) * inverse[self.start])
 
 
-#: Chunks that a tokenizer remembers: about 200 bytes each, in each Python worker.
-REMEMBERED = 800_000
+#: Bytes that a tokenizer's memory of chunks may take in a Python worker, of which an executor has one a core: keys, their
+#: numbers and places in the dicts (OVERHEAD), and ids. LONGEST: characters from which on a chunk isn't remembered.
+ENCODER_BYTES = 128 << 20
+OVERHEAD = 150
+LONGEST = 256
+#: Chunks that go through the library in one text.
+_TOGETHER = 64
 #: White space as the Unicode property has it.
 _WS = " \t-\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -169,7 +159,7 @@ class _Pending:
 
 class _Numbers(dict):
     """Numbers for chunks of text in order of first use, shared by the dicts of one encoder. lead stands before each
-    key in the text."""
+    key in the text. Long chunks get a number each time."""
 
     def __init__(self, pending: _Pending, lead: str = ""):
         super().__init__()
@@ -177,7 +167,9 @@ class _Numbers(dict):
 
     def __missing__(self, key: str) -> int:
         p = self.pending
-        self[key] = n = p.count
+        n = p.count
+        if len(key) < LONGEST:
+            self[key] = n
         p.count += 1
         p.chunks.append(self.lead + key)
         return n
@@ -189,10 +181,10 @@ class CachedEncoder:
     A text is cut only where its ids cannot depend on what stands across the cut. keep_spaces: the vocabulary
     keeps white space (byte-level): cuts stand before a space, never inside a run of white space that the
     vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut.
-    A text that contains the string of a special token is encoded whole. most: chunks remembered; when they are more, the
-    later half is forgotten, as common chunks come early."""
+    A text that contains the string of a special token is encoded whole. most: bytes of remembered chunks; when they are
+    more, the later ones are forgotten, as common chunks come early."""
 
-    def __init__(self, path: str, keep_spaces: bool, most: int = REMEMBERED):
+    def __init__(self, path: str, keep_spaces: bool, most: int = ENCODER_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -201,21 +193,29 @@ class CachedEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.between = next(iter(special.items()), None)
         self.keep, self.most = keep_spaces, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.pending = _Pending()
         self.numbers, self.spaced = _Numbers(self.pending), _Numbers(self.pending, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1, np.int64)
+        self.bytes = 0
 
     def _forget(self) -> None:
-        keep = self.most // 2
-        self.pending.count = keep
+        """Forgets the later half of the chunks until the others take half of the bytes at most."""
+        keep = self.pending.count
+        while self.bytes > self.most // 2 and keep:
+            keep //= 2
+            for d in (self.numbers, self.spaced):
+                for key in [k for k, n in d.items() if n >= keep]:
+                    del d[key]
+            self.bytes = 4 * int(self.bounds[keep]) + sum(OVERHEAD + sys.getsizeof(k) for d in (self.numbers, self.spaced) for k in d)
         for d in (self.numbers, self.spaced):
-            for key in [k for k, n in d.items() if n >= keep]:
-                del d[key]
+            # a dict gives memory back only when it is made anew
+            left = dict(d)
+            d.clear()
+            d.update(left)
+        self.pending.count = keep
         self.bounds = self.bounds[: keep + 1].copy()
+        self.flat = self.flat[: int(self.bounds[-1])].copy()
 
     def _learn(self) -> None:
         new, self.pending.chunks = self.pending.chunks, []
@@ -227,6 +227,7 @@ class CachedEncoder:
             self.flat = np.concatenate([self.flat[:at], np.zeros(max(len(self.flat) // 2, len(ids)), np.uint32)])
         self.flat[at : at + len(ids)] = ids
         self.bounds = np.concatenate([self.bounds, at + np.cumsum(lengths)])
+        self.bytes += sum(map(sys.getsizeof, new)) + OVERHEAD * len(new) + 4 * len(ids)
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, their counts). Chunks go through the library in long texts, with a special token
@@ -236,8 +237,9 @@ class CachedEncoder:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
         mark, mark_id = self.between
-        texts = [mark.join(new[i : i + 4000]) + mark for i in range(0, len(new), 4000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        texts = [mark.join(new[i : i + _TOGETHER]) + mark for i in range(0, len(new), _TOGETHER)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))
         marks = np.flatnonzero(ids == mark_id)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
@@ -256,7 +258,7 @@ class CachedEncoder:
 
     def _which(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all chunks after another, chunks of each text)."""
-        if self.pending.count > self.most:
+        if self.bytes > self.most:
             self._forget()
         which: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
@@ -289,7 +291,7 @@ class CachedEncoder:
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 
 
-def encoder(path: str, keep_spaces: bool, most: int) -> CachedEncoder:
+def encoder(path: str, keep_spaces: bool, most: int = ENCODER_BYTES) -> CachedEncoder:
     """This worker's encoder: the file is read and chunks are remembered once a process."""
     key = (path, keep_spaces, most)
     if key not in _ENCODERS:

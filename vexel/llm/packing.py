@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, encoder, slices, table, text_or_empty, written
+from .common import ENCODER_BYTES, encoder, slices, spread, table, text_or_empty, written
 
 SEQUENCE = 2048
 END_ID = 1
@@ -32,13 +32,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(docs: DataFrame, path: str, keep_spaces: bool, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep_spaces: bool, end_id: int = END_ID, memory: int = ENCODER_BYTES) -> DataFrame:
     """docs (doc_id, text) as written rows doc_id, part, part_start, n_tokens, ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, total, e = TaskContext.get().partitionId(), 0, encoder(path, keep_spaces, remembered)
+        part, total, e = TaskContext.get().partitionId(), 0, encoder(path, keep_spaces, memory)
         for batch in batches:
             for s in slices(batch, 1):
                 ids, off = e.encode(s.column(1).to_pylist(), end_id)
@@ -48,7 +48,7 @@ def encoded(docs: DataFrame, path: str, keep_spaces: bool, end_id: int = END_ID,
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(total + off[:-1], pa.int64()), n, binary], names=["doc_id", "part", "part_start", "n_tokens", "ids"])
                 total += int(off[-1])
 
-    return written(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids binary"), "encoded")
+    return written(spread(docs.select("doc_id", text_or_empty().alias("text"))).mapInArrow(run, "doc_id long, part int, part_start long, n_tokens long, ids binary"), "encoded")
 
 
 def placed(docs: DataFrame) -> DataFrame:
@@ -81,8 +81,8 @@ def sequences(cut: DataFrame, sequence: int = SEQUENCE, pad_id: int = 0) -> Data
     return s.select("sequence_id", "n_tokens", F.unhex(F.concat("all", F.repeat(F.lit(pad), (sequence - F.col("n_tokens")).cast("int")))).alias("ids"))
 
 
-def pack(docs: DataFrame, path: str, keep_spaces: bool = True, sequence: int = SEQUENCE, remembered: int = REMEMBERED) -> DataFrame:
-    return pieces(placed(encoded(docs, path, keep_spaces, remembered=remembered)), sequence)
+def pack(docs: DataFrame, path: str, keep_spaces: bool = True, sequence: int = SEQUENCE, memory: int = ENCODER_BYTES) -> DataFrame:
+    return pieces(placed(encoded(docs, path, keep_spaces, memory=memory)), sequence)
 
 
 def digests(cut: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids in seekable files.
 
 A file holds independent zstandard frames of ids (little-endian unsigned 32-bit), each with the whole ids of one or
-more documents; then a skippable frame with the directory (document ids and their numbers of token ids); then the
+more documents; then a skippable frame with the directory (which documents have an id, their ids, and their numbers of
+token ids); then the
 seek table of the seekable zstandard format: a skippable frame with each frame's compressed and plain size and the
 low half of its XXH64 checksum, closed by a footer. A reader takes the footer, the seek table and the directory, then
 decompresses and verifies the frames of the documents it is asked for, and no others.
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, scratch_dir, slices, table, text_or_empty
+from .common import ENCODER_BYTES, encoder, scratch_dir, slices, table, text_or_empty
 from .packing import END_ID, vocabulary
 
 #: Fixed values of the seekable format.
@@ -36,7 +37,6 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 DIRECTORY_MAGIC = 0x184D2A50
 CHECKSUM_FLAG = 0x80
 FRAME_BYTES = 1 << 18
-_NULL = -(1 << 63)
 
 
 class Writer:
@@ -48,7 +48,7 @@ class Writer:
         self.frames: list[tuple[int, int, int]] = []
         self.held: list[bytes] = []
         self.size = 0
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.counts: list[int] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -56,7 +56,7 @@ class Writer:
             self._frame()
         self.held.append(ids)
         self.size += len(ids)
-        self.ids.append(_NULL if doc_id is None else doc_id)
+        self.ids.append(doc_id)
         self.counts.append(len(ids) // 4)
 
     def _frame(self) -> None:
@@ -69,7 +69,8 @@ class Writer:
     def close(self) -> None:
         if self.size:
             self._frame()
-        directory = self.z.compress(np.array([self.ids, self.counts], "<i8").tobytes())
+        known = [i is not None for i in self.ids]
+        directory = self.z.compress(np.array([known, [i or 0 for i in self.ids], self.counts], "<i8").tobytes())
         self.out.write(struct.pack("<II", DIRECTORY_MAGIC, len(directory)) + directory)
         entries = [(8 + len(directory), 0, xxhash.xxh64_intdigest(directory) & 0xFFFFFFFF)]
         body = b"".join(struct.pack("<III", *f) for f in [*self.frames, *entries])
@@ -98,7 +99,7 @@ class Reader:
         raw = self._at(int(self.frame_at[-1]), int(e[-1, 0]))
         if struct.unpack("<II", raw[:8]) != (DIRECTORY_MAGIC, len(raw) - 8) or xxhash.xxh64_intdigest(raw[8:]) & 0xFFFFFFFF != self.sums[-1]:
             raise ValueError("broken directory")
-        self.doc_ids, self.counts = np.frombuffer(self.z.decompress(raw[8:]), "<i8").reshape(2, -1)
+        self.known, self.doc_ids, self.counts = np.frombuffer(self.z.decompress(raw[8:]), "<i8").reshape(3, -1)
         self.start = np.concatenate([[0], np.cumsum(self.counts)])
         self.frame_start = np.concatenate([[0], np.cumsum(self.plain)]) // 4
         self.frames_read = 0
@@ -114,7 +115,7 @@ class Reader:
         return len(self.doc_ids)
 
     def doc_id(self, i: int) -> int | None:
-        return None if self.doc_ids[i] == _NULL else int(self.doc_ids[i])
+        return int(self.doc_ids[i]) if self.known[i] else None
 
     def ids(self, i: int) -> memoryview:
         """The bytes of the i-th document's ids."""
@@ -127,9 +128,9 @@ class Reader:
         at = int(self.start[i] - self.frame_start[f]) * 4
         return memoryview(self._last[1])[at : at + int(self.counts[i]) * 4]
 
-    def find(self, doc_id: int) -> list[int]:
+    def find(self, doc_id: int | None) -> list[int]:
         """Places of a document, by its id."""
-        return np.flatnonzero(self.doc_ids == doc_id).tolist()
+        return np.flatnonzero(self.known == 0 if doc_id is None else (self.known == 1) & (self.doc_ids == doc_id)).tolist()
 
 
 def _file_system(uri: str):
@@ -138,18 +139,14 @@ def _file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-#: Chunks that a worker's tokenizer remembers; the writer holds little else.
-REMEMBERED = 1_500_000
-
-
-def write_files(docs: DataFrame, folder: str, path: str, keep_spaces: bool, end_id: int = END_ID, remembered: int = REMEMBERED) -> list[tuple]:
+def write_files(docs: DataFrame, folder: str, path: str, keep_spaces: bool, end_id: int = END_ID, memory: int = ENCODER_BYTES) -> list[tuple]:
     """Encodes docs (doc_id, text) and writes them to files in the folder, a URI that all executors reach. Returns a
     row a file: part, file, n_docs, n_tokens, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, e = TaskContext.get(), encoder(path, keep_spaces, remembered)
+        context, e = TaskContext.get(), encoder(path, keep_spaces, memory)
         part = context.partitionId()
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
