@@ -154,3 +154,36 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "formatted_chars",
         "n_windows",
     )
+
+
+ORACLE = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no,
+    replace(replace(replace(text, '\', '\0'), '[', '\1'), '<', '\2') AS body,
+    CASE role WHEN 'system' THEN '[SYS]' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '<s>'
+      ELSE '[ROLE:' || replace(replace(replace(replace(role, '\', '\0'), '[', '\1'), '<', '\2'), ']', '\3') || ']' END AS a,
+    CASE role WHEN 'system' THEN '[/SYS]' WHEN 'user' THEN '[/INST]' WHEN 'assistant' THEN '</s>' ELSE '[/ROLE]' END AS z
+  FROM c),
+n AS (SELECT *, octet_length(encode(a || body || z)) AS tokens, length(a || body || z) AS chars, no = 1 AND role = 'system' AS keeps FROM m),
+r AS (SELECT *, greatest({BUDGET - HISTORY_TOKENS} - coalesce(max(CASE WHEN keeps THEN tokens END) OVER (PARTITION BY conv_id), 0), {BUDGET // 4}) AS room FROM n),
+l AS (SELECT *, (tokens * 2 > room)::INT AS long FROM r),
+g AS (SELECT *, sum(long) OVER (PARTITION BY conv_id ORDER BY no) * 2 - long AS segment FROM l),
+p AS (
+  SELECT *, greatest(1, room - max(tokens) OVER (PARTITION BY conv_id, segment)) AS step,
+    sum(tokens) OVER (PARTITION BY conv_id, segment ORDER BY no) - tokens AS prefix FROM g),
+s AS (SELECT *, (prefix // step)::BIGINT AS span FROM p),
+f AS (
+  SELECT *, (no = 1 OR lag(span) OVER o <> span OR lag(segment) OVER o <> segment)::INT AS first, sum(tokens) OVER o AS through FROM s
+  WINDOW o AS (PARTITION BY conv_id ORDER BY no)),
+w AS (
+  SELECT *, sum(first) OVER (PARTITION BY conv_id) AS n_windows,
+    {" + ".join(f"coalesce((lead(first, {k}) OVER o = 1 AND lead(through, {k}) OVER o - lead(tokens, {k}) OVER o - through + tokens <= {HISTORY_TOKENS})::INT, 0)" for k in range(1, HISTORY_TURNS + 1))} AS repeats
+  FROM f WINDOW o AS (PARTITION BY conv_id ORDER BY no))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars * CASE WHEN keeps THEN n_windows ELSE 1 + repeats END)::BIGINT AS formatted_chars, max(n_windows)::BIGINT AS n_windows
+FROM w GROUP BY conv_id"""

@@ -151,3 +151,41 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _sql_bucket(i: int, j: int, k: int, salt: int) -> str:
+    h = f"((b{i} * {0x9E3779B1} + b{j} * {0x85EBCA6B} + b{k} * {0xC2B2AE35} + {(salt + 1) * 0x27D4EB2F & 0xFFFFFFFF}) & 4294967295)"
+    return f"CASE WHEN b{k} IS NOT NULL THEN (xor({h}, {h} >> 15) * {0x2C1B3C6D} & 4294967295) >> 25 END"
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS row, doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT *, length(text) AS n_chars, coalesce(lead(row) OVER (ORDER BY row), 1) AS next_row, coalesce(lead(text) OVER (ORDER BY row), first(text) OVER (ORDER BY row)) AS next_text FROM d),
+t AS (
+  SELECT row, 0 AS kind, text FROM n
+  UNION ALL SELECT row, 1, left(text, n_chars - n_chars // 2) || left(next_text, n_chars // 2) FROM n),
+b AS (SELECT row, kind, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM t),
+p AS (SELECT row, kind, unnest(bytes) AS b0, unnest(range(len(bytes))) AS place FROM b),
+w AS (
+  SELECT row, kind, b0, lead(b0, 1) OVER o AS b1, lead(b0, 2) OVER o AS b2, lead(b0, 3) OVER o AS b3, lead(b0, 4) OVER o AS b4 FROM p
+  WINDOW o AS (PARTITION BY row, kind ORDER BY place)),
+h AS (SELECT row, kind, unnest([{", ".join(_sql_bucket(*x, salt) for salt, x in enumerate(_TRIPLETS))}]) AS bucket FROM w),
+c AS (SELECT row, kind, bucket, count(*) AS c FROM h WHERE bucket IS NOT NULL GROUP BY ALL),
+a AS (
+  SELECT t.row, t.kind, list(coalesce(c.c, 0) ORDER BY x.bucket) AS counts, list_sort(list(coalesce(c.c, 0))) AS sorted
+  FROM t CROSS JOIN range({BUCKETS}) x(bucket) LEFT JOIN c ON c.row = t.row AND c.kind = t.kind AND c.bucket = x.bucket GROUP BY t.row, t.kind),
+e AS (
+  SELECT a.row, a.kind, list_transform(counts, lambda c: (c > sorted[32])::INT + (c > sorted[64])::INT + (c > sorted[96])::INT) AS codes,
+    least(255, round(8 * log2(1 + octet_length(encode(t.text)))))::INT AS size
+  FROM a JOIN t ON t.row = a.row AND t.kind = a.kind),
+f AS (
+  SELECT *, printf('%02x', size) || array_to_string(list_transform(range({BUCKETS // 4}), lambda m: printf('%02x', codes[4 * m + 1] + 4 * codes[4 * m + 2] + 16 * codes[4 * m + 3] + 64 * codes[4 * m + 4])), '') AS digest
+  FROM e),
+s AS (
+  SELECT n.doc_id, n.n_chars, x.digest AS fingerprint, y.digest AS edited_fingerprint, n.row,
+    list_sum(list_transform(range(1, {BUCKETS + 1}), lambda i: [0, 1, 2, 6][abs(x.codes[i] - y.codes[i]) + 1])) + {_LENGTH_WEIGHT} * greatest(0, abs(x.size - y.size) - 1) AS to_edited,
+    list_sum(list_transform(range(1, {BUCKETS + 1}), lambda i: [0, 1, 2, 6][abs(x.codes[i] - z.codes[i]) + 1])) + {_LENGTH_WEIGHT} * greatest(0, abs(x.size - z.size) - 1) AS to_next
+  FROM n JOIN f x ON x.row = n.row AND x.kind = 0 JOIN f y ON y.row = n.row AND y.kind = 1 JOIN f z ON z.row = n.next_row AND z.kind = 0)
+SELECT s.doc_id, s.n_chars, sha256(t.text) AS edited_sha256, fingerprint, edited_fingerprint,
+  1.0::DOUBLE - least(to_edited, {MOST_DIFFERENCE})::DOUBLE / {MOST_DIFFERENCE} AS near_edited, 1.0::DOUBLE - least(to_next, {MOST_DIFFERENCE})::DOUBLE / {MOST_DIFFERENCE} AS near_next
+FROM s JOIN t ON t.row = s.row AND t.kind = 1"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import ORACLE as CHAT_ORACLE
 from .chat import op3_chat_format
+from .fingerprint import ORACLE as FINGERPRINT_ORACLE
 from .fingerprint import op5_fingerprint
 from .mixing import op1_mix_sources
 from .near_dup import ORACLE as NEAR_DUP_ORACLE
@@ -29,4 +31,10 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op4_top_k": TOP_K_ORACLE, "op6_url_filter": URL_ORACLE, "op7_near_duplicates": NEAR_DUP_ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": CHAT_ORACLE,
+    "op4_top_k": TOP_K_ORACLE,
+    "op5_fingerprint": FINGERPRINT_ORACLE,
+    "op6_url_filter": URL_ORACLE,
+    "op7_near_duplicates": NEAR_DUP_ORACLE,
+}
