@@ -9,7 +9,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .protobuf import put_varint, varint
@@ -218,6 +218,35 @@ def build(tiles: dict[tuple[int, int, int], bytes], bounds=(-180.0, -85.0, 180.0
     return h.bytes() + root + meta + leaves + body
 
 
+def box_numbers(z: int, x0: int, y0: int, x1: int, y1: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of the numbers of a zoom's tiles that hold all of a box, about `most` of them: squares of the curve are parted
+    while they are few and lie across the box's edge; a square's tiles follow one another."""
+    found, squares = [], [(0, 0, z)]
+    while squares:
+        inside, edge = [], []
+        for x, y, k in squares:
+            a, b, c, d = x << k, y << k, ((x + 1) << k) - 1, ((y + 1) << k) - 1
+            if a > x1 or c < x0 or b > y1 or d < y0:
+                continue
+            (inside if k == 0 or (x0 <= a and c <= x1 and y0 <= b and d <= y1) else edge).append((x, y, k))
+        found += inside
+        if len(found) + 4 * len(edge) > 4 * most:
+            found += edge
+            break
+        squares = [(2 * x + i, 2 * y + j, k - 1) for x, y, k in edge for i in (0, 1) for j in (0, 1)]
+    base, ranges = ((1 << 2 * z) - 1) // 3, []
+    for x, y, k in found:
+        first = base + (((tile_number(z, x << k, y << k) - base) >> 2 * k) << 2 * k)
+        ranges.append((first, first + (1 << 2 * k)))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if merged and merged[-1][1] == a:
+            merged[-1] = (merged[-1][0], b)
+        else:
+            merged.append((a, b))
+    return merged
+
+
 @dataclass
 class _Range(InputPartition):
     low: int
@@ -225,10 +254,15 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Reads the tiles of a range of zooms; x and y leave the ranges of the curve that meet their box. The bounds are
+    options: filters that Spark 4.1 pushes into a Python reader are shared by all scans of one relation, so that in a union
+    of two differently filtered scans both would read the last one's tiles."""
+
     def __init__(self, options: dict):
         self.path = options["path"]
         self.low, self.high = int(options.get("minz", 0)), int(options.get("maxz", 31))
         self.parts = int(options.get("partitions", 8))
+        self.box = {c: (int(options.get(f"min{c}", 0)), int(options.get(f"max{c}", 1 << 31))) for c in "xy"}
 
     def _open(self):
         from pyarrow import fs
@@ -243,6 +277,10 @@ class _Reader(DataSourceReader):
         low, high = max(self.low, h.min_zoom), min(self.high, h.max_zoom)
         if low > high:
             return [_Range(0, 0)]
+        (x0, x1), (y0, y1) = self.box["x"], self.box["y"]
+        if x0 > 0 or y0 > 0 or min(x1, y1) < 1 << 31:
+            ranges = [r for z in range(low, high + 1) for r in box_numbers(z, x0, y0, x1, y1, self.parts)]
+            return [_Range(*r) for r in ranges] or [_Range(0, 0)]
         a, b = ((1 << 2 * low) - 1) // 3, ((1 << 2 * (high + 1)) - 1) // 3
         cuts = [a + (b - a) * i // self.parts for i in range(self.parts + 1)]
         return [_Range(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
@@ -253,7 +291,9 @@ class _Reader(DataSourceReader):
             for e in archive.entries(partition.low, partition.high):
                 data = plain(archive._at(archive.header.tiles[0] + e.offset, e.length), archive.header.compression)
                 for number in range(max(e.tile_id, partition.low), min(e.tile_id + e.run, partition.high)):
-                    yield (*tile_at(number), data)
+                    z, x, y = tile_at(number)
+                    if self.box["x"][0] <= x <= self.box["x"][1] and self.box["y"][0] <= y <= self.box["y"][1]:
+                        yield z, x, y, data
 
 
 class PMTiles(DataSource):
@@ -270,3 +310,13 @@ class PMTiles(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PMTiles)
+
+
+def scan(spark: SparkSession, path: str, z: tuple[int, int] = (0, 31), x: tuple[int, int] | None = None, y: tuple[int, int] | None = None) -> DataFrame:
+    """An archive's tiles of a range of zooms, and of columns and rows if they are given; bounds included."""
+    register(spark)
+    r = spark.read.format(PMTiles.name()).option("path", path).option("minz", z[0]).option("maxz", z[1])
+    for c, own in (("x", x), ("y", y)):
+        if own is not None:
+            r = r.option(f"min{c}", own[0]).option(f"max{c}", own[1])
+    return r.load()

@@ -56,6 +56,15 @@ def canonical(url: str, key_names=("access_token", "key", "api_key")) -> str:
     return head + ("?" + "&".join(kept) if kept else "")
 
 
+def canonical_column(url: Column, key_names=("access_token", "key", "api_key")) -> Column:
+    """canonical() as a Column."""
+    at = F.instr(url, "?")
+    head = F.when(at > 0, F.substring(url, F.lit(1), at - 1)).otherwise(url)
+    query = F.when(at > 0, F.substring(url, at + 1, F.length(url))).otherwise(F.lit(""))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*key_names))
+    return F.when(F.size(kept) > 0, F.concat(head, F.lit("?"), F.array_join(kept, "&"))).otherwise(head)
+
+
 class Router:
     """The first route whose test takes a url, else the fallback, else an error."""
 
@@ -70,6 +79,13 @@ class Router:
             raise LookupError(f"nothing serves {url}")
         return self.fallback
 
+    def column(self, url: Column) -> Column:
+        """The route of each url, by tests that take and give Columns; null where the fallback is None."""
+        found = F.lit(self.fallback)
+        for test, route in reversed(self.routes):
+            found = F.when(test(url), F.lit(route)).otherwise(found)
+        return found
+
 
 def tile_set(tilejson: dict) -> dict:
     """A TileJSON document's templates, zooms, bounds and scheme, with their defaults."""
