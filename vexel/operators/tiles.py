@@ -45,31 +45,41 @@ def substituted(ideal: DataFrame, loaded: DataFrame, min_zoom: int = 0) -> DataF
     return exact.unionByName(below).unionByName(above)
 
 
-def masks(drawn: DataFrame, depth: int = 4) -> DataFrame:
-    """For each drawn tile, the parts (z, x, y) of it that no drawn tile below it covers: whole if there is none."""
-    t = drawn.select("z", "x", "y").distinct()
-    up = F.explode(F.sequence(F.lit(1), F.lit(depth)))
-    below = t.withColumn("k", up).where(F.col("k") <= F.col("z"))
+def masks(drawn: DataFrame) -> DataFrame:
+    """For each drawn tile (tz, tx, ty), the parts (z, x, y) of it that no drawn tile below it covers: whole if there is none,
+    however far below. Copies of the world (a column wrap) are apart."""
+    by = ["wrap"] if "wrap" in drawn.columns else []
+    t = drawn.select(*by, "z", "x", "y").distinct()
+    owner, tile = [*by, "tz", "tx", "ty"], [*by, "tz", "tx", "ty", "z", "x", "y"]
+    up = F.explode(F.when(F.col("z") > 0, F.sequence(F.lit(1), F.col("z"))))
     parent = lambda c: F.call_function("shiftright", F.col(c), F.col("k"))
-    pairs = below.select((F.col("z") - F.col("k")).alias("tz"), parent("x").alias("tx"), parent("y").alias("ty"), "z", "x", "y")
-    owners = t.select(F.col("z").alias("tz"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    pairs = pairs.join(owners, ["tz", "tx", "ty"], "left_semi")
+    pairs = t.withColumn("k", up).select(*by, (F.col("z") - F.col("k")).alias("tz"), parent("x").alias("tx"), parent("y").alias("ty"), "z", "x", "y")
+    owners = t.select(*by, F.col("z").alias("tz"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    pairs = pairs.join(owners, owner, "left_semi")
     # the path from a covering tile up to its owner is split; the siblings along it that neither split nor are covered remain
     path = F.explode(F.sequence(F.lit(0), F.col("z") - F.col("tz")))
-    steps = pairs.withColumn("k", path).select("tz", "tx", "ty", (F.col("z") - F.col("k")).alias("z"), parent("x").alias("x"), parent("y").alias("y"), (F.col("k") == 0).alias("covered"))
-    steps = steps.groupBy("tz", "tx", "ty", "z", "x", "y").agg(F.max("covered").alias("covered"))
-    split = steps.where("not covered").select("tz", "tx", "ty", "z", "x", "y")
+    steps = pairs.withColumn("k", path).select(*owner, (F.col("z") - F.col("k")).alias("z"), parent("x").alias("x"), parent("y").alias("y"), (F.col("k") == 0).alias("covered"))
+    steps = steps.groupBy(*tile).agg(F.max("covered").alias("covered"))
     kids = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    parts = split.withColumn("d", kids).select("tz", "tx", "ty", (F.col("z") + 1).alias("z"), (F.col("x") * 2 + F.col("d.i")).alias("x"), (F.col("y") * 2 + F.col("d.j")).alias("y"))
-    # what lies under a covered step is covered, too
-    parts = parts.join(steps.select("tz", "tx", "ty", "z", "x", "y"), ["tz", "tx", "ty", "z", "x", "y"], "left_anti")
-    covered = steps.where("covered").select("tz", "tx", "ty", F.col("z").alias("cz"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    under = (F.col("cz") <= F.col("z")) & (F.call_function("shiftright", F.col("x"), F.col("z") - F.col("cz")) == F.col("cx")) & (F.call_function("shiftright", F.col("y"), F.col("z") - F.col("cz")) == F.col("cy"))
-    parts = parts.join(covered, ["tz", "tx", "ty"], "left").groupBy("tz", "tx", "ty", "z", "x", "y").agg(F.max(F.coalesce(under, F.lit(False))).alias("u")).where("not u").drop("u")
-    whole = owners.join(pairs.select("tz", "tx", "ty").distinct(), ["tz", "tx", "ty"], "left_anti").select("tz", "tx", "ty", F.col("tz").alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    parts = steps.where("not covered").withColumn("d", kids).select(*owner, (F.col("z") + 1).alias("z"), (F.col("x") * 2 + F.col("d.i")).alias("x"), (F.col("y") * 2 + F.col("d.j")).alias("y"))
+    parts = parts.join(steps.select(*tile), tile, "left_anti")
+    # what lies under a covered step is covered, too: a part's ancestors below its owner are looked up there
+    above = parts.withColumn("k", F.explode(F.when(F.col("z") - F.col("tz") > 1, F.sequence(F.lit(1), F.col("z") - F.col("tz") - 1))))
+    above = above.select(*owner, "z", "x", "y", (F.col("z") - F.col("k")).alias("cz"), parent("x").alias("cx"), parent("y").alias("cy"))
+    covered = steps.where("covered").select(*owner, F.col("z").alias("cz"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    parts = parts.join(above.join(covered, [*owner, "cz", "cx", "cy"], "left_semi"), tile, "left_anti")
+    whole = owners.join(pairs.select(*owner).distinct(), owner, "left_anti").select(*owner, F.col("tz").alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"))
     return whole.unionByName(parts)
 
 
+def mask_quads(parts: DataFrame, extent: int = 8192) -> DataFrame:
+    """masks() as quads of their tiles: the square (x0, y0, x1, y1) of each part in units of its tile's extent."""
+    size = F.call_function("shiftright", F.lit(extent), F.col("z") - F.col("tz"))
+    x0 = (F.col("x") - F.call_function("shiftleft", F.col("tx"), F.col("z") - F.col("tz"))) * size
+    y0 = (F.col("y") - F.call_function("shiftleft", F.col("ty"), F.col("z") - F.col("tz"))) * size
+    return parts.withColumns({"x0": x0, "y0": y0, "x1": x0 + size, "y1": y0 + size})
+
+
 def wanted(ideal: DataFrame, held: DataFrame) -> DataFrame:
     return ideal.select("z", "x", "y").distinct().join(held, ["z", "x", "y"], "left_anti")
 

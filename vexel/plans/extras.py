@@ -25,6 +25,11 @@ def size_range(expression, fields_at, zoom: float, default: float) -> tuple[Colu
     return (at(float(low)), at(float(low + 1))) if depends else (at(float(low)),) * 2
 
 
+def transformed(text: Column, transform: Column) -> Column:
+    """A label's text by its text-transform: uppercase, lowercase, or anything else for none."""
+    return F.when(transform == "uppercase", F.upper(text)).when(transform == "lowercase", F.lower(text)).otherwise(text)
+
+
 def faded(evaluate, zoom: float, last_integer_zoom: float) -> tuple:
     """The values a pattern is between: from the level it comes from, to its own."""
     return evaluate(zoom - 1 if zoom > last_integer_zoom else zoom + 1), evaluate(zoom)

@@ -267,7 +267,8 @@ def anchors(line: Points, spacing: float, offset: float, window: float, most_ang
 
 
 def polygon_tiles(rings: list[Points]) -> list[tuple[int, int, int]]:
-    """Rows (y, first x, last x) of unit cells that a polygon, in units of cells, touches."""
+    """Rows (y, first x, last x) of unit cells that a polygon, in units of cells, touches. Inside is what its rings wind
+    around other than zero times."""
     rows: dict[int, set[int]] = {}
     for ring in rings:
         for a, b in zip(ring, ring[1:]):
@@ -280,10 +281,14 @@ def polygon_tiles(rings: list[Points]) -> list[tuple[int, int, int]]:
                     xs = tuple(a[0] + (b[0] - a[0]) * u for u in t)
                 rows.setdefault(y, set()).update(range(math.floor(min(xs)), math.floor(max(xs)) + 1))
     for y, cells in rows.items():
-        # between edges, whole cells are inside or outside as their middles are
-        for x in range(min(cells), max(cells) + 1):
-            if x not in cells and contains(rings, x + 0.5, y + 0.5):
-                cells.add(x)
+        # between edges, whole cells are inside or outside as their middles are: edges that cross the row's middle line
+        # change how often the rings wind around what lies east of them
+        turns = sorted((a[0] + (b[0] - a[0]) * (y + 0.5 - a[1]) / (b[1] - a[1]), 1 if b[1] > a[1] else -1) for ring in rings for a, b in zip(ring, ring[1:]) if (a[1] > y + 0.5) != (b[1] > y + 0.5))
+        winds = 0
+        for (x, turn), (following, _) in zip(turns, turns[1:]):
+            winds += turn
+            if winds:
+                cells.update(range(math.ceil(x - 0.5), math.ceil(following - 0.5)))
     out = []
     for y in sorted(rows):
         xs = sorted(rows[y])
@@ -352,3 +357,27 @@ def polygon_cover_column(rings: Column) -> Column:
         return None if value is None else [{"x": x, "y": y} for y, a, b in polygon_tiles([_points(r) for r in value]) for x in range(a, b + 1)]
 
     return F.udf(run, "array<struct<x:long,y:long>>", useArrow=True)(rings)
+
+
+def clip_measured_column(line: Column, axis: str, low: float, high: float) -> Column:
+    """A line's pieces between two lines: points, and the distances along the line at which each begins and ends."""
+    at = "xy".index(axis)
+
+    def run(value):
+        return None if value is None else [{"points": _rows(p), "start": float(a), "stop": float(b)} for p, a, b in clip_line_measured(_points(value), at, low, high)]
+
+    return F.udf(run, "array<struct<points:array<struct<x:double,y:double>>,start:double,stop:double>>", useArrow=True)(line)
+
+
+def classified_column(rings: Column, most_holes: int | None = None) -> Column:
+    """Rings grouped into polygons, each an outer ring and its holes."""
+    return F.udf(lambda v: None if v is None else [[_rows(r) for r in g] for g in classified([_points(r) for r in v], most_holes)], "array<array<array<struct<x:double,y:double>>>>", useArrow=True)(rings)
+
+
+def anchors_column(line: Column, spacing: float, offset: float, window: float, most_angle: float, margin: float = 0.0) -> Column:
+    """A line's label anchors: x, y, angle."""
+
+    def run(value):
+        return None if value is None else [{"x": float(x), "y": float(y), "angle": float(a)} for x, y, a in anchors(_points(value), spacing, offset, window, most_angle, margin)]
+
+    return F.udf(run, "array<struct<x:double,y:double,angle:double>>", useArrow=True)(line)
