@@ -12,6 +12,7 @@ from vexel.plans import box_query
 from vexel.plans.document import Plan, Style, StyleError, label_template, substituted
 from vexel.plans.properties import SPECS, resolve
 from vexel.lang.values import ABSENT, ExpressionError, Fields
+from vexel.sources import geojson
 from vexel.streaming import state
 
 
@@ -340,7 +341,8 @@ def test_box_query(spark):
     hits = box_query.query(drawn(spark), 10, 10, 0, 0)
     assert [(r.layer, r.ord) for r in box_query.ordered(hits).collect()] == [("dot", 6), ("dot", 7), ("dot", 9), ("line", 3), ("line", 5), ("fill", 0), ("fill", 1)]
     assert {r.layer for r in box_query.query(drawn(spark), 0, 0, 10, 10, ["line"]).collect()} == {"line"}
-    doc = json.loads(box_query.as_geojson(hits, ["layer"]).first().geojson)
+    rows = box_query.as_geojson(hits, ["layer"]).orderBy("place").collect()
+    doc = json.loads(geojson.collection([r.feature for r in rows]))
     assert [f["properties"]["layer"] for f in doc["features"]] == ["dot"] * 3 + ["line"] * 2 + ["fill"] * 2
     assert all(f["geometry"] is None for f in doc["features"])
 

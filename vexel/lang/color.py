@@ -90,7 +90,12 @@ def struct_of(r: Column, g: Column, b: Column, a: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """A column of CSS texts (names, hex and rgb notation) as colors; null for what isn't one."""
+    """A column of CSS texts (names, hex, rgb and hsl notation) as colors; null for what isn't one. The text is bound to a
+    variable, so that what makes it is evaluated once."""
+    return F.get(F.transform(F.array(text), _parsed), F.lit(0))
+
+
+def _parsed(text: Column) -> Column:
     t = F.lower(F.trim(text))
     pairs = [x for name, n in NAMED.items() for x in (F.lit(name), F.lit(n))]
     number = F.try_element_at(F.create_map(*pairs), t)
@@ -101,8 +106,23 @@ def parsed(text: Column) -> Column:
 
     is_hex = t.rlike("^#([0-9a-f]{3}|[0-9a-f]{4}|[0-9a-f]{6}|[0-9a-f]{8})$")
     hexed = struct_of(hex_at(2), hex_at(4), hex_at(6), F.when(F.length(long) == 9, hex_at(8)).otherwise(F.lit(1.0)))
-    pattern = r"^rgba?\(\s*([0-9.]+)[\s,]+([0-9.]+)[\s,]+([0-9.]+)(?:[\s,/]+([0-9.]+))?\s*\)$"
-    part = lambda i: F.expr("1D") * F.regexp_extract(t, pattern, i).try_cast("double")
-    rgb = struct_of(*[F.least(F.lit(1.0), part(i) / 255) for i in (1, 2, 3)], F.coalesce(F.least(F.lit(1.0), part(4)), F.lit(1.0)))
+    rest = r"(?:[\s,/]+([0-9.]+)(%?))?\s*\)$"
+    rgb_, hsl_ = r"^rgba?\(\s*([0-9.]+)[\s,]+([0-9.]+)[\s,]+([0-9.]+)" + rest, r"^hsla?\(\s*([-+]?[0-9.]+)(?:deg)?[\s,]+([0-9.]+)%?[\s,]+([0-9.]+)%?" + rest
+
+    def part(pattern: str, i: int) -> Column:
+        return F.expr("1D") * F.regexp_extract(t, pattern, i).try_cast("double")
+
+    def alpha(pattern: str) -> Column:
+        a = part(pattern, 4) / F.when(F.regexp_extract(t, pattern, 5) == "%", 100.0).otherwise(1.0)
+        return F.coalesce(F.least(F.lit(1.0), a), F.lit(1.0))
+
+    rgb = struct_of(*[F.least(F.lit(1.0), part(rgb_, i) / 255) for i in (1, 2, 3)], alpha(rgb_))
+    hue, sat, light = F.pmod(part(hsl_, 1), F.lit(360.0)) / 30, F.least(F.lit(1.0), part(hsl_, 2) / 100), F.least(F.lit(1.0), part(hsl_, 3) / 100)
+
+    def channel(k: float) -> Column:
+        n = (hue + k) % 12
+        return light - sat * F.least(light, 1 - light) * F.greatest(F.lit(-1.0), F.least(n - 3, 9 - n, F.lit(1.0)))
+
+    hsl = struct_of(channel(0.0), channel(8.0), channel(4.0), alpha(hsl_))
     named = struct_of(*[F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("double") / 255 for s in (16, 8, 0)], F.lit(1.0))
-    return F.when(number.isNotNull(), named).when(is_hex, hexed).when(t.rlike(pattern), rgb).when(t == "transparent", column((0, 0, 0, 0)))
+    return F.when(number.isNotNull(), named).when(is_hex, hexed).when(t.rlike(rgb_), rgb).when(t.rlike(hsl_), hsl).when(t == "transparent", column((0, 0, 0, 0)))

@@ -52,9 +52,12 @@ def bezier(x: Column, x1: float, y1: float, x2: float, y2: float, rounds: int =
 
     def halve(s: Column, _: Column) -> Column:
         middle = (s["low"] + s["high"]) / 2
-        below = at(middle, x1, x2) < x
-        return F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high"))
+        below = at(middle, x1, x2) < s["x"]
+        return F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high"), s["x"].alias("x"))
 
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    t = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
-    return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(at(t, y1, y2))
+    def height(s: Column) -> Column:
+        return F.when(s["x"] <= 0, F.lit(0.0)).when(s["x"] >= 1, F.lit(1.0)).otherwise(at((s["low"] + s["high"]) / 2, y1, y2))
+
+    # x goes along in the state, so that what makes it is evaluated once
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), x.alias("x"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, height)

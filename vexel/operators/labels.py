@@ -117,14 +117,19 @@ def cross_tile_ids(symbols: DataFrame, prior: DataFrame, tolerance: float = 4.0)
     both = symbols.select("key", "x", "y", F.col("ord").cast("long").alias("ord"), F.lit(None).cast("long").alias("cross_id")).unionByName(prior.select("key", "x", "y", F.lit(None).cast("long").alias("ord"), F.col("cross_id").cast("long").alias("cross_id")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        old = pdf[pdf.cross_id.notna()].sort_values("cross_id")
-        free = dict(zip(old.cross_id.astype(int), zip(old.x, old.y)))
+        # the old symbols of a key by cells as wide as the tolerance: a new one meets those of the cells around its own
+        cells: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
+        side = max(tolerance, 1e-9)
+        of = lambda v: int(np.floor(v / side))
+        for r in pdf[pdf.cross_id.notna()].sort_values("cross_id").itertuples():
+            cells.setdefault((of(r.x), of(r.y)), {})[int(r.cross_id)] = (r.x, r.y)
         out = []
         for r in pdf[pdf.ord.notna()].sort_values("ord").itertuples():
-            found = next((i for i, (x, y) in free.items() if abs(x - r.x) <= tolerance and abs(y - r.y) <= tolerance), None)
+            near = [cells.get((of(r.x) + i, of(r.y) + j), {}) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+            found = min(((i, k) for k, c in enumerate(near) for i, (x, y) in c.items() if abs(x - r.x) <= tolerance and abs(y - r.y) <= tolerance), default=None)
             if found is not None:
-                del free[found]
-            out.append((r.key, int(r.ord), r.x, r.y, found))
+                del near[found[1]][found[0]]
+            out.append((r.key, int(r.ord), r.x, r.y, found and found[0]))
         return pd.DataFrame(out, columns=["key", "ord", "x", "y", "cross_id"]).astype({"cross_id": "Int64", "ord": "int64"})
 
     matched = both.groupBy("key").applyInPandas(run, "key string, ord long, x double, y double, cross_id long")

@@ -43,8 +43,7 @@ def deduplicated(df: DataFrame, key: list[str], identity: str, order: list[Colum
 
 def draw_order(df: DataFrame, passes: Column, order: list[str]) -> DataFrame:
     """Rows unfolded into their passes, with a dense slot within each layer."""
-    u = df.withColumn("pass", F.explode(passes))
-    return u.withColumn("slot", F.row_number().over(W.partitionBy("layer").orderBy("pass", *order)).cast("int"))
+    return numbered(df.withColumn("pass", F.explode(passes)), ["pass", *order], "slot", ["layer"]).withColumn("slot", F.col("slot").cast("int"))
 
 
 def thinned(circles: Column) -> Column:
@@ -84,8 +83,26 @@ def starts(dealt: DataFrame, size: Column) -> DataFrame:
     return sums.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Rows numbered from 1 in an order over the whole table, in two passes: sizes of ranges, then rows within each."""
-    dealt = in_ranges(df, *[F.col(c) for c in order])
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return dealt.join(F.broadcast(starts(dealt, F.lit(1))), "_part").withColumn(name, (own + F.col("_start")).cast("long")).drop("_part", "_start")
+def carried(dealt: DataFrame, by: list[str], made: Column, fold, name: str) -> DataFrame:
+    """in_ranges() rows, dealt by `by` first, with what all earlier parts hold of their group: `made` sums a part's rows of a
+    group up, fold (a window function of a Column) joins these. A group that reaches over parts is no task of its own; null
+    where no earlier part has any of the group."""
+    sums = dealt.groupBy("_part", *by).agg(made.alias("_made"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_part", *by, fold(F.col("_made")).over(earlier).alias(name))
+    same = F.col("_l._part") == F.col("_r._part")
+    for c in by:
+        same = same & F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`"))
+    return dealt.alias("_l").join(sums.alias("_r").hint("merge"), same).select("_l.*", f"_r.{name}")
+
+
+def numbered(df: DataFrame, order: list[str], name: str, by: list[str] = ()) -> DataFrame:
+    """Rows numbered from 1 in an order, over the whole table or within each group, in two passes: sizes of ranges, then rows
+    within each."""
+    by = list(by)
+    dealt = in_ranges(df, *[F.col(c) for c in (*by, *order)])
+    own = F.row_number().over(W.partitionBy("_part", *by).orderBy(*order))
+    if by:
+        rows = carried(dealt, by, F.count("*"), F.sum, "_before")
+        return rows.withColumn(name, (own + F.coalesce("_before", F.lit(0))).cast("long")).select(*df.columns, name)
+    return dealt.join(F.broadcast(starts(dealt, F.lit(1))), "_part").withColumn(name, (own + F.col("_start")).cast("long")).select(*df.columns, name)

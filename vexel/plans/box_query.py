@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.geojson import collection
+from ..operators.ordered import numbered
+from ..sources.geojson import feature_texts
 from ..spatial.contain import point_in
 
 
@@ -103,5 +104,7 @@ def ordered(hits: DataFrame) -> DataFrame:
 
 
 def as_geojson(hits: DataFrame, columns: list[str]) -> DataFrame:
-    w = W.orderBy(F.col("layer_index").desc(), F.col("ord"))
-    return collection(hits.withColumn("ord", F.row_number().over(w)), columns)
+    """The answer as GeoJSON features: place (from 1, top layer first) and feature, a row a feature; an answer of any size
+    stays a table."""
+    rows = numbered(hits.withColumn("_below", -F.col("layer_index")), ["_below", "ord"], "place")
+    return feature_texts(rows, columns)

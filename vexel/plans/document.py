@@ -10,12 +10,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lang.compiler import Compiler
 from ..lang.filters import compile_filter, pushable
 from ..lang.values import ExpressionError, Fields, Val, column_value
+from ..operators.ordered import numbered
 from .properties import SPECS, Property, resolve_group
 
 #: Layer types that answer from features.
@@ -189,7 +189,7 @@ def label_template(text: str, fields: Fields) -> Column:
 
 def ranked(df: DataFrame, by: list[str], tie: str) -> DataFrame:
     """A dense place from 1 within each layer."""
-    return df.withColumn("place", F.row_number().over(W.partitionBy("layer").orderBy(*by, tie)))
+    return numbered(df, [*by, tie], "place", ["layer"])
 
 
 def images_used(style: Style) -> set[str]:

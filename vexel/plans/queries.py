@@ -114,7 +114,19 @@ _expression(
     {"v": ["/", ["round", ["*", 1000, ["interpolate", ["exponential", 1.5], ["get", "l_quantity"], 10, 0, 20, 50]]], 1000]},
     {"v": "round(1000 * CASE WHEN l_quantity <= 10 THEN 0 WHEN l_quantity < 20 THEN 50 * ((pow(1.5, l_quantity - 10) - 1) / (pow(1.5, 10) - 1)) ELSE 50 END)::DOUBLE / 1000"},
 )
-_expression("expr_bezier", "lineitem", _LINE, {"v": ["interpolate", ["cubic-bezier", 0.42, 0, 0.58, 1], ["get", "l_quantity"], 0, 0, 50, 1]}, None)
+# the curve's parameter by halving, to far below the digits that are compared
+_BEZIER = "3 * (1 - t) * (1 - t) * t * %s + 3 * (1 - t) * t * t * %s + t * t * t"
+
+
+@query("expr_bezier", f"""WITH RECURSIVE q AS (SELECT DISTINCT l_quantity, greatest(0, least(1, l_quantity / 50)) AS x FROM lineitem),
+  h AS (SELECT l_quantity, x, 0::DOUBLE AS low, 1::DOUBLE AS high, 0 AS n FROM q
+    UNION ALL SELECT l_quantity, x, CASE WHEN {_BEZIER % (0.42, 0.58)} < x THEN t ELSE low END, CASE WHEN {_BEZIER % (0.42, 0.58)} < x THEN high ELSE t END, n + 1 FROM (SELECT *, (low + high) / 2 AS t FROM h WHERE n < 50))
+  SELECT l_orderkey, l_linenumber, round(({_BEZIER % (0, 1)}) * 10000) AS v FROM lineitem JOIN (SELECT l_quantity, low AS t FROM h WHERE n = 50) USING (l_quantity)""")
+def expr_bezier(spark, sf):
+    curve = ["interpolate", ["cubic-bezier", 0.42, 0, 0.58, 1], ["get", "l_quantity"], 0, 0, 50, 1]
+    return apply_expressions(table(spark, sf, "lineitem"), _LINE, {"v": ["round", ["*", 10000, curve]]})
+
+
 _expression("expr_coalesce", "part", ["p_partkey"], {"v": ["coalesce", ["get", "absent"], ["get", "p_brand"], "none"]}, {"v": "p_brand"})
 _expression(
     "expr_compare", "lineitem", _LINE,
@@ -310,15 +322,29 @@ def cover_diff(spark, sf):
     return entered.select(F.lit("entered").alias("change"), "z", "x", "y").unionByName(left.select(F.lit("left").alias("change"), "z", "x", "y"))
 
 
-@query("tile_substitution")
+_LOADED = f"(SELECT * FROM ({_SET(5, 'c_acctbal > 3000')}) UNION SELECT * FROM ({_SET(4, 'c_acctbal < 0')}) UNION SELECT * FROM ({_SET(1, 'true')}))"
+
+
+@query("tile_substitution", f"""WITH i AS ({_SET(4, 'true')}), l AS {_LOADED}, m AS (SELECT * FROM i EXCEPT SELECT * FROM l),
+  k AS (SELECT m.z AS iz, m.x AS ix, m.y AS iy, l.* FROM m JOIN l ON l.z = m.z + 1 AND l.x >> 1 = m.x AND l.y >> 1 = m.y),
+  f AS (SELECT iz, ix, iy FROM k GROUP BY ALL HAVING count(*) = 4), o AS (SELECT * FROM m EXCEPT SELECT * FROM f),
+  a AS (SELECT o.z AS iz, o.x AS ix, o.y AS iy, l.*, row_number() OVER (PARTITION BY o.z, o.x, o.y ORDER BY l.z DESC) AS n FROM o JOIN l ON l.z < o.z AND o.x >> greatest(0, o.z - l.z) = l.x AND o.y >> greatest(0, o.z - l.z) = l.y)
+  SELECT z AS ideal_z, x AS ideal_x, y AS ideal_y, z, x, y FROM (SELECT * FROM i INTERSECT SELECT * FROM l) UNION ALL SELECT * FROM k UNION ALL SELECT iz, ix, iy, z, x, y FROM a WHERE n = 1""")
 def tile_substitution(spark, sf):
     loaded = _tile_set(spark, sf, 5, "c_acctbal > 3000").unionByName(_tile_set(spark, sf, 4, "c_acctbal < 0")).unionByName(_tile_set(spark, sf, 1, "true"))
     return tiles.substituted(_tile_set(spark, sf, 4, "true"), loaded)
 
 
-@query("tile_masks")
+_DRAWN = f"(SELECT * FROM ({_SET(1, 'true')}) UNION SELECT * FROM ({_SET(2, 'c_nationkey < 5')}) UNION SELECT * FROM ({_SET(7, 'c_acctbal < 0')}))"
+
+
+@query("tile_masks", f"""WITH RECURSIVE d AS {_DRAWN}, p AS (SELECT z AS tz, x AS tx, y AS ty, z, x, y, false AS stops FROM d
+    UNION ALL SELECT tz, tx, ty, (z + 1)::INT, (x * 2 + i)::INT, (y * 2 + j)::INT, EXISTS (SELECT 1 FROM d WHERE d.z = p.z + 1 AND d.x = p.x * 2 + i AND d.y = p.y * 2 + j)
+    FROM p, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE NOT stops AND z < 8 AND EXISTS (SELECT 1 FROM d WHERE d.z > p.z AND (d.x >> greatest(0, d.z - p.z)) = p.x AND (d.y >> greatest(0, d.z - p.z)) = p.y))
+  SELECT tz, tx, ty, z, x, y, ((x - (tx << (z - tz))) * (8192 >> (z - tz)))::INT AS x0 FROM p WHERE NOT stops AND NOT EXISTS (SELECT 1 FROM d WHERE d.z > p.z AND (d.x >> greatest(0, d.z - p.z)) = p.x AND (d.y >> greatest(0, d.z - p.z)) = p.y)""")
 def tile_masks(spark, sf):
-    return tiles.masks(_tile_set(spark, sf, 2, "true").unionByName(_tile_set(spark, sf, 4, "c_acctbal < 0")))
+    drawn = _tile_set(spark, sf, 1, "true").unionByName(_tile_set(spark, sf, 2, "c_nationkey < 5")).unionByName(_tile_set(spark, sf, 7, "c_acctbal < 0"))
+    return tiles.mask_quads(tiles.masks(drawn)).drop("y0", "x1", "y1")
 
 
 @query("tile_refined", f"WITH t AS ({_SET(3, 'true')}) SELECT 4::INT AS z, (x * 2 + i)::INT AS x, (y * 2 + j)::INT AS y FROM t, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)")
@@ -514,10 +540,16 @@ def damage_gate(spark, sf):
     return state.gated(e, ["user_id"], "event_id", ["camera"], "dirty").select("event_id")
 
 
-@query("fades")
+# opacities in thirds: each frame moves them by one
+@query("fades", """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, value > 40 AS placed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+  r AS (SELECT key, seq, placed, n, CASE WHEN placed THEN 1 ELSE 0 END AS thirds FROM e WHERE n = 1
+    UNION ALL SELECT e.key, e.seq, e.placed, e.n, CASE WHEN e.placed THEN least(3, r.thirds + 1) ELSE greatest(0, r.thirds - 1) END FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+  SELECT key, seq, thirds, NOT placed AND thirds = 0 AS evicted FROM r""")
 def fades(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("value") > 40).alias("placed"), F.lit(100.0).alias("elapsed_ms"))
-    return state.fades(e)
+    f = state.fades(e)
+    # a step of 100 of 300 ms, three of which may leave a last bit
+    return f.select("key", "seq", F.round(F.col("opacity") * 3).cast("int").alias("thirds"), (F.col("evicted") | (F.col("opacity") < 1e-9) & (F.col("opacity") > 0)).alias("evicted"))
 
 
 @query("frame_changes", "WITH b AS (SELECT c_custkey AS k, c_mktsegment AS c FROM customer WHERE c_acctbal < 7000), n AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN 'X' ELSE c_mktsegment END AS c FROM customer WHERE c_acctbal > 2000) SELECT coalesce(b.k, n.k) AS k, CASE WHEN n.k IS NULL THEN 'released' WHEN b.k IS NULL THEN 'announced' WHEN b.c <> n.c THEN 'changed' ELSE 'kept' END AS change FROM b FULL JOIN n ON b.k = n.k")
@@ -659,7 +691,7 @@ def box_query_rows(spark, sf):
     return box_query.query(_drawn(spark, sf), 10, 5, 30, 20).select("layer", "id", "ord")
 
 
-@query("box_query_geojson")
+@query("box_query_geojson", f"""SELECT row_number() OVER (ORDER BY layer DESC, ord) AS place, '{{"type":"Feature","id":' || coalesce(id::VARCHAR, 'null') || ',"geometry":null,"properties":{{"kind":"' || CASE layer WHEN 'dots' THEN 'circle' ELSE 'fill' END || '"}}}}' AS feature FROM ({_HITS})""")
 def box_query_geojson(spark, sf):
     return box_query.as_geojson(box_query.query(_drawn(spark, sf), 10, 5, 30, 20), ["kind"])
 

@@ -82,10 +82,12 @@ def _wrapped(v: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit('{"type":"Feature","properties":null,"geometry":'), F.to_json(v), F.lit("}")))
 
 
-def collection(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The answer to a query as GeoJSON text: a FeatureCollection of rows (ord, id, source, layer and property columns),
-    geometries null. One row; the answer's size is what the caller asks for."""
+def feature_texts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (place, id and property columns) as GeoJSON features with null geometries: place, feature."""
     f = F.struct(F.lit("Feature").alias("type"), F.col("id"), F.lit(None).cast("string").alias("geometry"), F.struct(*columns).alias("properties"))
-    g = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("ord", f.alias("f")))).alias("fs"))
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("fs", lambda x: x["f"]).alias("features"))
-    return g.select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("geojson"))
+    return rows.select("place", F.to_json(f, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def collection(features: list[str]) -> str:
+    """A FeatureCollection of feature texts in order, for an answer that the caller has fetched."""
+    return '{"type":"FeatureCollection","features":[' + ",".join(features) + "]}"

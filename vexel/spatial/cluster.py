@@ -3,8 +3,10 @@
 From the highest zoom to the lowest, each level groups the one below it: in index order, a point that isn't taken yet
 takes all free points within the zoom's radius; if they are enough, they become a cluster at their weighted mean.
 Who takes whom is the lexicographically first maximal independent set of the radius graph. A level of a bounded number
-of points, and all levels above it, are computed in one task over a grid; larger levels are computed by rounds
-over the table of neighbors, with the same result.
+of points, and all levels above it, are computed in one task over a grid; larger levels are computed by rounds over
+the cells of a grid so fine that all points of a cell are within the radius: at most one of them takes others, so a point
+meets a bounded number of takers, however crowded a place is. Means are made from sums in fixed point, which don't depend on
+their order, so both ways give the same result to the last bit.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered
 from ..operators.scratch import cut
-from .joins import radius_join
 from .projection import cluster_position
 
 #: Points that one task clusters.
@@ -39,6 +40,8 @@ class Options:
         return self.radius / (self.extent * 2.0**zoom)
 
 
+#: Parts of the world's width in which positions are summed.
+_FIXED = float(1 << 52)
 LEVEL = "z int, index long, id long, x double, y double, n long, parent_id long"
 
 
@@ -46,6 +49,7 @@ def _next_level(level: pd.DataFrame, zoom: int, o: Options) -> tuple[pd.DataFram
     """(the level with its parents, the level above it)."""
     r = o.reach(zoom)
     x, y, n, ids = (level[c].to_numpy() for c in ("x", "y", "n", "id"))
+    fx, fy = np.floor(x * _FIXED).astype(np.int64), np.floor(y * _FIXED).astype(np.int64)
     cells: dict[tuple[int, int], list[int]] = defaultdict(list)
     cx, cy = np.floor(x / r).astype(np.int64), np.floor(y / r).astype(np.int64)
     for i, c in enumerate(zip(cx.tolist(), cy.tolist())):
@@ -62,11 +66,9 @@ def _next_level(level: pd.DataFrame, zoom: int, o: Options) -> tuple[pd.DataFram
             own = (i << 5) + zoom + 1
             parent[i] = own
             parent[near] = own
-            # in order, as the sum's last bits depend on it
-            wx, wy = x[i] * n[i], y[i] * n[i]
-            for j in near:
-                wx, wy = wx + x[j] * n[j], wy + y[j] * n[j]
-            up.append((own, wx / total, wy / total, total))
+            every = [i, *near.tolist()]
+            wx, wy = (sum(a * b for a, b in zip(fixed[every].tolist(), n[every].tolist())) for fixed in (fx, fy))
+            up.append((own, float(wx) / total / _FIXED, float(wy) / total / _FIXED, total))
         else:
             up.append((ids[i], x[i], y[i], 1))
             up += [(ids[j], x[j], y[j], 1) for j in near]
@@ -88,26 +90,44 @@ def _hierarchy(points: pd.DataFrame, zoom: int, o: Options) -> pd.DataFrame:
 
 def _level_by_rounds(level: DataFrame, zoom: int, o: Options) -> tuple[DataFrame, DataFrame]:
     r = o.reach(zoom)
-    a = level.select(F.col("index").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = level.select(F.col("index").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    pairs = cut(radius_join(a, b, r, "ax", "ay", "bx", "by").where("i != j").select("i", "j"), "neighbors")
-    # taker: null while open, the own index for one that takes
-    state = cut(level.select(F.col("index").alias("i"), F.lit(None).cast("long").alias("taker")), "state")
+    # the diagonal of a cell is no longer than the radius, and what a point reaches lies within two cells
+    side = r / math.sqrt(2) * (1 - 1e-9)
+    around = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.withColumn("_d", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("_d.dx"), "cy": F.col("cy") + F.col("_d.dy")}).drop("_d")
+
+    open_ = cut(level.select(F.col("index").alias("i"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"), F.lit(None).cast("long").alias("near")), "open")
+    takers = []
     while True:
-        lively = state.where("taker is null or taker = i").select(F.col("i").alias("j"), F.col("taker").alias("taken"))
-        first = pairs.join(lively, "j").groupBy("i").agg(F.min(F.struct("j", "taken")).alias("m"))
-        s = state.join(first, "i", "left")
-        takes = F.when(F.col("m").isNull() | (F.col("i") < F.col("m.j")), F.col("i")).when(F.col("m.taken") == F.col("m.j"), F.col("m.j"))
-        state = cut(s.select("i", F.coalesce("taker", takes).alias("taker")), "state")
-        if state.where("taker is null").isEmpty():
+        # the least open index of each cell, and of all cells that its points may reach
+        least = open_.groupBy("cx", "cy").agg(F.min("i").alias("own"))
+        reach = spread(least).groupBy("cx", "cy").agg(F.min("own").alias("least")).join(least.drop("own"), ["cx", "cy"], "left_semi")
+        here = cut(open_.hint("merge").join(reach.hint("merge"), ["cx", "cy"]), "reach")
+        # one that no open point of a lesser index may come before, and that no taker has near, takes
+        new = here.where("i = least and near is null")
+        found = spread(new.select(F.col("i").alias("c"), F.col("x").alias("tx"), F.col("y").alias("ty"), "cx", "cy"))
+        within = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 <= r * r
+        met = here.hint("merge").join(found.hint("merge"), (here.cx == found.cx) & (here.cy == found.cy), "left").select("i", "x", "y", here.cx, here.cy, "near", "least", F.when(within, F.col("c")).alias("c"))
+        met = met.groupBy("i", "x", "y", "cx", "cy", "least").agg(F.least(F.min("near"), F.min("c")).alias("near"))
+        # the least taker near a point has it, once no open point of a lesser index can become one
+        state = cut(met.withColumn("taken", F.col("near").isNotNull() & (F.col("least") >= F.col("near"))), "state")
+        takers.append(state.where("taken").select(F.col("i").alias("index"), F.col("near").alias("taker")))
+        open_ = state.where("not taken").drop("taken", "least")
+        if open_.isEmpty():
             break
-    j = level.join(state.withColumnRenamed("i", "index"), "index")
-    sums = j.groupBy("taker").agg(F.sum("n").alias("total"), F.sum(F.col("x") * F.col("n")).alias("wx"), F.sum(F.col("y") * F.col("n")).alias("wy"))
-    j = j.join(sums, "taker")
+    state = takers[0]
+    for t in takers[1:]:
+        state = state.unionByName(t)
+    j = level.hint("merge").join(state.hint("merge"), "index")
+    weight = lambda c: F.sum(F.floor(F.col(c) * _FIXED).cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")).cast("double")
+    sums = j.groupBy("taker").agg(F.sum("n").alias("total"), weight("x").alias("wx"), weight("y").alias("wy"))
+    j = j.hint("merge").join(cut(sums, "sums").hint("merge"), "taker")
     grown = F.col("total") >= o.min_points
     own = F.call_function("shiftleft", F.col("taker"), F.lit(5)) + zoom + 1
     done = j.select(F.lit(zoom + 1).alias("z"), "index", "id", "x", "y", "n", F.when(grown, own).otherwise(F.lit(0)).alias("parent_id"))
-    heads = j.where(grown & (F.col("index") == F.col("taker"))).select("taker", "index", own.alias("id"), (F.col("wx") / F.col("total")).alias("x"), (F.col("wy") / F.col("total")).alias("y"), F.col("total").alias("n"))
+    heads = j.where(grown & (F.col("index") == F.col("taker"))).select("taker", "index", own.alias("id"), (F.col("wx") / F.col("total") / _FIXED).alias("x"), (F.col("wy") / F.col("total") / _FIXED).alias("y"), F.col("total").alias("n"))
     single = j.where(~grown).select("taker", "index", "id", "x", "y", F.lit(1).cast("long").alias("n"))
     up = numbered(heads.unionByName(single), ["taker", "index"], "place")
     return done, up.select((F.col("place") - 1).alias("index"), "id", "x", "y", "n")

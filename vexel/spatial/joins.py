@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordered import carried, in_ranges
+
 
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
@@ -95,12 +97,18 @@ def latest_stop(x: Column, stops: list[tuple[float, object]]) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str]) -> DataFrame:
-    """Each left row with the last right row of its key that isn't later: both sides in one sorted stream a key."""
+    """Each left row with the last right row of its key that isn't later: both sides in one sorted stream, dealt by
+    ranges of key and time."""
     a = left.select(*left.columns, F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns])
     b = right.select(*[F.col(c) if c in by or c == on else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), *columns)
-    w = W.partitionBy(*by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(*columns)), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_found", last).where("_side = 1").select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
+    # in ranges, each row looks back within its range, and else takes what the ranges before have of its key
+    dealt = in_ranges(a.unionByName(b), *[F.col(c) for c in (*by, on, "_side")])
+    w = W.partitionBy("_part", *by).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
+    right_row = F.when(F.col("_side") == 0, F.struct(*columns))
+    held = F.max_by(right_row, F.when(F.col("_side") == 0, F.col(on)))
+    rows = carried(dealt, by, held, lambda c: F.last(c, ignorenulls=True), "_carried")
+    found = F.coalesce(F.last(right_row, ignorenulls=True).over(w), F.col("_carried"))
+    return rows.withColumn("_found", found).where("_side = 1").select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in columns])
 
 
 def reaches(low: Column, high: Column, z: int, x: int, wrap: int, buffer: float = 128.0) -> Column:

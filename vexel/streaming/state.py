@@ -10,12 +10,15 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordered import numbered
+from ..operators.ordered import carried, in_ranges, numbered
 
 # -- latest wins
 
@@ -44,8 +47,10 @@ def upsert_sink(path: str, key: list[str], payload: list[str], seq: str = "seq")
 
 def landed(records: DataFrame, key: list[str], arrival: str, seq: str) -> DataFrame:
     """Records that land: one whose seq is below what its key holds already is late and dropped."""
-    held = F.max(seq).over(W.partitionBy(*key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
-    return records.withColumn("_held", held).where(F.col("_held").isNull() | (F.col(seq) >= F.col("_held"))).drop("_held")
+    dealt = in_ranges(records, *[F.col(c) for c in (*key, arrival)])
+    here = F.max(seq).over(W.partitionBy("_part", *key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1))
+    rows = carried(dealt, key, F.max(seq), F.max, "_carried").withColumn("_held", F.greatest(here, "_carried"))
+    return rows.where(F.col("_held").isNull() | (F.col(seq) >= F.col("_held"))).select(*records.columns)
 
 
 def landing_stream(records: DataFrame, key: list[str], arrival: str, seq: str) -> DataFrame:
@@ -121,9 +126,11 @@ def _bits(c: Column) -> Column:
 def gated(frames: DataFrame, by: list[str], seq: str, camera: list[str], dirty: str) -> DataFrame:
     """Frames that emit: a view's first one, those with a dirty flag, and those whose camera differs bit by bit from the
     frame before. The others emit nothing."""
-    w = W.partitionBy(*by).orderBy(seq)
     now = F.struct(*[_bits(F.col(c)).alias(c) for c in camera])
-    return frames.withColumn("_now", now).withColumn("_before", F.lag("_now").over(w)).where(F.col(dirty) | F.col("_before").isNull() | ~F.col("_now").eqNullSafe(F.col("_before"))).drop("_now", "_before")
+    dealt = in_ranges(frames.withColumn("_now", now), *[F.col(c) for c in (*by, seq)])
+    rows = carried(dealt, by, F.max_by("_now", seq), lambda c: F.last(c, ignorenulls=True), "_carried")
+    before = F.coalesce(F.lag("_now").over(W.partitionBy("_part", *by).orderBy(seq)), F.col("_carried"))
+    return rows.withColumn("_before", before).where(F.col(dirty) | F.col("_before").isNull() | ~F.col("_now").eqNullSafe(F.col("_before"))).select(*frames.columns)
 
 
 def gating_stream(frames: DataFrame, by: list[str], seq: str, camera: list[str], dirty: str) -> DataFrame:
@@ -155,19 +162,71 @@ def faded(opacity: float, placed: bool, elapsed_ms: float) -> float:
 
 def fades(frames: DataFrame) -> DataFrame:
     """Batch form over (key, seq, placed, elapsed_ms): opacity after each frame. A label starts hidden; one that is fully
-    hidden and not placed is evicted (evicted = true) and starts anew when it comes back."""
-    step = F.struct("seq", "placed", F.col("elapsed_ms").cast("double").alias("elapsed_ms"))
-    g = frames.groupBy("key").agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    start = F.array().cast("array<struct<seq:bigint,opacity:double>>")
-
-    def next_(a: Column, s: Column) -> Column:
-        before = F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("opacity"))), a), -1)["opacity"], F.lit(0.0))
-        d = s["elapsed_ms"] / 1000.0 / FADE_SECONDS
-        now = F.when(s["placed"], F.least(F.lit(1.0), before + d)).otherwise(F.greatest(F.lit(0.0), before - d))
-        return F.concat(a, F.array(F.struct(s["seq"].cast("long").alias("seq"), now.alias("opacity"))))
-
-    out = g.select("key", F.explode(F.aggregate("steps", start, next_)).alias("f")).select("key", "f.seq", "f.opacity")
-    return out.join(frames.select("key", "seq", "placed"), ["key", "seq"]).select("key", "seq", "opacity", (~F.col("placed") & (F.col("opacity") == 0)).alias("evicted"))
+    hidden and not placed is evicted (evicted = true) and starts anew when it comes back.
+
+    Frames are dealt by ranges of key and seq. What a range's frames make of the opacity before it is a shift held between
+    two bounds; a row a range comes to the driver, which carries the opacity of a key that reaches over ranges from one to the
+    next. Then each range is run through in order."""
+    plain = frames.select("key", F.col("seq").cast("long").alias("seq"), F.col("placed").cast("boolean").alias("placed"), F.col("elapsed_ms").cast("double").alias("elapsed_ms"))
+    dealt = in_ranges(plain, F.col("key"), F.col("seq")).repartition("_part").sortWithinPartitions("_part", "key", "seq")
+    key_type = frames.schema["key"].dataType
+    kind = key_type.simpleString()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(part, key, seqs, placed, steps) for each run of a key's frames in a batch."""
+        for batch in batches:
+            d = batch.to_pandas()
+            parts, keys = d["_part"].tolist(), d["key"].tolist()
+            placed, steps, seqs = d["placed"].fillna(False).tolist(), (d["elapsed_ms"].fillna(0.0) / 1000.0 / FADE_SECONDS).tolist(), d["seq"].tolist()
+            a = 0
+            for b in range(1, len(d) + 1):
+                if b == len(d) or parts[b] != parts[a] or not _same(keys[b], keys[a]):
+                    yield parts[a], keys[a], seqs[a:b], placed[a:b], steps[a:b]
+                    a = b
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for part, key, _, placed, steps in runs(batches):
+            held = found.get(part)
+            if held is None:
+                held = found[part] = [part, key, key, True, 0.0, 0.0, 1.0]
+            elif not _same(held[2], key):
+                held[2:] = [key, False, 0.0, 0.0, 1.0]
+            for p, s in zip(placed, steps):
+                s = s if p else -s
+                held[4:] = [held[4] + s, min(1.0, max(0.0, held[5] + s)), min(1.0, max(0.0, held[6] + s))]
+        for h in found.values():
+            yield pa.RecordBatch.from_pylist([dict(zip(("part", "first", "last", "one", "shift", "low", "high"), h))], schema=out_schema)
+
+    out_schema = to_arrow_schema(T.StructType().add("part", "integer").add("first", key_type).add("last", key_type).add("one", "boolean").add("shift", "double").add("low", "double").add("high", "double"))
+    carry, key, value = {}, None, None
+    for r in sorted(dealt.mapInArrow(summed, f"part int, first {kind}, last {kind}, one boolean, shift double, low double, high double").collect(), key=lambda r: r.part):
+        start = value if value is not None and _same(r.first, key) else 0.0
+        if start:
+            carry[r.part] = start
+        before = start if r.one else 0.0
+        key, value = r.last, min(r.high, max(r.low, before + r.shift))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, now, opacity = None, None, 0.0
+        for part, key, seqs, placed, steps in runs(batches):
+            if part != at:
+                at, now, opacity = part, key, carry.get(part, 0.0)
+            elif not _same(now, key):
+                now, opacity = key, 0.0
+            out = []
+            for s, p, step in zip(seqs, placed, steps):
+                opacity = min(1.0, opacity + step) if p else max(0.0, opacity - step)
+                out.append({"key": key, "seq": s, "opacity": opacity, "evicted": not p and opacity == 0})
+            yield pa.RecordBatch.from_pylist(out, schema=rows_schema)
+
+    rows_schema = to_arrow_schema(T.StructType().add("key", key_type).add("seq", "long").add("opacity", "double").add("evicted", "boolean"))
+    return dealt.mapInArrow(run, f"key {kind}, seq long, opacity double, evicted boolean")
+
+
+def _same(a, b) -> bool:
+    """Null keys, which pandas may show as NaN, are equal."""
+    return a == b or (a is None or a != a) and (b is None or b != b)
 
 
 def fading_stream(frames: DataFrame) -> DataFrame:
