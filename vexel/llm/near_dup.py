@@ -6,7 +6,8 @@ positions by its own randomness and sends each document to one child a position,
 documents of similarity s share a child with probability s a position, others seldom. Nodes of one document end; nodes
 of a bounded number are finished within a task, which branches them on down to leaves and compares each leaf's
 signatures exhaustively; larger nodes are branched on as tables, level by level. Nodes that are still too large after
-all levels are compared in blocks of two parts, so none is cut short.
+all levels are compared in blocks of two parts, so none is cut short. Large groups of near copies, which no branching parts,
+are found by pivots: see nodes().
 
 Recall: below the root a node chooses so many positions that a pair at the threshold shares BRANCHES children on
 average, and the chance that none of its paths goes on through all levels is taken from that branching process (_through).
@@ -321,15 +322,69 @@ def _confirmer(k: int, threshold: int):
     return run
 
 
-def nodes(reps: DataFrame, threshold: float, recall: float, node_rows: int = NODE_ROWS) -> list[DataFrame]:
-    """Nodes (node, id) of two documents or more and of node_rows at most, a table a level."""
-    positions = root_positions(threshold, recall)
+def _starred(docs: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Those of pairs (pivot, id) that are linked on full sets. A pivot's pairs are dealt to as many tasks as they need; each
+    holds the pivot's set and one other."""
+    cells = pairs.select("pivot", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).where("id != pivot").distinct()
+    cells = written(cells, "stars")
+    rows = cells.select("pivot", "salt", "id", F.lit(1).alias("side")).unionByName(cells.select("pivot", "salt", F.col("pivot").alias("id"), F.lit(0).alias("side")).distinct())
+    texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
+    full = rows.hint("merge").join(texts.hint("merge"), "id").withColumn("cell", F.xxhash64("pivot", "salt"))
+    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, []
+        for batch in batches:
+            for s in slices(batch, 4):
+                sh, off, _, _ = shingles(s.column(4), k)
+                a, b = [], []
+                for i, (cell, side, pivot, d) in enumerate(zip(*(s.column(c).to_pylist() for c in range(4)))):
+                    x = np.unique(sh[off[i] : off[i + 1]])
+                    if cell != at:
+                        at, own = cell, []
+                    if side == 0:
+                        own.append(x)
+                    else:
+                        for y in own:
+                            both = len(np.intersect1d(x, y, assume_unique=True))
+                            if both and 100 * both >= threshold * (len(x) + len(y) - both):
+                                a.append(pivot)
+                                b.append(d)
+                                break
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["pivot", "id"])
+
+    dealt = full.select("cell", "side", "pivot", "id", "text").repartition(n, "cell").sortWithinPartitions("cell", "side")
+    return written(dealt.mapInArrow(run, "pivot long, id long").distinct(), "starred")
+
+
+def _near_pivot(least: int):
+    """Rows (node, id, pivot, signature, pivot_signature) to (node, id, pivot) of equal enough signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(batch.num_rows, -1) for i in (3, 4))
+                keep = pa.array((x == y).sum(1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(3)], names=["node", "id", "pivot"])
+
+    return run
+
+
+def nodes(reps: DataFrame, docs: DataFrame, k: int, threshold: int, recall: float, node_rows: int = NODE_ROWS) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(nodes (node, id) of two documents or more and of node_rows at most, a table a level; links (a, b) found on the way).
+
+    A large node is often one large group of near copies, which no choice of positions parts. So before it is branched, its
+    documents are compared with one of them, the pivot: first by signature, then on full sets. Those linked with it are of
+    one class, and what is left to compare are pairs of different classes: children of one class only end."""
+    s = threshold / 100
+    positions = root_positions(s, recall)
     wide = sorted({p for _, p in positions})
     roots = [F.xxhash64(F.lit(t), F.lit(p), F.substring(F.col("roots"), 8 * wide.index(p) + 1, 8)) for t, p in positions]
-    rows = reps.select("id", F.explode(F.array(*roots)).alias("node"))
-    found = []
+    rows = reps.select("id", F.col("id").alias("cls"), F.explode(F.array(*roots)).alias("node"))
+    found, links = [], []
     for level in range(LEVELS):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("n > 1 and low < high").drop("low", "high")
         sized = written(rows.hint("merge").join(sizes.hint("merge"), "node"), "nodes")
         small = sized.where(F.col("n") <= node_rows)
         lists = small.where(F.col("n") <= LISTED).groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
@@ -337,18 +392,28 @@ def nodes(reps: DataFrame, threshold: float, recall: float, node_rows: int = NOD
         found.append(small.where(F.col("n") > LISTED).select("node", "id"))
         large = sized.where(F.col("n") > node_rows)
         if large.isEmpty():
-            return found
+            return found, links
+        drawn = F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("pivot"), F.col("cls").alias("pivot_cls")))
+        pivots = large.groupBy("node").agg(drawn.alias("p")).select("node", "p.pivot", "p.pivot_cls")
+        pivots = written(pivots.join(reps.select(F.col("id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot"), "pivots")
+        both = large.hint("merge").join(reps.select("id", "signature").hint("merge"), "id").hint("merge").join(pivots.hint("merge"), "node")
+        near = both.select("node", "id", "pivot", "signature", "pivot_signature").mapInArrow(_near_pivot(_likely(s)), "node long, id long, pivot long")
+        starred = _starred(docs, written(near, "near-pivots"), k, threshold)
+        links.append(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        known = both.select("node", "id", "cls", "n", "signature", "pivot", "pivot_cls").hint("merge").join(starred.withColumn("linked", F.lit(True)).hint("merge"), ["pivot", "id"], "left")
+        large = written(known.select("node", "id", "n", "signature", F.when(F.coalesce("linked", F.lit(False)), F.least("cls", "pivot_cls")).otherwise(F.col("cls")).alias("cls")), "large")
         if level < LEVELS - 1:
-            share = int(BRANCHES * (1 << 20) / (threshold * TOKENS))
+            share = int(BRANCHES * (1 << 20) / (s * TOKENS))
             chosen = F.filter(F.array(*[F.lit(i) for i in range(TOKENS)]), lambda i: F.pmod(F.xxhash64("node", i), F.lit(1 << 20)) < share)
             chosen = F.when(F.size(chosen) > 0, chosen).otherwise(F.array(F.pmod(F.xxhash64("node"), F.lit(TOKENS)).cast("int")))
-            rows = large.hint("merge").join(reps.hint("merge"), "id").select("id", "node", "signature", F.explode(chosen).alias("at")).select("id", F.xxhash64("node", "at", _token(F.col("at"))).alias("node"))
+            rows = large.select("id", "cls", "node", "signature", F.explode(chosen).alias("at")).select("id", "cls", F.xxhash64("node", "at", _token(F.col("at"))).alias("node"))
     # what no level has parted: each two parts of a node meet in a block
+    several = large.groupBy("node").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("node")
     parts = F.ceil(F.col("n") * 2 / node_rows).cast("int")
-    own = large.select("id", "node", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    own = large.join(several, "node").select("id", "node", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found.append(other.select(F.xxhash64("node", F.least("part", "other"), F.greatest("part", "other")).alias("node"), "id"))
-    return found
+    return found, links
 
 
 def _sorted_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -392,7 +457,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, rec
     classes = written(named.groupBy("digest").agg(one.alias("d")).select("digest", F.col("d.doc_id").alias("id"), "d.n_shingles", "d.signature", "d.roots"), "classes")
     reps = classes.drop("digest")
 
-    found = nodes(reps, s, recall, node_rows)
+    found, starred = nodes(reps, docs, k, threshold, recall, node_rows)
     rows = found[0]
     for f in found[1:]:
         rows = rows.unionByName(f)
@@ -402,6 +467,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, rec
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
     full = _sorted_by(clusters.hint("merge").join(texts.hint("merge"), "id"), "cluster", "id", "text")
     links = written(full.mapInArrow(_confirmer(k, threshold), "a long, b long"), "links")
+    for x in starred:
+        links = links.unionByName(x)
     comp = written(components(links), "components")
 
     member = classes.select("digest", "id").join(comp.hint("merge"), "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
