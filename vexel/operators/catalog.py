@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import in_ranges, starts
+from .ordered import in_ranges, numbered, starts
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: list[str], newest: Column | None = None) -> DataFrame:
@@ -104,3 +104,57 @@ def estimate(tile_sets: list[dict], z_low: int, z_high: int, count) -> tuple[int
             continue
         total += sum(count(z) for z in range(max(z_low, s["minzoom"]), min(z_high, s["maxzoom"]) + 1))
     return total, precise
+
+
+#: Seconds by which an access time must move to be written again.
+ACCESS_GRANULARITY = 60
+
+
+def looked_up(responses: DataFrame, urls: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(the responses of urls, all responses with the access times of those rewritten that are older than the granularity)."""
+    asked = urls.select("url").distinct()
+    old = F.coalesce(F.col("_asked"), F.lit(False)) & (F.lit(now) - F.col("accessed") > ACCESS_GRANULARITY)
+    j = responses.join(asked.withColumn("_asked", F.lit(True)), "url", "left")
+    return responses.join(asked, "url", "left_semi"), j.withColumn("accessed", F.when(old, F.lit(now)).otherwise(F.col("accessed"))).select(*responses.columns)
+
+
+def deleted(responses: DataFrame, urls: DataFrame) -> DataFrame:
+    return responses.join(urls.select("url"), "url", "left_anti")
+
+
+def regions_created(regions: DataFrame, new: DataFrame) -> DataFrame:
+    """New regions (without ids; a column ord) get the next ids; they claim nothing yet."""
+    top = regions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    rows = numbered(new, ["ord"], "_n").join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast("long"))
+    return regions.unionByName(rows.select(*regions.columns))
+
+
+def listed(regions: DataFrame) -> DataFrame:
+    return regions.orderBy("id")
+
+
+def stored(responses: DataFrame, claims: DataFrame, rows: DataFrame, region_id: int) -> tuple[DataFrame, DataFrame]:
+    """Responses that a region has fetched: stored, claimed, and counted by their pins, all from one set of rows."""
+    more = claimed(claims, rows.select(F.lit(region_id).cast(claims.schema["region_id"].dataType).alias("region_id"), "url"))
+    return pinned(upserted(responses, rows.select(*[c for c in responses.columns if c != "pins"], *([F.lit(0).cast(responses.schema["pins"].dataType).alias("pins")] if "pins" in responses.columns else [])), ["url"]), more), more
+
+
+def migrated(table: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """A table of an older form with the columns it lacks: name to (type, value)."""
+    have = set(table.columns)
+    return table.withColumns({n: F.lit(v).cast(t) for n, (t, v) in columns.items() if n not in have}) if set(columns) - have else table
+
+
+def downloaded(plan: DataFrame, answers: DataFrame) -> DataFrame:
+    """A download's state: of each planned resource whether it is complete, failed (status 404 and the like) or pending."""
+    j = plan.select("url").distinct().join(answers.select("url", "status", "bytes"), "url", "left")
+    return j.withColumn("state", F.when(F.col("status").isNull(), "pending").when(F.col("status").between(200, 299), "complete").otherwise("failed"))
+
+
+def region_refreshed(responses: DataFrame, claims: DataFrame, region_id: int, plan: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A region asked again for its resources: answers (url, status, expires, bytes) of status 304 move the expiry, of 200 replace
+    the response, others change nothing; claims of what the plan no longer has go."""
+    a = answers.select("url", F.col("status").alias("_status"), F.col("expires").alias("_expires"), F.col("bytes").alias("_bytes"))
+    j = responses.join(a, "url", "left")
+    j = j.withColumn("expires", F.when(F.col("_status").isin(200, 304), F.col("_expires")).otherwise(F.col("expires"))).withColumn("bytes", F.when(F.col("_status") == 200, F.col("_bytes")).otherwise(F.col("bytes")))
+    return j.select(*responses.columns), pruned(claims, region_id, plan)

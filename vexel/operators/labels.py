@@ -232,3 +232,48 @@ def line_circles(line: list[tuple[float, float]], at: float, length: float, heig
         (ax, ay), (bx, by) = line[k], line[k + 1]
         out.append((float(ax + (bx - ax) * t), float(ay + (by - ay) * t), r))
     return out
+
+
+#: Where an anchor lies in a label's box: shares of its width and height.
+ALIGNMENTS = {"center": (0.5, 0.5), "left": (0.0, 0.5), "right": (1.0, 0.5), "top": (0.5, 0.0), "bottom": (0.5, 1.0), "top-left": (0.0, 0.0), "top-right": (1.0, 0.0), "bottom-left": (0.0, 1.0), "bottom-right": (1.0, 1.0)}
+
+
+def variable_anchors(labels: DataFrame, anchors: list[str]) -> DataFrame:
+    """Each label once for each place it may take, in order of preference: attempt (from 0), anchor, align_x, align_y. A name that
+    is none counts as center."""
+    each = F.array(*[F.struct(F.lit(a).alias("anchor"), *[F.lit(v).alias(n) for v, n in zip(ALIGNMENTS.get(a, (0.5, 0.5)), ("align_x", "align_y"))]) for a in anchors])
+    return labels.select("*", F.posexplode(each).alias("attempt", "_a")).select(*labels.columns, "attempt", "_a.*")
+
+
+def fitted_icon(width, height, text: dict, padding: dict, offset: tuple, fit: str = "both", scale=1.0) -> dict:
+    """An icon's box around the text it holds, as Columns: stretched to the text's width, height or both with a padding, else
+    centered on it in its own size. The icon's anchor takes no part."""
+    left, right, top, bottom = (text[k] * scale for k in ("left", "right", "top", "bottom"))
+    wide, high = fit in ("width", "both"), fit in ("height", "both")
+    x0 = offset[0] + (left - padding["left"] if wide else (left + right - width) / 2)
+    y0 = offset[1] + (top - padding["top"] if high else (top + bottom - height) / 2)
+    return {"left": x0, "right": offset[0] + right + padding["right"] if wide else x0 + width, "top": y0, "bottom": offset[1] + bottom + padding["bottom"] if high else y0 + height}
+
+
+def split_lines(text, breaks):
+    """A text's lines at breaks (an array of places after which a line ends, ascending), as Columns; none is empty."""
+    ends = F.concat(F.transform(breaks, lambda b: b.cast("int")), F.array(F.length(text)))
+    starts_ = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+    lines = F.zip_with(starts_, ends, lambda a, b: F.when(b > a, F.substring(text, a + 1, b - a)))
+    return F.filter(lines, lambda s: s.isNotNull())
+
+
+def passes(color, halo_color, halo_width) -> tuple:
+    """(whether a label's halo is drawn, whether its fill is), from values that are constant, or None where they vary by
+    feature: those always count as drawn."""
+    from ..lang.color import parse
+
+    def opaque(c) -> bool:
+        return c is None or (parse(c) or (0, 0, 0, 0))[3] > 0
+
+    return opaque(halo_color) and (halo_width is None or halo_width != 0), opaque(color)
+
+
+def projected_circles(circles, scale, x, y):
+    """Circles (x, y, r) of a tile on the screen, as a Column: scaled around the tile's corner, which lies at (x, y)."""
+    return F.transform(circles, lambda c: F.struct((x + c["x"] * scale).alias("x"), (y + c["y"] * scale).alias("y"), (c["r"] * scale).alias("r")))

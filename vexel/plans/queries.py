@@ -717,4 +717,4 @@ def sweep_statistics(spark, sf):
     return tiles.sweep_statistics(places(spark, sf).select((F.col("c_custkey") % 16).alias("frame"), F.lit(0).alias("view"), F.lit(3).alias("z"), x.alias("x"), y.alias("y")))
 
 
-from . import feature_queries, source_queries  # noqa: E402, F401  register their queries
+from . import feature_queries, frame_queries, source_queries  # noqa: E402, F401  register their queries

@@ -175,3 +175,37 @@ def invisible_relief(zoom: Column | int, lat: Column, exaggeration: float, pixel
     around = F.abs(F.cos(F.radians(lat))) * (2 * math.pi * 6378137.0)
     per_metre = F.pow(F.lit(2.0), z + 1) * 512.0 / around
     return F.lit(pixels) / (per_metre * math.sin(math.radians(most_pitch)) * max(exaggeration, 1e-300))
+
+
+def ring(slope_rows: DataFrame, dim: int) -> DataFrame:
+    """Of slopes(), the outer ring of each tile: all that a new neighbor can change."""
+    last = dim - 1
+    return slope_rows.where((F.col("px") == 0) | (F.col("py") == 0) | (F.col("px") == last) | (F.col("py") == last))
+
+
+def seams(landed: DataFrame, held: DataFrame) -> DataFrame:
+    """Tiles whose borders are to be made anew: those that have landed, and their held neighbors, eight each, across the
+    antimeridian as well. Tiles are z, x, y."""
+    side = F.call_function("shiftleft", F.lit(1), F.col("z"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = landed.select("z", "x", "y").withColumn("_d", around).select("z", F.pmod(F.col("x") + F.col("_d.i"), side).alias("x"), (F.col("y") + F.col("_d.j")).alias("y")).distinct()
+    return held.select("z", "x", "y").distinct().join(near, ["z", "x", "y"], "left_semi")
+
+
+def reconciled(slope_rows: DataFrame, pixels: DataFrame, landed: DataFrame, dim: int, metres: float) -> DataFrame:
+    """slopes() with the rings of all tiles at the seams of landed ones made anew from pixels."""
+    at = seams(landed, pixels)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    side = F.call_function("shiftleft", F.lit(1), F.col("z"))
+    needed = at.withColumn("_d", around).select("z", F.pmod(F.col("x") + F.col("_d.i"), side).alias("x"), (F.col("y") + F.col("_d.j")).alias("y")).distinct()
+    new = ring(slopes(bordered(pixels.join(needed, ["z", "x", "y"], "left_semi"), dim), metres), dim).join(at, ["z", "x", "y"], "left_semi")
+    kept = slope_rows.join(new.select("z", "x", "y", "px", "py"), ["z", "x", "y", "px", "py"], "left_anti")
+    return kept.unionByName(new)
+
+
+def covering_zoom(zoom: Column, tile_size: int, rounds: bool = True) -> Column:
+    """The zoom at which a source of images of a size is asked for: higher for smaller images; images round, data floors."""
+    import math
+
+    z = zoom + math.log2(512 / tile_size)
+    return F.greatest(F.lit(0), (F.round(z) if rounds else F.floor(z)).cast("int"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered
 from ..operators.scratch import cut
-from .projection import cluster_position
+from .projection import cluster_position, unproject
 
 #: Points that one task clusters.
 TASK_POINTS = 50_000
@@ -186,6 +186,13 @@ def tile(levels: DataFrame, z: int, x: int, y: int, o: Options = Options()) -> D
     return out
 
 
+def tile_features(levels: DataFrame, z: int, x: int, y: int, o: Options = Options()) -> DataFrame:
+    """A tile's points and clusters as features: id, lon, lat, and the properties of a cluster."""
+    rows = with_properties(tile(levels, z, x, y, o))
+    lon, lat = unproject(F.col("x"), F.col("y"), 1.0)
+    return rows.withColumns({"lon": lon, "lat": lat})
+
+
 def children(levels: DataFrame, cluster_id: int) -> DataFrame:
     """A cluster's members one level below it."""
     return levels.where((F.col("z") == cluster_id % 32) & (F.col("parent_id") == cluster_id))
