@@ -1,12 +1,13 @@
 """Exact top-k search by inner product, with sequential access only.
 
 Each component is a list of the candidates, sorted by that component. For a query, the lists are read from their ends of
-greater contributions on, in lockstep, some entries of each list a step. What has been read of a candidate adds to its
-bounds: the lower one counts, for each list in which it hasn't been met, the least contribution of that list, the upper
-one the contribution at which that list's reading stands. After each step, the threshold is the k-th best lower bound
-(or the k-th best score that is known from earlier blocks, if that is greater). Reading stops once no more candidates than
-can win have an upper bound that reaches the threshold: outsiders cannot qualify. Their final scores are resolved then.
-Equal bounds can still qualify, as ties go to the smaller id, so ties are read on.
+greater contributions on, in lockstep, to depths that double from step to step. What has been read of a candidate adds to
+its bounds: the lower one counts, for each list in which it hasn't been met, the least contribution of that list, the upper
+one the contribution at which that list's reading stands. After each step, the threshold is the k-th best score known from
+earlier blocks, or else the k-th best lower bound. Reading stops once no more candidates than can win have an upper bound
+that reaches the threshold: outsiders cannot qualify. Their final scores are resolved then. Equal bounds can still
+qualify, as ties go to the smaller id, so ties are read on. The bounds of many queries are kept together: with what has been
+read of each list as a mask, a step's bounds are one product of matrices.
 
 Queries and candidates are dealt in blocks of bounded bytes; each pair of a query block and a candidate block is a cell
 that one task handles, all in one job. Within a cell, candidates go in smaller blocks with lists of their own, and a
@@ -34,8 +35,10 @@ from .common import table, written
 CELL_BYTES = 16 << 20
 #: Candidates whose lists are sorted together.
 BLOCK_ROWS = 4096
-#: Steps in which a list can be read to its end.
-STEPS = 64
+#: The part of a list that is read in the first step; each further step doubles the depth.
+FIRST = 64
+#: Queries whose bounds are kept together.
+TOGETHER = 512
 #: Repeated rows that one row unfolds to.
 _STEP = 1 << 14
 _EXACT = float(1 << 53)
@@ -54,67 +57,101 @@ class Lists:
     def __init__(self, keys: np.ndarray, ids: np.ndarray, times: np.ndarray, vectors: np.ndarray):
         by_id = np.lexsort((keys, ids))
         self.keys, self.ids, self.times, self.v = keys[by_id], ids[by_id], times[by_id], vectors[by_id]
-        self.order = np.argsort(self.v, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(self.v, self.order.T, 0).T.astype(np.float64)
-        self.largest = float(np.abs(self.v.astype(np.float64)).max(initial=0))
+        order = np.argsort(self.v, axis=0, kind="stable")
+        #: Each candidate's place in each list, from the least on, and the lists themselves.
+        self.place = np.empty_like(order)
+        np.put_along_axis(self.place, order, np.arange(len(self.v))[:, None], 0)
+        self.lists = np.take_along_axis(self.v, order, 0).astype(np.float64)
+        self.exact = self.v.astype(np.float64)
+        self.largest = float(np.abs(self.exact).max(initial=0))
         #: Entries read from lists, and what reading all lists to their ends would have been.
         self.reads, self.entries = 0, 0
 
-    def best(self, key: int, q: np.ndarray, k: int, known: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """The k best (-score, id, key, times) of known and this block's candidates; the query's own row isn't one."""
+    def best(self, asked: list[int], queries: np.ndarray, k: int, known: dict[int, list[tuple[int, int, int, int]]]) -> None:
+        """Updates known, for each of the asked queries (keys and vectors) the k best (-score, id, key, times), by this block;
+        a query's own row is no candidate."""
+        bound = np.abs(queries.astype(np.float64)).max(1, initial=0) * self.largest * max(self.v.shape[1], 1)
+        for i in np.flatnonzero(bound >= _EXACT):
+            self._large(asked[i], queries[i], k, known)
+        fine = np.flatnonzero(bound < _EXACT)
+        for a in range(0, len(fine), TOGETHER):
+            own = fine[a : a + TOGETHER]
+            self._some([asked[i] for i in own], queries[own].astype(np.float64), k, known)
+
+    def _large(self, key: int, q: np.ndarray, k: int, known: dict) -> None:
+        """Numbers beyond exact doubles: all scores as they are, held within 64 bits."""
+        scores = (self.v.astype(object) * q.astype(object)[None, :]).sum(1)
+        most = (1 << 63) - 1
         times = np.where(self.keys == key, self.times - 1, self.times)
-        if float(np.abs(q.astype(np.float64)).max(initial=0)) * self.largest * max(self.v.shape[1], 1) >= _EXACT:
-            scores = (self.v.astype(object) * q.astype(object)[None, :]).sum(1)
-            most = (1 << 63) - 1
-            found = [(-max(-most, min(most, int(s))), int(i), int(c), int(n)) for s, i, c, n in zip(scores, self.ids, self.keys, times) if n]
-            return _first(sorted([*known, *found]), k)
-        ask = q.astype(np.float64)
-        alive = self._qualified(ask, np.flatnonzero(times > 0), times, k, _kth(known, k))
-        scores = self.v[alive].astype(np.float64) @ ask
-        if len(alive) > k:
-            # all of greater scores, and of the k-th score those of the least ids: the block is in ascending order of id
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            keep = np.concatenate([np.flatnonzero(scores > kth), np.flatnonzero(scores == kth)[:k]])
-            alive, scores = alive[keep], scores[keep]
-        return _first(sorted([*known, *((-int(s), int(self.ids[i]), int(self.keys[i]), int(times[i])) for s, i in zip(scores, alive))]), k)
-
-    def _qualified(self, ask: np.ndarray, alive: np.ndarray, times: np.ndarray, k: int, known: float) -> np.ndarray:
-        """The candidates that can still be among the best when the reading of the lists stops."""
-        n, used = len(self.ids), np.flatnonzero(ask != 0)
-        # the reading end of each list: from the back where the query's component is positive
-        front, rear = used[ask[used] < 0], used[ask[used] > 0]
-        weight = np.concatenate([ask[front], ask[rear]])[:, None]
-        least = np.concatenate([self.sorted[front, -1], self.sorted[rear, 0]]) * weight[:, 0]
-        self.entries += n * len(used)
-        lower, read = np.full(n, least.sum()), np.zeros(n)
-        met = np.zeros((n, len(used)), np.float64)
-        step, at = max(1, -(-n // STEPS)), 0
-        while len(used) and len(alive) and at < n:
-            end = min(n, at + step)
-            where = np.concatenate([self.order[front, at:end], self.order[rear, n - end : n - at]])
-            gain = np.concatenate([self.sorted[front, at:end], self.sorted[rear, n - end : n - at]]) * weight
-            stand = np.concatenate([gain[: len(front), -1], gain[len(front) :, 0]])
-            self.reads += where.size
-            read += np.bincount(where.ravel(), gain.ravel(), n)
-            lower += np.bincount(where.ravel(), (gain - least[:, None]).ravel(), n)
-            met[where, np.arange(len(used))[:, None]] = 1
-            at = end
-            upper = read[alive] + stand.sum() - met[alive] @ stand
-            threshold = max(known, _kth_lower(lower[alive], times[alive], k))
-            alive = alive[upper >= threshold]
-            if int(np.minimum(times[alive], k).sum()) <= k:
-                break
-        return alive
-
-
-def _kth_lower(lower: np.ndarray, times: np.ndarray, k: int) -> float:
-    """The k-th greatest of bounds that occur some times each."""
-    if len(lower) > k:
-        top = np.argpartition(lower, len(lower) - k)[-k:]
-        lower, times = lower[top], times[top]
-    order = np.argsort(-lower)
-    through = np.cumsum(np.minimum(times[order], k))
-    return float(lower[order][np.searchsorted(through, k)]) if len(through) and through[-1] >= k else -np.inf
+        found = [(-max(-most, min(most, int(s))), int(i), int(c), int(n)) for s, i, c, n in zip(scores, self.ids, self.keys, times) if n]
+        known[key] = _first(sorted([*known.get(key, []), *found]), k)
+
+    def _some(self, asked: list[int], ask: np.ndarray, k: int, known: dict) -> None:
+        n, d = self.v.shape
+        up, down = np.maximum(ask, 0), np.minimum(ask, 0)
+        sides, used = np.concatenate([up, down], 1), (ask != 0).sum(1)
+        self.entries += n * int(used.sum())
+        # rows of own[i] are no candidates of query i, unless they are repeated
+        where = {int(c): i for i, c in enumerate(self.keys)}
+        own = [(i, where[c]) for i, c in enumerate(asked) if c in where and self.times[where[c]] == 1]
+        thresholds = np.array([_kth(known.get(c, []), k) for c in asked])
+        active, at = np.arange(len(asked)), 0
+        least = sides @ np.concatenate([self.lists[0], self.lists[-1]])
+        while len(active):
+            depth = min(n, max(1, -(-n // FIRST) if not at else 2 * at))
+            self.reads += int((depth - at) * used[active].sum())
+            at = depth
+            if at == n:
+                alive = np.ones((len(active), n), bool)
+                self._resolve(asked, ask, active, alive, own, thresholds, k, known)
+                return
+            # what has been met: the last `at` places where a query's component is positive, the first ones where negative
+            met = np.concatenate([self.place >= n - at, self.place < at], 1)
+            stand = np.concatenate([self.lists[n - at], self.lists[at - 1]])
+            both = np.concatenate([self.exact, self.exact], 1)
+            upper = sides[active] @ ((both - stand) * met).T + (sides[active] @ stand)[:, None]
+            self._mask(upper, active, own)
+            open_ = np.flatnonzero(~np.isfinite(thresholds[active]))
+            if len(open_) and n - len(own) >= k:
+                worst = np.concatenate([self.lists[0], self.lists[-1]])
+                lower = sides[active[open_]] @ ((both - worst) * met).T + least[active[open_]][:, None]
+                self._mask(lower, active[open_], own)
+                floor = np.full(len(active), -np.inf)
+                floor[open_] = np.partition(lower, n - k, 1)[:, n - k] if n >= k else -np.inf
+            else:
+                floor = np.full(len(active), -np.inf)
+            alive = upper >= np.maximum(thresholds[active], floor)[:, None]
+            done = np.flatnonzero(alive.sum(1) <= k)
+            if len(done):
+                self._resolve(asked, ask, active[done], alive[done], own, thresholds, k, known)
+                active = np.delete(active, done)
+
+    @staticmethod
+    def _mask(bounds: np.ndarray, rows: np.ndarray, own: list[tuple[int, int]]) -> None:
+        at = {int(r): i for i, r in enumerate(rows)}
+        for r, c in own:
+            if r in at:
+                bounds[at[r], c] = -np.inf
+
+    def _resolve(self, asked, ask, rows, alive, own, thresholds, k: int, known: dict) -> None:
+        """Final scores of the candidates that can still qualify."""
+        scores = np.where(alive, ask[rows] @ self.exact.T, -np.inf) if alive.all() else np.full(alive.shape, -np.inf)
+        if not alive.all():
+            for i, r in enumerate(rows):
+                c = np.flatnonzero(alive[i])
+                scores[i, c] = self.exact[c] @ ask[r]
+        self._mask(scores, rows, own)
+        for i, r in enumerate(rows):
+            key = asked[r]
+            c = np.flatnonzero((scores[i] >= thresholds[r]) & np.isfinite(scores[i]))
+            if len(c) > k:
+                # all of greater scores, and of the k-th score those of the least ids: the block is in ascending order of id
+                own_scores = scores[i, c]
+                kth = np.partition(own_scores, len(c) - k)[len(c) - k]
+                c = np.concatenate([c[own_scores > kth], c[own_scores == kth][:k]])
+            times = np.where(self.keys[c] == key, self.times[c] - 1, self.times[c])
+            found = [(-int(s), int(j), int(g), int(t)) for s, j, g, t in zip(scores[i, c], self.ids[c], self.keys[c], times) if t]
+            known[key] = _first(sorted([*known.get(key, []), *found]), k)
 
 
 def _kth(known: list[tuple[int, int, int, int]], k: int) -> float:
@@ -169,8 +206,7 @@ class _Cell:
         for a in range(0, len(rows[0]), BLOCK_ROWS):
             block = Lists(*(x[a : a + BLOCK_ROWS] for x in rows))
             for keys, _, _, vectors in self.asked[d]:
-                for key, q in zip(keys.tolist(), vectors):
-                    self.best[key] = block.best(key, q, self.k, self.best.get(key, []))
+                block.best(keys.tolist(), vectors, self.k, self.best)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for d in list(self.held):
