@@ -448,9 +448,17 @@ class Compiler:
             known = v.item if v.item in ("number", "string", "boolean") else "value"
             return self._result("string", F.when(F.size(v.col) == 0, F.lit("array")).otherwise(F.concat(F.lit(f"array<{known}, "), F.size(v.col).cast("string"), F.lit(">"))), v)
         if v.kind == "value":
-            t = variant_type(v.col)
-            c = F.when(t.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("null")
-            return self._result("string", F.coalesce(c, F.lit("null")), v)
+
+            def of(x: Column) -> Column:
+                t = variant_type(x)
+                return F.when(t.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), "number").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").otherwise("null")
+
+            items = F.try_variant_get(v.col, "$", "array<variant>")
+            kinds = F.array_distinct(F.transform(items, of))
+            item = F.when((F.size(kinds) == 1) & kinds[0].isin("number", "string", "boolean"), kinds[0]).otherwise("value")
+            array = F.when(F.size(items) == 0, F.lit("array")).otherwise(F.concat(F.lit("array<"), item, F.lit(", "), F.size(items).cast("string"), F.lit(">")))
+            c = of(v.col)
+            return self._result("string", F.coalesce(F.when(c == "array", array).otherwise(c), F.lit("null")), v)
         kind = {"formatted": "object", "image": "object"}.get(v.kind, v.kind)
         return self._result("string", F.when(v.col.isNull(), F.lit("null")).otherwise(F.lit(kind)), v)
 
@@ -512,7 +520,8 @@ class Compiler:
         if len(args) == 3:
             s = self.of(args[2], "number")
             parts.append(s)
-            start = _relative(s.col, _length(hay))
+            # before the beginning is the beginning, unlike in a slice
+            start = _relative(F.greatest(F.lit(0.0), s.col), _length(hay))
         place, fine = self._search(needle, hay, start)
         return self._result("number", F.coalesce(place, F.lit(-1)).cast("double"), *parts, ok=fine)
 

@@ -216,6 +216,13 @@ def coerced(v: Val, kind: str) -> Val:
         return to_color([v])
     if kind == "string" and v.kind in ("number", "boolean", "formatted", "image"):
         return Val("string", text_of(v), v.ok).with_deps(v)
+    if kind in ("string", "formatted") and v.kind in ("value", "null"):
+        # what is only known when it is read is written as text, and what is missing is empty
+        text = F.coalesce(text_of(v), F.lit("")) if v.kind == "value" else F.lit("")
+        v = Val("string", text, v.ok).with_deps(v)
+    if kind == "formatted" and v.kind in ("string", "number", "boolean"):
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("image", "string"), ("scale", "double"), ("font", "array<string>"), ("color", "struct<r:double,g:double,b:double,a:double>"))]
+        return Val("formatted", F.array(F.struct(text_of(v).alias("text"), *none)), v.ok).with_deps(v)
     return v if v.kind == kind else asserted(v, kind)
 
 
