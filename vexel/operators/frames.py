@@ -83,3 +83,9 @@ def depth_slot(layer: Column, layers: Column) -> Column:
     last one."""
     top = F.greatest(layers - 1, F.lit(0))
     return top - F.least(F.greatest(layer, F.lit(0)), top)
+
+
+def published(cameras: DataFrame) -> DataFrame:
+    """The camera that a reader gets: the newest one whose writing has ended. While a camera is written its sequence is odd."""
+    whole = cameras.where(F.col("seq") % 2 == 0)
+    return whole.join(whole.agg(F.max("seq").alias("seq")), "seq", "left_semi")

@@ -277,3 +277,50 @@ def passes(color, halo_color, halo_width) -> tuple:
 def projected_circles(circles, scale, x, y):
     """Circles (x, y, r) of a tile on the screen, as a Column: scaled around the tile's corner, which lies at (x, y)."""
     return F.transform(circles, lambda c: F.struct((x + c["x"] * scale).alias("x"), (y + c["y"] * scale).alias("y"), (c["r"] * scale).alias("r")))
+
+
+def covered(wanted, asked):
+    """Whether all ranges of an array are in another one, as a Column."""
+    return F.size(F.array_except(wanted, asked)) == 0
+
+
+def shaped(advances, line_of, line_height: float, justify: float = 0.5):
+    """Where the glyphs of a text stand, as a Column of arrays of (line, x, y): advances and the number of each glyph's line, from
+    0; lines are justified around the anchor (0 left, 0.5 middle, 1 right), their middle at its height."""
+    lines = F.array_max(line_of) + 1
+    each = F.arrays_zip(advances.alias("a"), line_of.alias("l"))
+    widths = F.transform(F.sequence(F.lit(0), lines - 1), lambda i: F.aggregate(F.filter(each, lambda g: g["l"] == i), F.lit(0.0), lambda s, g: s + g["a"]))
+
+    def step(state, g):
+        x = F.when(g["l"] == state["l"], state["x"]).otherwise(-justify * F.get(widths, g["l"]))
+        at = F.struct(g["l"].alias("line"), x.alias("x"), ((g["l"] - (lines - 1) / 2) * line_height).alias("y"))
+        return F.struct(g["l"].alias("l"), (x + g["a"]).alias("x"), F.concat(state["found"], F.array(at)).alias("found"))
+
+    start = F.struct(F.lit(-1).alias("l"), F.lit(0.0).alias("x"), F.array().cast("array<struct<line:int,x:double,y:double>>").alias("found"))
+    return F.aggregate(each, start, step, lambda s: s["found"])
+
+
+def along(line, distances):
+    """The places (x, y, angle) at distances along a line, as a Column of arrays; null beyond its ends."""
+    n = F.size(line)
+    pairs = F.zip_with(F.slice(line, F.lit(1), n - 1), F.slice(line, F.lit(2), n - 1), lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"), F.hypot(q["x"] - p["x"], q["y"] - p["y"]).alias("l")))
+
+    def place(d):
+        def step(s, e):
+            here = s["x"].isNull() & (d >= s["at"]) & (d <= s["at"] + e["l"]) & (e["l"] > 0)
+            t = (d - s["at"]) / F.when(e["l"] > 0, e["l"])
+            pick = lambda a, b: F.when(here, a).otherwise(b)
+            return F.struct((s["at"] + e["l"]).alias("at"), pick(e["px"] + e["dx"] * t, s["x"]).alias("x"), pick(e["py"] + e["dy"] * t, s["y"]).alias("y"), pick(F.atan2(e["dy"], e["dx"]), s["angle"]).alias("angle"))
+
+        none = F.lit(None).cast("double")
+        start = F.struct(F.lit(0.0).alias("at"), none.alias("x"), none.alias("y"), none.alias("angle"))
+        return F.aggregate(pairs, start, step, lambda s: F.when(s["x"].isNotNull(), F.struct(s["x"], s["y"], s["angle"])))
+
+    return F.transform(distances, place)
+
+
+def candidates(features: DataFrame, text, icon) -> DataFrame:
+    """Features with what a symbol layer draws of them, text and icon as Columns: those that have neither are left out, and an
+    empty text is none."""
+    t, i = F.when(F.length(text) > 0, text), F.when(F.length(icon) > 0, icon)
+    return features.withColumns({"text": t, "icon": i}).where("text is not null or icon is not null")

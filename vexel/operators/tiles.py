@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def _half(c: str):
     return F.call_function("shiftright", F.col(c), F.lit(1))
@@ -87,3 +89,32 @@ def wanted(ideal: DataFrame, held: DataFrame) -> DataFrame:
 def sweep_statistics(frames: DataFrame) -> DataFrame:
     """frames (frame, view, z, x, y): distinct tiles, uses, and how many uses share a tile."""
     return frames.groupBy("frame").agg(F.count("*").alias("uses"), F.count_distinct("z", "x", "y").alias("distinct_tiles")).withColumn("shared", F.col("uses") - F.col("distinct_tiles"))
+
+
+def at_zooms(cover: DataFrame, zooms: list[int]) -> DataFrame:
+    """The tiles of other zooms that meet a cover's tiles: those that hold them, or those below them."""
+    parts = []
+    for zoom in zooms:
+        up = F.col("z") - zoom
+        above = cover.where(F.col("z") >= zoom).select(F.lit(zoom).alias("z"), F.call_function("shiftright", F.col("x"), F.greatest(F.lit(0), up)).alias("x"), F.call_function("shiftright", F.col("y"), F.greatest(F.lit(0), up)).alias("y"))
+        side = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), -up)) - 1
+        below = cover.where(F.col("z") < zoom).withColumn("_i", F.explode(F.sequence(F.lit(0), side))).withColumn("_j", F.explode(F.sequence(F.lit(0), side)))
+        grown = lambda c, k: F.call_function("shiftleft", F.col(c), F.greatest(F.lit(0), -up)) + F.col(k)
+        parts += [above, below.select(F.lit(zoom).alias("z"), grown("x", "_i").alias("x"), grown("y", "_j").alias("y"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def matching(builds: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Builds (source, revision, ...) that were made from the data that their sources have now."""
+    return builds.join(revisions.select("source", "revision"), ["source", "revision"], "left_semi")
+
+
+def evictable(held: DataFrame, capacity: int, new: int | None = None) -> DataFrame:
+    """Of held tiles (key, used, retained) those that must go so that no more than capacity stay: the least used first, none
+    that is retained, nor the new one."""
+    excess = held.agg(F.greatest(F.lit(0), F.count("*") - capacity).alias("_excess"))
+    free = held.where(~F.col("retained") & (F.lit(True) if new is None else F.col("key") != new))
+    return numbered(free, ["used", "key"], "_n").join(F.broadcast(excess)).where("_n <= _excess").select(*held.columns)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..operators import catalog, frames, labels
+from ..operators import catalog, frames, labels, tiles
 from ..sources import capture, dem
-from ..spatial import cluster, cover
-from .queries import _PLACES, places, table
+from ..spatial import cluster, cover, geometry, projection
+from .queries import _PLACES, _tile_sql, places, table
 from .registry import query
 from .source_queries import _BORDERED, _ground
 
+_COVER = f"SELECT DISTINCT {_tile_sql(4)[0]} AS x, {_tile_sql(4)[1]} AS y FROM {_PLACES}"
+
 # -- logs
 
 
@@ -230,6 +232,69 @@ def circles_projected(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(labels.projected_circles(c, 0.5, F.lit(100.0), F.lit(50.0))).alias("c")).select("p_partkey", "c.x", "c.y", "c.r")
 
 
+@query("text_shaped", "SELECT p_partkey, g::INT AS glyph, (g // 3)::INT AS line, CASE g % 3 WHEN 0 THEN -0.5 * (p_size * 3 + 3) WHEN 1 THEN -0.5 * (p_size * 3 + 3) + p_size ELSE -0.5 * (p_size * 3 + 3) + p_size * 2 + 1 END::DOUBLE AS x, ((g // 3) - 0.5) * 24::DOUBLE AS y FROM part, (SELECT unnest(range(6)) AS g)")
+def text_shaped(spark, sf):
+    """Six glyphs on two lines, each line's glyphs of the advances n, n + 1 and n + 2."""
+    n = F.col("p_size").cast("double")
+    g = labels.shaped(F.array(*[n + i % 3 for i in range(6)]), F.array(*[F.lit(i // 3) for i in range(6)]), 24.0)
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(g).alias("glyph", "g")).select("p_partkey", "glyph", "g.line", "g.x", "g.y")
+
+
+@query("glyphs_along", "SELECT p_partkey, g::INT AS glyph, CASE WHEN p_size * g <= 100 THEN least(60, p_size * g) WHEN false THEN 0 END::DOUBLE AS x, CASE WHEN p_size * g <= 100 THEN greatest(0, p_size * g - 60) END::DOUBLE AS y FROM part, (SELECT unnest(range(5)) AS g)")
+def glyphs_along(spark, sf):
+    """Glyphs each n units along a line that goes 60 east, then 40 up; none stands beyond its end."""
+    line = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (60.0, 0.0), (60.0, 40.0))])
+    at = labels.along(line, F.array(*[F.col("p_size") * float(g) for g in range(5)]))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(at).alias("glyph", "g")).select("p_partkey", "glyph", "g.x", "g.y")
+
+
+@query("symbol_candidates", "SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_name END AS text, CASE WHEN p_size % 2 = 0 THEN p_brand END AS icon FROM part WHERE p_size % 3 > 0 OR p_size % 2 = 0")
+def symbol_candidates(spark, sf):
+    n = F.col("p_size")
+    return labels.candidates(table(spark, sf, "part").select("p_partkey", "p_size", "p_name", "p_brand"), F.when(n % 3 > 0, F.col("p_name")).otherwise(F.lit("")), F.when(n % 2 == 0, F.col("p_brand"))).select("p_partkey", "text", "icon")
+
+
+@query("glyphs_covered", "SELECT lang, bool_and(ascii(c) // 256 IN (0, 1)) AS covered FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY lang")
+def glyphs_covered(spark, sf):
+    """Whether the first two ranges are all that the texts of a language need."""
+    r = labels.glyph_ranges(table(spark, sf, "documents").select(F.col("lang").alias("stack"), "text")).groupBy("stack").agg(F.collect_set("range").alias("wanted"))
+    return r.select(F.col("stack").alias("lang"), labels.covered(F.col("wanted"), F.array(F.lit(0).cast("int"), F.lit(1).cast("int"))).alias("covered"))
+
+
+@query("rings_subdivided", "SELECT p_partkey, count(*)::INT AS cells, sum((least(16 * (i + 1), p_partkey % 40 + p_size) - greatest(16 * i, p_partkey % 40)) * (least(16 * (j + 1), p_size) - 16 * j))::DOUBLE AS area FROM part, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) WHERE p_size > 0 AND 16 * i < p_partkey % 40 + p_size AND 16 * (i + 1) > p_partkey % 40 AND 16 * j < p_size GROUP BY p_partkey")
+def rings_subdivided(spark, sf):
+    """Squares parted by a grid: their parts' number, and the sum of their areas."""
+    a, n = (F.col("p_partkey") % 40).cast("double"), F.col("p_size").cast("double")
+    ring = F.array(*[F.struct((a + n * i).alias("x"), (n * j).alias("y")) for i, j in [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]])
+    d = table(spark, sf, "part").where("p_size > 0").select("p_partkey", F.explode(geometry.subdivided_column(ring, 16.0)).alias("c"))
+    return d.groupBy("p_partkey").agg(F.count("*").cast("int").alias("cells"), F.sum(F.abs(geometry.signed_area(F.col("c.ring")))).alias("area"))
+
+
+@query("tiles_at_zooms", f"SELECT DISTINCT 3::INT AS z, (x >> 1)::INT AS x, (y >> 1)::INT AS y FROM ({_COVER}) UNION ALL SELECT DISTINCT 5, (x * 2 + i)::INT, (y * 2 + j)::INT FROM ({_COVER}), (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)")
+def tiles_at_zooms(spark, sf):
+    x, y = projection.tile_of(F.col("lon"), F.col("lat"), 4)
+    return tiles.at_zooms(places(spark, sf).select(F.lit(4).alias("z"), x.alias("x"), y.alias("y")).distinct(), [3, 5])
+
+
+@query("builds_matching", "SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 3 = o_orderkey % 2")
+def builds_matching(spark, sf):
+    n = F.col("o_orderkey")
+    b = table(spark, sf, "orders").select(n.alias("key"), (n % 3).alias("source"), (n % 2).alias("revision"))
+    return tiles.matching(b, spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "source long, revision long")).select("key")
+
+
+@query("tiles_evicted", "WITH f AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey <> 5) SELECT key FROM f WHERE n <= (SELECT count(*) - 1000 FROM orders)")
+def tiles_evicted(spark, sf):
+    """The least used tiles beyond a thousand, but those that are retained and the new one."""
+    held = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("used"), (F.col("o_orderkey") % 4 == 0).alias("retained"))
+    return tiles.evictable(held, 1000, 5).select("key")
+
+
+@query("camera_published", "SELECT max(event_id) AS seq FROM events WHERE event_id % 2 = 0")
+def camera_published(spark, sf):
+    return frames.published(table(spark, sf, "events").select(F.col("event_id").alias("seq"), "value")).select("seq")
+
+
 # -- clusters
 
 

@@ -427,7 +427,25 @@ def _levels(spark, sf) -> DataFrame:
     return cluster.hierarchy(p, "lon", "lat", "i", _CLUSTERS)
 
 
-@query("cluster_levels")
+def _cluster_sql() -> str:
+    """Each level from the one below it: in order of index, a point that no taker has near takes; each point goes to the least
+    taker near it; takers, in order, are the next level."""
+    o = _CLUSTERS
+    s = "least(1, greatest(0, 0.5 - 0.25 * ln((1 + sin(lat * pi() / 180)) / (1 - sin(lat * pi() / 180))) / pi()))"
+    parts = [f"l{o.max_zoom + 1} AS MATERIALIZED (SELECT c_custkey - 1 AS index, c_custkey - 1 AS id, lon / 360 + 0.5 AS x, {s} AS y, 1::HUGEINT AS n FROM {_PLACES})"]
+    for z in range(o.max_zoom, o.min_zoom - 1, -1):
+        r = repr(o.reach(z))
+        near = lambda a, b: f"({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) <= {r} * {r}"
+        parts += [
+            f"c{z} AS MATERIALIZED (SELECT unnest(list_reduce(list([{{'i': index, 'x': x, 'y': y}}] ORDER BY index), lambda held, p: CASE WHEN len(list_filter(held, lambda c: {near('c', 'p[1]')})) = 0 THEN list_concat(held, p) ELSE held END)) AS c FROM l{z + 1})",
+            f"t{z} AS MATERIALIZED (SELECT index, id, n, x, y, min(c.i) AS taker FROM l{z + 1} l, (SELECT c.i AS i, c.x AS x, c.y AS y FROM c{z}) c WHERE {near('l', 'c')} GROUP BY index, id, n, l.x, l.y)".replace("index, id, n, x, y, min", "index, id, n, l.x, l.y, min"),
+            f"s{z} AS MATERIALIZED (SELECT taker, sum(n) AS total, sum(floor(x * {2**52})::HUGEINT * n) AS wx, sum(floor(y * {2**52})::HUGEINT * n) AS wy FROM t{z} GROUP BY taker)",
+            f"l{z} AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY s.taker) - 1)::BIGINT AS index, CASE WHEN total >= 2 THEN s.taker * 32 + {z + 1} ELSE t.id END AS id, CASE WHEN total >= 2 THEN wx::DOUBLE / total::DOUBLE / {2**52} ELSE t.x END AS x, CASE WHEN total >= 2 THEN wy::DOUBLE / total::DOUBLE / {2**52} ELSE t.y END AS y, total AS n FROM s{z} s JOIN t{z} t ON t.index = s.taker)",
+        ]
+    return "WITH " + ",\n".join(parts)
+
+
+@query("cluster_levels", _cluster_sql() + " UNION ALL ".join(f" SELECT {z}::INT AS z, count(*) AS features, sum(n)::BIGINT AS points FROM l{z}" for z in range(_CLUSTERS.min_zoom, _CLUSTERS.max_zoom + 2)))
 def cluster_levels(spark, sf):
     return _levels(spark, sf).groupBy("z").agg(F.count("*").alias("features"), F.sum("n").alias("points"))
 
@@ -437,7 +455,7 @@ def cluster_tile(spark, sf):
     return cluster.with_properties(cluster.tile(_levels(spark, sf), 1, 0, 0, _CLUSTERS)).select("id", "tile_x", "tile_y", "point_count", "point_count_abbreviated")
 
 
-@query("cluster_children")
+@query("cluster_children", _cluster_sql() + " UNION ALL ".join(f" SELECT {z + 1}::INT AS z, s.taker * 32 + {z + 1} AS parent_id, count(*) AS children, sum(n)::BIGINT AS points FROM t{z} t JOIN s{z} s ON t.taker = s.taker WHERE total >= 2 GROUP BY s.taker" for z in range(_CLUSTERS.min_zoom, _CLUSTERS.max_zoom + 1)))
 def cluster_children(spark, sf):
     levels = _levels(spark, sf)
     return levels.where("parent_id <> 0").groupBy("z", "parent_id").agg(F.count("*").alias("children"), F.sum("n").alias("points"))
@@ -646,7 +664,12 @@ def label_text(spark, sf):
     return c.select("c_custkey", label_template("{c_name} ({c_mktsegment}){absent} {open", Fields.of(c)).alias("label"))
 
 
-@query("placement")
+_TOUCH = "b.x0 <= p[1].x1 AND p[1].x0 <= b.x1 AND b.y0 <= p[1].y1 AND p[1].y0 <= b.y1"
+
+
+@query("placement", f"""WITH c AS (SELECT c_custkey % 8 AS view, c_custkey AS ord, c_custkey AS id, {{'id': c_custkey, 'x0': lon, 'y0': lat, 'x1': lon + 12, 'y1': lat + 4, 'allow': c_custkey % 11 = 0}} AS box FROM {_PLACES}),
+  g AS (SELECT view, list_reduce(list([box] ORDER BY ord, id), lambda held, p: CASE WHEN p[1].allow OR len(list_filter(held, lambda b: {_TOUCH})) = 0 THEN list_concat(held, p) ELSE held END) AS placed FROM c GROUP BY view)
+  SELECT c.view, ord, id, list_contains(list_transform(placed, lambda b: b.id), id) AS placed FROM c JOIN g ON c.view = g.view""")
 def placement(spark, sf):
     c = places(spark, sf).select((F.col("c_custkey") % 8).alias("view"), F.col("c_custkey").alias("ord"), F.col("c_custkey").alias("id"), F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 12).alias("x1"), (F.col("lat") + 4).alias("y1"), (F.col("c_custkey") % 11 == 0).alias("allow_overlap"), F.lit(False).alias("ignore_placement"))
     return labels.placement(c)

@@ -381,3 +381,23 @@ def anchors_column(line: Column, spacing: float, offset: float, window: float, m
         return None if value is None else [{"x": float(x), "y": float(y), "angle": float(a)} for x, y, a in anchors(_points(value), spacing, offset, window, most_angle, margin)]
 
     return F.udf(run, "array<struct<x:double,y:double,angle:double>>", useArrow=True)(line)
+
+
+def subdivided_column(ring: Column, size: float) -> Column:
+    """A ring's parts within the cells of a grid: cx, cy, ring."""
+
+    def run(value):
+        if value is None:
+            return None
+        points = _points(value)
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        out = []
+        for cx in range(math.floor(min(xs) / size), math.ceil(max(xs) / size)):
+            column_ = clip_ring(points, 0, cx * size, (cx + 1) * size)
+            for cy in range(math.floor(min(ys) / size), math.ceil(max(ys) / size)):
+                part = clip_ring(column_, 1, cy * size, (cy + 1) * size) if len(column_) > 3 else []
+                if len(part) > 3 and ring_area(part):
+                    out.append({"cx": cx, "cy": cy, "ring": _rows(part)})
+        return out
+
+    return F.udf(run, "array<struct<cx:long,cy:long,ring:array<struct<x:double,y:double>>>>", useArrow=True)(ring)
