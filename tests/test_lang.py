@@ -108,7 +108,7 @@ TYPES = [
 
 DYNAMIC = [
     (["get", "k"], "1"), (["+", ["get", "k"], 1], 2.0), (["+", ["get", "s"], 1], ERROR), (["has", "n"], True), (["has", "zz"], False), (["==", ["get", "n"], None], True), (["==", ["get", "k"], 1], True), (["==", ["get", "k"], "1"], False),
-    (["==", ["get", "s"], "x"], True), (["!=", ["get", "zz"], "x"], True), (["==", ["get", "k"], ["get", "f"]], False), (["typeof", ["get", "a"]], "array"), (["typeof", ["get", "t"]], "boolean"), (["get", "q", ["get", "o"]], "5"), (["has", "q", ["get", "o"]], True),
+    (["==", ["get", "s"], "x"], True), (["!=", ["get", "zz"], "x"], True), (["==", ["get", "k"], ["get", "f"]], False), (["typeof", ["get", "a"]], "array<value, 3>"), (["typeof", ["get", "t"]], "boolean"), (["get", "q", ["get", "o"]], "5"), (["has", "q", ["get", "o"]], True),
     (["get", "q", ["get", "s"]], ERROR), (["at", 2, ["get", "a"]], '"z"'), (["in", "z", ["get", "a"]], True), (["in", 2, ["get", "a"]], True), (["<", ["get", "k"], 2], True), (["<", ["get", "s"], 2], ERROR), (["match", ["get", "k"], 1, "one", "other"], "one"),
     (["to-string", ["get", "k"]], "1"), (["to-string", ["get", "f"]], "2.5"), (["array", "number", ["get", "a"]], ERROR), (["length", ["get", "a"]], 3.0), (["string", ["get", "k"], ["get", "s"]], "x"), (["case", ["has", "zz"], 1, ["get", "s"]], '"x"'), (["to-number", ["get", "s"], ["get", "k"]], 1.0),
     (["all", ["get", "t"], ["get", "k"]], True), (["get", ["get", "s"]], None), (["upcase", ["get", "s"]], "X"), (["properties"], '{"a":[1,2,"z"],"f":2.5,"k":1,"n":null,"o":{"q":5},"s":"x","t":true}'),

@@ -450,7 +450,9 @@ def cluster_levels(spark, sf):
     return _levels(spark, sf).groupBy("z").agg(F.count("*").alias("features"), F.sum("n").alias("points"))
 
 
-@query("cluster_tile")
+@query("cluster_tile", _cluster_sql() + f""" SELECT id, round((x * 2 - o) * 512)::INT AS tile_x, round(y * 2 * 512)::INT AS tile_y, CASE WHEN n > 1 THEN n END::BIGINT AS point_count,
+  CASE WHEN n <= 1 THEN NULL WHEN n < 1000 THEN n::VARCHAR END AS point_count_abbreviated
+  FROM l1, (SELECT unnest([0, 2]) AS o) WHERE y BETWEEN {-40 / 512 / 2!r} AND {(1 + 40 / 512) / 2!r} AND CASE o WHEN 0 THEN x BETWEEN {-40 / 512 / 2!r} AND {(1 + 40 / 512) / 2!r} ELSE x BETWEEN {1 - 40 / 512 / 2!r} AND 1.0 END""")
 def cluster_tile(spark, sf):
     return cluster.with_properties(cluster.tile(_levels(spark, sf), 1, 0, 0, _CLUSTERS)).select("id", "tile_x", "tile_y", "point_count", "point_count_abbreviated")
 
