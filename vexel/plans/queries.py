@@ -731,9 +731,7 @@ def announce_use_join(spark, sf):
 
 @query("release_retire", f"WITH {_LIVE} SELECT geometry, count(*) AS live FROM v GROUP BY geometry")
 def release_retire(spark, sf):
-    log = _log(spark, sf)
-    ended = log.where("kind = 'retire'").groupBy("geometry").agg(F.max("seq").alias("ended"))
-    return log.join(ended, "geometry", "left").where("ended is null or seq > ended").groupBy("geometry").agg(F.count("*").alias("live"))
+    return state.unretired(_log(spark, sf)).groupBy("geometry").agg(F.count("*").alias("live"))
 
 
 @query("sweep_statistics", f"SELECT frame, count(*) AS uses, count(DISTINCT (x, y)) AS distinct_tiles, count(*) - count(DISTINCT (x, y)) AS shared FROM (SELECT c_custkey % 16 AS frame, {_tile_sql(3)[0]} AS x, {_tile_sql(3)[1]} AS y FROM {_PLACES}) GROUP BY frame")

@@ -74,12 +74,17 @@ def landing_stream(records: DataFrame, key: list[str], arrival: str, seq: str) -
 JOINED = "geometry long, view long, use_seq long, payload string"
 
 
+def unretired(records: DataFrame) -> DataFrame:
+    """The records that count: a retirement ends all of its geometry so far, a release only its own use."""
+    ended = records.where("kind = 'retire'").groupBy("geometry").agg(F.max("seq").alias("_ended"))
+    return records.hint("merge").join(ended.hint("merge"), "geometry", "left").where("_ended is null or seq > _ended").drop("_ended")
+
+
 def joined(records: DataFrame) -> DataFrame:
     """Batch form over a log (seq, kind, geometry, view, payload): which announced payload each live use has at the end.
     A use lasts until its release; a retirement ends a geometry's announcement and all its uses so far. Either side may
     come first."""
-    ended = records.where("kind = 'retire'").groupBy("geometry").agg(F.max("seq").alias("ended"))
-    r = records.join(ended, "geometry", "left").where("ended is null or seq > ended")
+    r = unretired(records)
     announced = r.where("kind = 'announce'").groupBy("geometry").agg(F.max_by("payload", "seq").alias("payload"))
     uses = r.where("kind in ('use', 'release')").groupBy("geometry", "view").agg(F.max("seq").alias("use_seq"), F.max_by("kind", "seq").alias("last")).where("last = 'use'")
     return uses.join(announced, "geometry").select("geometry", "view", "use_seq", "payload")
