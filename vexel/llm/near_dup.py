@@ -52,6 +52,8 @@ LISTED = 64
 LEVELS = 12
 #: Hashes of the sets that a task confirms together, about.
 CELL_HASHES = 4 << 20
+#: Ids that are broadcast, eight bytes each, to find their texts.
+SENT_IDS = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -329,6 +331,10 @@ def _starred(docs: DataFrame, pairs: DataFrame, k: int, threshold: int) -> DataF
     cells = written(cells, "stars")
     rows = cells.select("pivot", "salt", "id", F.lit(1).alias("side")).unionByName(cells.select("pivot", "salt", F.col("pivot").alias("id"), F.lit(0).alias("side")).distinct())
     texts = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text"))
+    ids = written(rows.select("id").distinct(), "star-ids")
+    if ids.count() <= SENT_IDS:
+        # few documents are in large nodes: no other text is moved
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     full = rows.hint("merge").join(texts.hint("merge"), "id").withColumn("cell", F.xxhash64("pivot", "salt"))
     n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -393,10 +399,10 @@ def nodes(reps: DataFrame, docs: DataFrame, k: int, threshold: int, recall: floa
         large = sized.where(F.col("n") > node_rows)
         if large.isEmpty():
             return found, links
-        drawn = F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("pivot"), F.col("cls").alias("pivot_cls")))
-        pivots = large.groupBy("node").agg(drawn.alias("p")).select("node", "p.pivot", "p.pivot_cls")
-        pivots = written(pivots.join(reps.select(F.col("id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot"), "pivots")
-        both = large.hint("merge").join(reps.select("id", "signature").hint("merge"), "id").hint("merge").join(pivots.hint("merge"), "node")
+        signed = written(large.hint("merge").join(reps.select("id", "signature").hint("merge"), "id"), "signed")
+        drawn = F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("pivot"), F.col("cls").alias("pivot_cls"), F.col("signature").alias("pivot_signature")))
+        pivots = written(signed.groupBy("node").agg(drawn.alias("p")).select("node", "p.pivot", "p.pivot_cls", "p.pivot_signature"), "pivots")
+        both = signed.hint("merge").join(pivots.hint("merge"), "node")
         near = both.select("node", "id", "pivot", "signature", "pivot_signature").mapInArrow(_near_pivot(_likely(s)), "node long, id long, pivot long")
         starred = _starred(docs, written(near, "near-pivots"), k, threshold)
         links.append(starred.select(F.col("pivot").alias("a"), F.col("id").alias("b")))
