@@ -18,9 +18,9 @@ from ..streaming import state
 from . import extras
 from .document import Plan, Style, feature_fields, label_template, replaced
 from .properties import SPECS, at_two_zooms, resolve
-from .queries import _PLACES, _tile_sql, places, table
 from .ramps import elevation_stops
 from .registry import query
+from .tables import _PLACES, _tile_sql, places, table
 
 
 def _features(spark, sf) -> DataFrame:

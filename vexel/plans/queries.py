@@ -19,14 +19,11 @@ from . import box_query
 from .document import Plan, Style, label_template
 from .ramps import bake
 from .registry import ORACLES, QUERIES, query
+from .tables import _PLACES, _tile_sql, places, table, tile_assign
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Fields]:
     """events with the keys of props as dynamic properties."""
     df = table(spark, sf_dir, "events")
@@ -243,30 +240,7 @@ _legacy("legacy_composite", "lineitem", _LINE, {"type": "exponential", "property
 # -- tiles
 
 
-def places(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers with made-up positions."""
-    lon = ((F.col("c_custkey") * 37) % 360 - 180).cast("double")
-    lat = ((F.col("c_custkey") * 53) % 170 - 85).cast("double")
-    return table(spark, sf, "customer").withColumns({"lon": lon, "lat": lat})
-
-
-_PLACES = "(SELECT *, ((c_custkey * 37) % 360 - 180)::DOUBLE AS lon, ((c_custkey * 53) % 170 - 85)::DOUBLE AS lat FROM customer)"
-
-
-def _tile_sql(z: int) -> tuple[str, str]:
-    n = float(1 << z)
-    lat = f"greatest(-{projection.LATITUDE_MAX!r}, least({projection.LATITUDE_MAX!r}, lat))"
-    x = f"(180 + lon) * ({n} / 360)"
-    y = f"(180 - ln(tan(pi() / 4 + {lat} * pi() / 360)) * 180 / pi()) * ({n} / 360)"
-    inside = lambda c: f"greatest(0, least({int(n) - 1}, floor({c})))::INT"
-    return inside(x), inside(y)
-
-
-@query("tile_assign", f"SELECT c_custkey, {_tile_sql(9)[0]} AS x, {_tile_sql(9)[1]} AS y FROM {_PLACES}")
-def tile_assign(spark, sf):
-    x, y = projection.tile_of(F.col("lon"), F.col("lat"), 9)
-    return places(spark, sf).select("c_custkey", x.alias("x"), y.alias("y"))
-
+query("tile_assign", f"SELECT c_custkey, {_tile_sql(9)[0]} AS x, {_tile_sql(9)[1]} AS y FROM {_PLACES}")(tile_assign)
 
 _QUADKEY = " || ".join(f"((x >> {k} & 1) + 2 * (y >> {k} & 1))::VARCHAR" for k in reversed(range(9)))
 

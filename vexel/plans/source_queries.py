@@ -17,8 +17,8 @@ from ..operators.scratch import scratch_dir
 from ..sources import annotations, dem, geojson, mvt, pmtiles, sheets, urls
 from ..sources.protobuf import put
 from ..spatial import geometry, projection
-from .queries import _PLACES, _tile_sql, places, table, tile_assign
 from .registry import query
+from .tables import _PLACES, _tile_sql, places, table, tile_assign
 
 _POINT = "struct<x:double,y:double>"
 
