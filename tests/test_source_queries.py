@@ -54,3 +54,8 @@ for name in [m.name for m in pkgutil.walk_packages(vexel.__path__, "vexel.")]:
 
 def test_mvt_values(spark, tables):
     assert agrees(spark, tables, "mvt_values") == sum(k % 4 > 0 or k % 3 == 0 for k in KEYS)
+
+
+def test_mvt_broken(spark, tables):
+    """A row a tile, whether it breaks the format or not."""
+    assert agrees(spark, tables, "mvt_broken") == len(KEYS)
