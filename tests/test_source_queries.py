@@ -59,3 +59,7 @@ def test_mvt_values(spark, tables):
 def test_mvt_broken(spark, tables):
     """A row a tile, whether it breaks the format or not."""
     assert agrees(spark, tables, "mvt_broken") == len(KEYS)
+
+
+def test_png_pixels(spark, tables):
+    assert agrees(spark, tables, "png_pixels") == 12 * len(KEYS)
