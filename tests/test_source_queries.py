@@ -63,3 +63,7 @@ def test_mvt_broken(spark, tables):
 
 def test_png_pixels(spark, tables):
     assert agrees(spark, tables, "png_pixels") == 12 * len(KEYS)
+
+
+def test_png_premultiplied(spark, tables):
+    assert agrees(spark, tables, "png_premultiplied") == 12 * len(KEYS)
