@@ -67,3 +67,16 @@ def test_png_pixels(spark, tables):
 
 def test_png_premultiplied(spark, tables):
     assert agrees(spark, tables, "png_premultiplied") == 12 * len(KEYS)
+
+
+def test_dem_scan(spark, tables):
+    """A decimal in SQL is one here; the heights are exact tenths before that."""
+    import __spark_entry__ as e
+    from pyspark.sql import functions as F
+
+    from vexel.sources import dem
+
+    assert agrees(spark, tables, "dem_scan") == 12 * len(KEYS)
+    pixels = e.queries()["png_pixels"](spark, tables)
+    for r in pixels.select("r", "g", "b", F.round(dem.elevation(F.col("r"), F.col("g"), F.col("b")), 4).alias("h")).collect():
+        assert r.h == (r.r * 65536 + r.g * 256 + r.b - 100000) / 10

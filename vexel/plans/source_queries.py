@@ -325,7 +325,8 @@ def png_premultiplied(spark, sf):
 @query("dem_scan", f"SELECT n, px, py, round(r * 6553.6 + g * 25.6 + b * 0.1 - 10000, 4) AS metres, round(r * 256.0 + g + b / 256.0 - 32768, 4)::DOUBLE AS terrarium FROM {_PIXELS}")
 def dem_scan(spark, sf):
     h = lambda e: F.round(dem.elevation(F.col("r"), F.col("g"), F.col("b"), e), 4)
-    return _images(spark, sf).select("n", "px", "py", h("mapbox").alias("metres"), h("terrarium").alias("terrarium"))
+    # a height is a whole number of tenths, which SQL's literals make a decimal
+    return _images(spark, sf).select("n", "px", "py", h("mapbox").cast("decimal(18,1)").alias("metres"), h("terrarium").alias("terrarium"))
 
 
 def _ground(spark) -> DataFrame:
