@@ -80,3 +80,8 @@ def test_dem_scan(spark, tables):
     pixels = e.queries()["png_pixels"](spark, tables)
     for r in pixels.select("r", "g", "b", F.round(dem.elevation(F.col("r"), F.col("g"), F.col("b")), 4).alias("h")).collect():
         assert r.h == (r.r * 65536 + r.g * 256 + r.b - 100000) / 10
+
+
+def test_glyph_scan(spark, tables):
+    """Glyphs with and without a bitmap, of each stack but that of key 0."""
+    assert agrees(spark, tables, "glyph_scan") == 6 * len(KEYS)
