@@ -53,6 +53,21 @@ def test_cached_ids_are_the_library_s(name, keep):
         assert (e.count(t) == np.diff(off)).all()
 
 
+def test_folded_texts_share_chunks_and_keep_their_ids():
+    """One chunk for a word in any case, before a sign or a line's end, and the library's ids of whole texts."""
+    e = CachedEncoder(vocabulary("word_bpe_49k.json"), False)
+    e.encode(["Some words, SOME words.\nSome\twords! some Words; and"])
+    assert sorted(e.numbers) == ["!", ",", ".", ";", "and", "some", "words"]
+    latin = [chr(i) for i in range(256)]
+    rng = random.Random(5)
+    t = [f"{a}{x}{b}" for x in latin for a in ("a", "B", "1", ".", " ", "é", "'") for b in (", c", ". ", "! ?", "\nD", "s, ", "T;")]
+    t += ["".join(rng.choice([*latin, *"aB1.,;:!?' \n", ", ", "'S, "]) for _ in range(40)) for _ in range(1500)]
+    t += ["<|STARTOFTEXT|>, A", "<|startoftext|>, A", "H\u0331, h\u0331.", "ΟΔΟΣ, \nΣ. ", "İ, I\u0307. ", "A\u030a, B", "x\n\u0308, y", "ſ, ẞ. K"]
+    ids, off = e.encode(t)
+    for i, x in enumerate(e.tokenizer.encode_batch(t, add_special_tokens=False)):
+        assert list(ids[off[i] : off[i + 1]]) == x.ids, t[i]
+
+
 def docs_frame(spark):
     rows = [(i, x) for i, x in enumerate(texts(60))] + [(None, "null id"), (3, None), (3, None), (77, "long words " * 3000)]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -149,6 +150,38 @@ _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _BEFORE = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
 _BEYOND = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: What a vocabulary does to a text for which folded() keeps the ids: white space and cases are alike, and letters, digits
+#: and runs of signs are parted before merges.
+_FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTING = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Latin-1 in lower case with spaces for ASCII white space, and its classes: space, letter or digit (a), other (p).
+_FOLD = bytes(32 if _SPACE[i] else ord(chr(i).lower()) for i in range(256))
+_CLASS = bytes(32 if _SPACE[i] else ord("a") if not NOT_LETTERS[i] and i < 128 or i >= 192 and i not in (215, 247) else ord("p") for i in range(256))
+_ENDS = [(x + b" ", b" " + x + b" ") for x in (b",", b".", b";", b":", b"!", b"?")]
+
+
+def folds(tokenizer) -> bool:
+    """Whether a vocabulary gives a text and its folded() the same ids."""
+    normalizer, parts = (x and json.loads(x.__getstate__()) for x in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    return normalizer == _FOLDING and parts is not None and parts.get("pretokenizers", [None])[0] == _PARTING
+
+
+def folded(text: str) -> str:
+    """The text with fewer distinct chunks between spaces. In Latin-1 nothing composes, so lower case comes first as
+    well as last, and a sign before a space is parted from its word, unless the text has runs of signs there, which are
+    one piece. Elsewhere lines are parted only; so they are where lower case could make a special token."""
+    try:
+        raw = text.encode("latin-1") if "<|" not in text else None
+    except UnicodeEncodeError:
+        raw = None
+    if raw is None:
+        return text.replace("\n", " ")
+    runs = b"pp " in raw.translate(_CLASS)
+    raw = raw.translate(_FOLD)
+    for sign, parted in () if runs else _ENDS:
+        raw = raw.replace(sign, parted)
+    return raw.decode("latin-1")
+
 
 class _Pending:
     """Chunks that have a number but no ids yet, and how many have numbers."""
@@ -180,7 +213,8 @@ class CachedEncoder:
 
     A text is cut only where its ids cannot depend on what stands across the cut. keep_spaces: the vocabulary
     keeps white space (byte-level): cuts stand before a space, never inside a run of white space that the
-    vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut.
+    vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut, of the folded text
+    if the vocabulary folds.
     A text that contains the string of a special token is encoded whole. most: bytes of remembered chunks; when they are
     more, the later ones are forgotten, as common chunks come early."""
 
@@ -193,6 +227,7 @@ class CachedEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.between = next(iter(special.items()), None)
         self.keep, self.most = keep_spaces, most
+        self.folds = not keep_spaces and folds(self.tokenizer)
         self.pending = _Pending()
         self.numbers, self.spaced = _Numbers(self.pending), _Numbers(self.pending, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -248,7 +283,7 @@ class CachedEncoder:
         if self.special and "<|" in text and self.special.search(text):
             which.append(self.numbers[text])
         elif not self.keep:
-            which.extend(map(self.numbers.__getitem__, text.split(" ")))
+            which.extend(map(self.numbers.__getitem__, (folded(text) if self.folds else text).split(" ")))
         elif any(x in text for x in _BEFORE) or text.endswith(" ") or any(x in text for x in _BEYOND):
             which.extend(map(self.numbers.__getitem__, _CHUNK.findall(text)))
         else:
