@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,32 @@ def test_one_and_no_document(spark):
     assert fingerprint.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_workers_write_the_fingerprints(spark, monkeypatch, tmp_path):
+    """No files of Hadoop's, for each of which an executor starts a process that counts its memory twice, and none left over."""
+    from vexel.operators import scratch
+
+    monkeypatch.setattr(scratch, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    rows = [(i % 97 if i % 11 else None, None if i % 13 == 0 else "é" * (i % 40)) for i in range(300)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert Counter(r.doc_id for r in got.collect()) == Counter(i for i, _ in rows)
+    files = sorted(p.name for p in tmp_path.glob("fingerprints-*/*"))
+    assert files and all(re.fullmatch(r"part-\d{6}\.parquet", x) for x in files), files
+
+
+def test_cut_mapped_is_the_mapped_table(spark):
+    from vexel.operators.scratch import cut_mapped
+
+    def odd(batches):
+        for b in batches:
+            yield b.filter(pc.equal(pc.bit_wise_and(b.column(0), 1), 1))
+
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "if(id % 3 = 0, null, concat('t', id)) AS t")
+    got = cut_mapped(df, odd, "id long, t string", "odd")
+    assert sorted(got.collect()) == sorted(df.where("id % 2 = 1").collect()) and got.dtypes == df.dtypes
+    none = cut_mapped(df.where("id < 0"), odd, "id long, t string", "odd")
+    assert none.collect() == [] and none.dtypes == df.dtypes
+
+
 def test_counts_do_not_depend_on_parts():
     data = np.random.default_rng(1).integers(0, 256, fingerprint._PART * 2 + 77).astype(np.uint8)
     part = fingerprint._PART

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import raw_bytes, slices, table, text_or_empty, written
+from ..operators.scratch import cut_mapped
+from .common import raw_bytes, slices, table, text_or_empty
 
 BUCKETS = 128
 #: The difference at which likeness is 0.
@@ -138,13 +139,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.rand(11)]
     n = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = keyed.withColumns({"k1": order[1], "k2": order[2]}).repartitionByRange(n, order[0], "k1", "k2")
-    part = dealt.sortWithinPartitions(order[0], "k1", "k2").select("doc_id", "text").mapInArrow(_sorted_part, _KEPT)
-    kept = written(part, "fingerprints")
+    part = dealt.sortWithinPartitions(order[0], "k1", "k2").select("doc_id", "text")
+    kept = cut_mapped(part, _sorted_part, _KEPT, "fingerprints")
     edge = kept.where("kind > 0").select("part", "kind", "doc_id", "fingerprint", "text")
     # as few rows as there are partitions; of each but the text, the order comes first
     order_of = edge.where("kind = 1").select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))
     first = edge.where("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
     last = edge.where("kind = 2").join(order_of, "part").join(first, "next_part").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
+    # a task for each of so few rows would only start workers and make files
+    last = last.coalesce(max(1, spark.sparkContext.defaultParallelism))
     names = [x.split()[0] for x in _FIELDS.split(", ")]
     return kept.where("kind = 0").select(*names).unionByName(last.mapInArrow(_boundary, _KEPT).select(*names))
 
