@@ -68,6 +68,41 @@ def test_folded_texts_share_chunks_and_keep_their_ids():
         assert list(ids[off[i] : off[i + 1]]) == x.ids, t[i]
 
 
+def test_latin_texts_are_cut_into_the_pattern_s_pieces():
+    """One chunk for a word before any sign or line's end, none looked for twice, and the library's ids of whole texts."""
+    e = CachedEncoder(vocabulary("byte_bpe_50k.json"), True)
+    e.encode(["Some words, some words.\nSome words!! 12 words"])
+    assert sorted([*e.numbers, *(" " + k for k in e.spaced)]) == ["\n", " 12", " some", " words", "!!", ",", ".", "Some"]
+    latin = [chr(i) for i in range(256)]
+    rng = random.Random(6)
+    t = [f"{a}{x}{b}" for x in latin for a in ("a", "1", ".", " ", "  ", "\n", "é", "'", "\x1c", "\xa0") for b in ("", "b", " b", "2", ", ", "\n\n", "  c", "'s", "'LL", "\x85")]
+    t += ["".join(rng.choice([*latin, *"aB1.,'   \n\n", "'re", "'ve", "'d", "<|", "|>"]) for _ in range(40)) for _ in range(3000)]
+    # beyond Latin-1, with a special token, and chunks of both kinds in one batch
+    t += ["Σα, 漢字. words", "a<|endoftext|> words, b", "ſ2²Ⅷ, x", "“words”, it’s  so", "y" * 300 + " " + "漢" * 300 + ", words", "<|<|endoftext|>", "<|", ""]
+    ids, off = e.encode(t)
+    for i, x in enumerate(e.tokenizer.encode_batch(t, add_special_tokens=False)):
+        assert list(ids[off[i] : off[i + 1]]) == x.ids, t[i]
+    assert (e.count(t) == np.diff(off)).all()
+
+
+def test_other_special_tokens_and_patterns_are_not_cut_into_pieces(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = ["Some</s>words, </s>", "</s>", "some words,\nsome  more 12", "it's </ s>"]
+    for change in ("special", "pattern"):
+        v = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+        if change == "special":
+            v.add_special_tokens(["</s>"])
+        else:
+            v.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        v.save(str(tmp_path / f"{change}.json"))
+        e = CachedEncoder(str(tmp_path / f"{change}.json"), True)
+        assert e.whole is None
+        if change == "special":
+            ids, off = e.encode(t)
+            assert [list(ids[off[i] : off[i + 1]]) for i in range(len(t))] == [x.ids for x in v.encode_batch(t, add_special_tokens=False)]
+
+
 def docs_frame(spark):
     rows = [(i, x) for i, x in enumerate(texts(60))] + [(None, "null id"), (3, None), (3, None), (77, "long words " * 3000)]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

@@ -183,6 +183,26 @@ def folded(text: str) -> str:
     return raw.decode("latin-1")
 
 
+#: The byte-level pattern's pieces of a text in Latin-1, where letters, digits and white space are few enough to be named.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECE = re.compile(f" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}{_N}\u0100-\U0010ffff]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def byte_pieces(tokenizer) -> bool:
+    """Whether a vocabulary merges bytes within the pieces of the byte-level pattern and changes no text before."""
+    parts = tokenizer.pre_tokenizer and json.loads(tokenizer.pre_tokenizer.__getstate__())
+    return tokenizer.normalizer is None and parts == _BYTES
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Pending:
     """Chunks that have a number but no ids yet, and how many have numbers."""
 
@@ -212,9 +232,9 @@ class CachedEncoder:
     """Token ids of whole texts by the tokenizers library, which encodes each distinct chunk once.
 
     A text is cut only where its ids cannot depend on what stands across the cut. keep_spaces: the vocabulary
-    keeps white space (byte-level): cuts stand before a space, never inside a run of white space that the
-    vocabulary's pattern may hold together. Otherwise white space is dropped and each space is a cut, of the folded text
-    if the vocabulary folds.
+    keeps white space (byte-level): a text in Latin-1 is cut into the pieces of the vocabulary's pattern, which needn't
+    look for them again; elsewhere cuts stand before a space, never inside a run of white space that the pattern may
+    hold together. Otherwise white space is dropped and each space is a cut, of the folded text if the vocabulary folds.
     A text that contains the string of a special token is encoded whole. most: bytes of remembered chunks; when they are
     more, the later ones are forgotten, as common chunks come early."""
 
@@ -228,6 +248,13 @@ class CachedEncoder:
         self.between = next(iter(special.items()), None)
         self.keep, self.most = keep_spaces, most
         self.folds = not keep_spaces and folds(self.tokenizer)
+        self.whole = None
+        if keep_spaces and byte_pieces(self.tokenizer) and all("<|" in t for t in special):
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            # the same vocabulary for what is one piece already
+            self.whole = Tokenizer.from_file(path)
+            self.whole.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.pending = _Pending()
         self.numbers, self.spaced = _Numbers(self.pending), _Numbers(self.pending, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -265,15 +292,29 @@ class CachedEncoder:
         self.bytes += sum(map(sys.getsizeof, new)) + OVERHEAD * len(new) + 4 * len(ids)
 
     def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, their counts). Chunks that are one piece go without the pattern."""
+        if self.whole is None:
+            return self._through(self.tokenizer, new)
+        one = np.fromiter((_PIECE.fullmatch(x) is not None for x in new), bool, len(new))
+        if one.all():
+            return self._through(self.whole, new)
+        lengths = np.zeros(len(new), np.int64)
+        some, lengths[one] = self._through(self.whole, [x for x, o in zip(new, one) if o])
+        rest, lengths[~one] = self._through(self.tokenizer, [x for x, o in zip(new, one) if not o])
+        ids, whose = np.zeros(len(some) + len(rest), np.uint32), np.repeat(one, lengths)
+        ids[whose], ids[~whose] = some, rest
+        return ids, lengths
+
+    def _through(self, tokenizer, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks, their counts). Chunks go through the library in long texts, with a special token
         between two: the library encodes what stands on its either side apart."""
         if self.between is None or any("<|" in x and self.special.search(x) for x in new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths
         mark, mark_id = self.between
         texts = [mark.join(new[i : i + _TOGETHER]) + mark for i in range(0, len(new), _TOGETHER)]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found)))
         marks = np.flatnonzero(ids == mark_id)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
@@ -284,6 +325,8 @@ class CachedEncoder:
             which.append(self.numbers[text])
         elif not self.keep:
             which.extend(map(self.numbers.__getitem__, (folded(text) if self.folds else text).split(" ")))
+        elif self.whole is not None and is_latin(text):
+            which.extend(map(self.numbers.__getitem__, _PIECE.findall(text)))
         elif any(x in text for x in _BEFORE) or text.endswith(" ") or any(x in text for x in _BEYOND):
             which.extend(map(self.numbers.__getitem__, _CHUNK.findall(text)))
         else:
