@@ -29,7 +29,9 @@ def features(docs: DataFrame, wind: bool = False, on_error: str = "fail") -> Dat
     many = F.coalesce(F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")), F.when(kind != "FeatureCollection", one))
     bad_document = kind.isNull() | many.isNull()
     many = F.when(bad_document, F.array(F.col("v"))).otherwise(many)
-    f = d.select("source_index", bad_document.alias("bad"), F.posexplode(many).alias("feature_index", "f"))
+    # what is carried past the unfolding is made before it, else each feature's row holds its whole document
+    d = d.select("source_index", bad_document.alias("bad"), many.alias("many"))
+    f = d.select("source_index", "bad", F.posexplode("many").alias("feature_index", "f"))
     g = F.try_variant_get("f", "$.geometry", "variant")
     gtype = _text(g, "$.type")
     coordinates = lambda depth: F.try_variant_get(g, "$.coordinates", "array<" * depth + _POINT + ">" * depth)
