@@ -42,3 +42,9 @@ def test_annotations_take_no_document_along(spark, tables):
     found = carried(e.queries()["annotations_from_geojson"](spark, tables))
     assert found and not any({"v", "doc"} & c for c in found)
     assert agrees(spark, tables, "annotations_from_geojson") == 300
+
+
+def test_geojson_points_take_no_document_along(spark, tables):
+    found = carried(e.queries()["geojson_points"](spark, tables))
+    assert found and not any({"v", "doc"} & c for c in found)
+    assert agrees(spark, tables, "geojson_points") == 300
