@@ -48,3 +48,25 @@ def test_geojson_points_take_no_document_along(spark, tables):
     found = carried(e.queries()["geojson_points"](spark, tables))
     assert found and not any({"v", "doc"} & c for c in found)
     assert agrees(spark, tables, "geojson_points") == 300
+
+
+def test_merged_lines_hold_no_objects(spark):
+    """The same lines as merge_lines() makes of a tile, without all of a tile's lines as objects in one task."""
+    import random
+
+    from vexel.operators import labels
+
+    r = random.Random(5)
+    lines = []
+    for i in range(400):
+        xs = [r.randint(0, 6) + r.random() * 0.9 for _ in range(r.choice([0, 1, 2, 2, 2, 3, 4]))]
+        lines.append((i % 3, "roads", i * 7 % 1000, r.choice(["a", "a", "b", "", None]), xs, [float(r.randint(-3, 3)) for _ in xs]))
+    df = spark.createDataFrame(lines, "tile long, layer string, ord long, text string, xs array<double>, ys array<double>")
+    got = labels.merged_lines(df)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for tile in range(3):
+        own = sorted((x for x in lines if x[0] == tile), key=lambda x: x[2])
+        want += [(tile, own[i][2], own[i][3], points) for i, points in labels.merge_lines([(x[3], list(zip(x[4], x[5]))) for x in own])]
+    assert sorted(want, key=lambda x: x[:2]) == sorted(((x.tile, x.ord, x.text, list(zip(x.xs, x.ys))) for x in got.collect()), key=lambda x: x[:2])
+    assert max(len(x[3]) for x in want) > 8 and got.schema == df.schema

@@ -3,10 +3,14 @@ text, so each such group is handled by one task, in order."""
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +103,147 @@ def merge_lines(lines: list[tuple[str, list[tuple[float, float]]]]) -> list[tupl
     return sorted(out.items())
 
 
-def merged_lines(lines: DataFrame) -> DataFrame:
-    """lines (tile, layer, ord, text, xs, ys) merged within each tile and layer."""
+def _chained(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merge_lines() of lines of one text that begin and end at the places a and b (numbers from 0): (the lines, chain by chain in
+    order of the chains' numbers and from head to tail within each, where each chain begins there). What is kept of a line is
+    where it goes on, not its points."""
+    n, places = len(a), int(max(a.max(), b.max())) + 1
+    heads, tails = array("i", [-1]) * places, array("i", [-1]) * places
+    following, first, last, start, end = (array("i", [-1]) * n for _ in range(5))
+    live = bytearray(b"\1") * n
+    for block in range(0, n, 1 << 16):
+        for i, p, q in zip(range(block, n), a[block : block + (1 << 16)].tolist(), b[block : block + (1 << 16)].tolist()):
+            before, after = tails[p], heads[q]
+            if before == after >= 0:
+                # it would close a ring
+                first[i] = i
+                continue
+            tails[p] = heads[q] = -1
+            at = head = tail = i
+            if before >= 0:
+                p, head = start[before], first[before]
+                heads[p], following[last[before]], live[i] = -1, i, 0
+                at = before
+            if after >= 0:
+                q, tail = end[after], last[after]
+                tails[q], following[i], live[max(at, after)] = -1, first[after], 0
+                at = min(at, after)
+            start[at], end[at], first[at], last[at] = p, q, head, tail
+            heads[p] = tails[q] = at
+    order, chains = array("i"), array("i")
+    for c in np.flatnonzero(np.frombuffer(live, np.uint8)).tolist():
+        chains.append(len(order))
+        i = first[c]
+        while i >= 0:
+            order.append(i)
+            i = following[i]
+    return np.frombuffer(order, np.int32), np.frombuffer(chains, np.int32)
+
+
+#: About the points of a batch of merged lines.
+_BATCH_POINTS = 1 << 18
+
+
+def _ends(xs: pa.Array, ys: pa.Array) -> list[pa.Array]:
+    """Where lines begin, and where they end, in whole units: 16 bytes each."""
+    out = []
+    for last in (False, True):
+        at = np.empty((len(xs), 2))
+        for k, v in enumerate((xs, ys)):
+            offsets = v.offsets.to_numpy()
+            at[:, k] = v.values.to_numpy(zero_copy_only=False)[offsets[1:] - 1 if last else offsets[:-1]]
+        # zero has one sign only
+        at = np.trunc(at) + 0.0
+        if not np.isfinite(at).all():
+            raise ValueError("a line's end is not a number")
+        out.append(pa.Array.from_buffers(pa.binary(16), len(at), [None, pa.py_buffer(at)]))
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", ignore_index=True)
-        got = merge_lines([(t, list(zip(xs, ys))) for t, xs, ys in zip(pdf["text"], pdf["xs"], pdf["ys"])])
-        rows = [(pdf["tile"][i], pdf["layer"][i], int(pdf["ord"][i]), pdf["text"][i], [p[0] for p in pts], [p[1] for p in pts]) for i, pts in got]
-        return pd.DataFrame(rows, columns=["tile", "layer", "ord", "text", "xs", "ys"])
 
-    return lines.groupBy("tile", "layer").applyInPandas(run, lines.select("tile", "layer", "ord", "text", "xs", "ys").schema)
+def _merged(columns: list[list[pa.Array]]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Lines of one tile, layer and text, in order, as batches of merged ones. columns: the parts of ord, xs and ys, which
+    are let go as they are read. Points stay in Arrow's form."""
+    both = [_ends(x, y) for x, y in zip(*columns[1:])]
+    codes = pa.chunked_array([p for k in (0, 1) for p in (b[k] for b in both)]).dictionary_encode()
+    del both
+    numbers = np.concatenate([c.indices.to_numpy() for c in codes.chunks])
+    del codes
+    n = len(numbers) // 2
+    order, begin = _chained(numbers[:n], numbers[n:])
+    del numbers
+    parts = []
+    for c in columns:
+        parts.append(pa.concat_arrays(c))
+        c.clear()
+    ords, lists = parts[0], parts[1:]
+    flat, offsets = [v.values.to_numpy(zero_copy_only=False) for v in lists], lists[0].offsets.to_numpy()
+    # both hold the same number of points a line, but may begin elsewhere in their buffers
+    shift = (0, int(lists[1].offsets[0].as_py()) - int(offsets[0]))
+    # a point at which two lines meet is taken from the later one
+    points = (offsets[1:] - offsets[:-1])[order] - 1
+    bounds = np.append(begin, n)
+    points[bounds[1:] - 1] += 1
+    total = np.concatenate([[0], np.cumsum(points, dtype=np.int64)])
+    c = 0
+    while c < len(begin):
+        d = max(c + 1, int(np.searchsorted(total, total[begin[c]] + _BATCH_POINTS, side="right")) - 1)
+        d = max(c + 1, int(np.searchsorted(bounds, d, side="right")) - 1)
+        low, high = int(bounds[c]), int(bounds[d])
+        base = total[low]
+        at = np.repeat(offsets[order[low:high]] - (total[low:high] - base), points[low:high]) + np.arange(total[high] - base)
+        ends = pa.array(total[bounds[c : d + 1]] - base, pa.int32())
+        lowest = np.minimum.reduceat(order[low:high], begin[c:d] - low)
+        yield ords.take(pa.array(lowest)), *(pa.ListArray.from_arrays(ends, pa.array(v[at + by])) for v, by in zip(flat, shift))
+        c = d
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """lines (tile, layer, ord, text, xs, ys) merged within each tile and layer. Lines of different texts never meet, so a task
+    takes those of one tile, layer and text, in order; what it holds of them are their numbers and coordinates."""
+    n = F.least(F.size("xs"), F.size("ys"))
+    same = F.size("xs") == F.size("ys")
+    rows = lines.select("tile", "layer", "ord", "text", *[F.when(same, F.col(c)).otherwise(F.slice(c, F.lit(1), F.greatest(n, F.lit(0)))).cast("array<double>").alias(c) for c in ("xs", "ys")])
+    # a line without a text or with fewer than two points meets none
+    alone = F.col("text").isNull() | (F.col("text") == "") | F.coalesce(n < 2, F.lit(True))
+    names = rows.columns
+    dealt = rows.repartition("tile", "layer", "text", F.when(alone, F.col("ord"))).sortWithinPartitions("tile", "layer", "text", "ord")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the lines of one tile, layer and text
+        held, own = [[], [], []], []
+
+        def group() -> Iterator[pa.RecordBatch]:
+            for o, xs, ys in _merged(held):
+                tile, layer, text = (pa.repeat(v, len(o)) for v in own)
+                yield pa.RecordBatch.from_arrays([tile, layer, o, text, xs, ys], names=names)
+            own.clear()
+
+        for batch in batches:
+            text, size = batch.column(3), pc.fill_null(pc.list_value_length(batch.column(4)), 0)
+            meets = pc.and_(pc.fill_null(pc.not_equal(text, ""), False), pc.greater(size, 1))
+            rest = batch.filter(pc.invert(meets))
+            if rest.num_rows:
+                yield rest
+            batch = batch.filter(meets)
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in (0, 1, 3):
+                codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            if own and any(batch.column(k)[0].as_py() != v.as_py() for k, v in zip((0, 1, 3), own)):
+                yield from group()
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                if i:
+                    yield from group()
+                own[:] = [batch.column(k)[low] for k in (0, 1, 3)]
+                for column, k in zip(held, (2, 4, 5)):
+                    column.append(batch.column(k).slice(low, high - low))
+        if own:
+            yield from group()
+
+    return dealt.mapInArrow(run, rows.schema).select(*[F.col(f.name).cast(f.dataType) for f in lines.select(*rows.columns).schema])
 
 
 def cross_tile_ids(symbols: DataFrame, prior: DataFrame, tolerance: float = 4.0) -> DataFrame:
