@@ -15,6 +15,9 @@ def tables(tmp_path_factory):
     d = tmp_path_factory.mktemp("steps")
     n = range(300)
     pq.write_table(pa.table({"c_custkey": pa.array(n, pa.int64()), "c_name": [f"Customer#{i:09d}" for i in n], "c_nationkey": pa.array([i % 25 for i in n], pa.int32()), "c_acctbal": [i * 1.25 - 90 for i in n], "c_mktsegment": [("BUILDING", "MACHINERY", "AUTOMOBILE")[i % 3] for i in n]}), d / "customer.parquet")
+    # pairs of suppliers whose positions repeat, the first two of them 2040 pairs apart
+    k = [*range(12), *range(4080, 4092), *range(8160, 8164), 61200, 61201]
+    pq.write_table(pa.table({"s_suppkey": pa.array(k, pa.int64())}), d / "supplier.parquet")
     return str(d)
 
 
@@ -70,3 +73,8 @@ def test_merged_lines_hold_no_objects(spark):
         want += [(tile, own[i][2], own[i][3], points) for i, points in labels.merge_lines([(x[3], list(zip(x[4], x[5]))) for x in own])]
     assert sorted(want, key=lambda x: x[:2]) == sorted(((x.tile, x.ord, x.text, list(zip(x.xs, x.ys))) for x in got.collect()), key=lambda x: x[:2])
     assert max(len(x[3]) for x in want) > 8 and got.schema == df.schema
+
+
+def test_cluster_pairs_apart(spark, tables):
+    """Pairs stand apart however many suppliers there are."""
+    assert agrees(spark, tables, "cluster_pairs") == 3
