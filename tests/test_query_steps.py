@@ -78,3 +78,7 @@ def test_merged_lines_hold_no_objects(spark):
 def test_cluster_pairs_apart(spark, tables):
     """Pairs stand apart however many suppliers there are."""
     assert agrees(spark, tables, "cluster_pairs") == 3
+
+
+def test_cluster_pairs_by_rounds_apart(spark, tables):
+    assert agrees(spark, tables, "cluster_pairs_by_rounds") == 2
