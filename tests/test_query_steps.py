@@ -82,3 +82,8 @@ def test_cluster_pairs_apart(spark, tables):
 
 def test_cluster_pairs_by_rounds_apart(spark, tables):
     assert agrees(spark, tables, "cluster_pairs_by_rounds") == 2
+
+
+def test_cluster_tile_features_of_repeated_positions(spark, tables):
+    """Points of one position are features of their own below all clusters."""
+    assert agrees(spark, tables, "cluster_tile_features") == 30
