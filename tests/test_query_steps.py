@@ -18,6 +18,8 @@ def tables(tmp_path_factory):
     # pairs of suppliers whose positions repeat, the first two of them 2040 pairs apart
     k = [*range(12), *range(4080, 4092), *range(8160, 8164), 61200, 61201]
     pq.write_table(pa.table({"s_suppkey": pa.array(k, pa.int64())}), d / "supplier.parquet")
+    n = range(120)
+    pq.write_table(pa.table({"p_partkey": pa.array(n, pa.int64()), "p_size": pa.array([i * 7 % 50 + 1 for i in n], pa.int32())}), d / "part.parquet")
     return str(d)
 
 
@@ -87,3 +89,18 @@ def test_cluster_pairs_by_rounds_apart(spark, tables):
 def test_cluster_tile_features_of_repeated_positions(spark, tables):
     """Points of one position are features of their own below all clusters."""
     assert agrees(spark, tables, "cluster_tile_features") == 30
+
+
+#: Queries whose rows a Python kernel takes one by one, and their rows on the small tables.
+KERNELS = {
+    "rings_classified": 120,
+}
+
+
+@pytest.mark.parametrize("name", KERNELS)
+def test_kernels_get_rows_dealt_out(spark, tables, name):
+    """A table of one row group is read by one task; what a kernel does with each row is for all cores."""
+    plan = e.queries()[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    python = [at for at, line in enumerate(plan.splitlines()) if "ArrowEvalPython" in line]
+    assert python and any("REPARTITION_BY_NUM" in line for line in plan.splitlines()[python[-1] :])
+    assert agrees(spark, tables, name) == KERNELS[name]

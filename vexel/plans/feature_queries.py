@@ -20,7 +20,7 @@ from .document import Plan, Style, feature_fields, label_template, replaced
 from .properties import SPECS, at_two_zooms, resolve
 from .ramps import elevation_stops
 from .registry import query
-from .tables import _PLACES, _tile_sql, places, table
+from .tables import _PLACES, _tile_sql, dealt, places, table
 
 
 def _features(spark, sf) -> DataFrame:
@@ -384,7 +384,7 @@ def rings_classified(spark, sf):
 
     n = (F.col("p_size") + 20).cast("double")
     rings = F.array(square(F.lit(0.0), n, False), square(F.lit(1.0), F.lit(2.0), True), square(F.lit(4.0), F.lit(5.0), True), square(n * 2, n, False))
-    d = table(spark, sf, "part").select("p_partkey", geometry.classified_column(rings, 1).alias("g"))
+    d = dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", geometry.classified_column(rings, 1).alias("g"))
     return d.select("p_partkey", F.size("g").alias("polygons"), F.size(F.col("g")[0]).alias("first_rings"), F.size(F.col("g")[1]).alias("last_rings"))
 
 
