@@ -19,7 +19,7 @@ from . import box_query
 from .document import Plan, Style, label_template
 from .ramps import bake
 from .registry import ORACLES, QUERIES, query
-from .tables import _PLACES, _tile_sql, places, table, tile_assign
+from .tables import _PLACES, _tile_sql, dealt, places, table, tile_assign
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -624,14 +624,14 @@ def ring_area_length(spark, sf):
 
 @query("clip_rings", f"SELECT c_custkey, (least(lon + r, 90) - greatest(lon - r, -90)) * (least(lat + r, 45) - greatest(lat - r, -45)) AS area FROM (SELECT *, (c_custkey % 7 + 1)::DOUBLE AS r FROM {_PLACES}) WHERE lon + r > -90 AND lon - r < 90 AND lat + r > -45 AND lat - r < 45")
 def clip_rings(spark, sf):
-    c = _shapes(spark, sf).select("c_custkey", geometry.clip_rings_column(F.array("ring"), -90.0, -45.0, 90.0, 45.0).alias("rings"))
+    c = dealt(_shapes(spark, sf), "c_custkey").select("c_custkey", geometry.clip_rings_column(F.array("ring"), -90.0, -45.0, 90.0, 45.0).alias("rings"))
     return c.where(F.size("rings") > 0).select("c_custkey", geometry.signed_area(F.col("rings")[0]).alias("area")).where("area > 0")
 
 
 @query("label_point", f"SELECT c_custkey, lon AS x, lat AS y FROM {_PLACES}")
 def label_point(spark, sf):
     p = geometry.label_point_column(F.array("ring"), 0.1)
-    return _shapes(spark, sf).select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"))
+    return dealt(_shapes(spark, sf), "c_custkey").select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.x", 1).alias("x"), F.round("p.y", 1).alias("y"))
 
 
 @query("label_text", "SELECT c_custkey, c_name || ' (' || c_mktsegment || ') {open' AS label FROM customer")
