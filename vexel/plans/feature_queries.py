@@ -305,7 +305,7 @@ def _squares(spark, sf) -> DataFrame:
     def square(o, s):
         return F.array(*[F.struct((o + s * i).alias("x"), (o + s * j).alias("y")) for i, j in [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]])
 
-    return table(spark, sf, "part").select("p_partkey", F.array(square(a, n), square(a + 1, n)).alias("rings"))
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.array(square(a, n), square(a + 1, n)).alias("rings"))
 
 
 @query("polygon_cells", "SELECT DISTINCT p_partkey, x::BIGINT AS x, y::BIGINT AS y FROM (SELECT p_partkey, p_partkey % 20 + r AS o, p_size % 7 + 1 AS n FROM part, (SELECT unnest([0, 1]) AS r)), (SELECT unnest(range(30)) AS x), (SELECT unnest(range(30)) AS y) WHERE x BETWEEN o AND o + n AND y BETWEEN o AND o + n")
