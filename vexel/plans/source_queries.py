@@ -18,7 +18,7 @@ from ..sources import annotations, dem, geojson, mvt, pmtiles, sheets, urls
 from ..sources.protobuf import put
 from ..spatial import geometry, projection
 from .registry import query
-from .tables import _PLACES, _tile_sql, places, table, tile_assign
+from .tables import _PLACES, _tile_sql, dealt, places, table, tile_assign
 
 _POINT = "struct<x:double,y:double>"
 
@@ -167,7 +167,7 @@ def geojson_wound(spark, sf):
     turned = ring(F.lit(0), n, True)
     rings = F.when(F.col("p_partkey") % 3 == 0, F.concat(outer, F.lit(","), hole)).when(F.col("p_partkey") % 3 == 1, F.concat(hole, F.lit(","), turned)).otherwise(F.concat(turned, F.lit(","), hole))
     doc = F.concat(F.format_string('{"type":"Feature","id":%d,"properties":null,"geometry":{"type":"Polygon","coordinates":[', "p_partkey"), rings, F.lit("]}}"))
-    rows = geojson.features(table(spark, sf, "part").where("p_size > 0").select(doc.alias("doc")), wind=True)
+    rows = geojson.features(dealt(table(spark, sf, "part").where("p_size > 0").select("p_partkey", "p_size"), "p_partkey").select(doc.alias("doc")), wind=True)
     areas = F.transform(F.flatten("geom"), geometry.signed_area)
     return rows.select(F.try_variant_get("id", "$", "long").alias("id"), (F.abs(areas[0]) > F.abs(areas[1])).alias("outer_first"), F.abs(areas[0] + areas[1]).alias("area"))
 

@@ -27,10 +27,9 @@ def features(docs: DataFrame, wind: bool = False, on_error: str = "fail") -> Dat
     kind = _text(F.col("v"), "$.type")
     one = F.array(F.when(kind == "Feature", F.col("v")).otherwise(_wrapped(F.col("v"))))
     many = F.coalesce(F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")), F.when(kind != "FeatureCollection", one))
-    bad_document = kind.isNull() | many.isNull()
-    many = F.when(bad_document, F.array(F.col("v"))).otherwise(many)
     # what is carried past the unfolding is made before it, else each feature's row holds its whole document
-    d = d.select("source_index", bad_document.alias("bad"), many.alias("many"))
+    d = d.select("source_index", "v", many.alias("many"))
+    d = d.select("source_index", F.col("many").isNull().alias("bad"), F.coalesce("many", F.array("v")).alias("many"))
     f = d.select("source_index", "bad", F.posexplode("many").alias("feature_index", "f"))
     g = F.try_variant_get("f", "$.geometry", "variant")
     gtype = _text(g, "$.type")
