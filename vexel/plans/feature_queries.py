@@ -327,7 +327,7 @@ def polygon_tiles(spark, sf):
 def _walks(spark, sf) -> DataFrame:
     """Parts as lines that go east in steps of 10, up and down."""
     line = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 10.0).alias("x"), F.when(i % 2 == 0, F.col("p_size").cast("double")).otherwise(0.0).alias("y")))
-    return table(spark, sf, "part").select("p_partkey", "p_size", line.alias("line"))
+    return dealt(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "p_size", line.alias("line"))
 
 
 @query("clip_points", "SELECT p_partkey, 4::INT AS n FROM part")
