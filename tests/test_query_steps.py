@@ -93,6 +93,7 @@ def test_cluster_tile_features_of_repeated_positions(spark, tables):
 
 #: Queries whose rows a Python kernel takes one by one, and their rows on the small tables.
 KERNELS = {
+    "clip_lines_apart": 600,
     "line_anchors_turning": 120,
     "clip_lines_measured": 120,
     "line_anchors": 480,
