@@ -113,3 +113,29 @@ def test_kernels_get_rows_dealt_out(spark, tables, name):
     python = [at for at, line in enumerate(plan.splitlines()) if "ArrowEvalPython" in line]
     assert python and any("REPARTITION_BY_NUM" in line for line in plan.splitlines()[python[-1] :])
     assert agrees(spark, tables, name) == KERNELS[name]
+
+
+class Taken(Exception):
+    """A function given to Arrow workers, taken in place of running it."""
+
+
+class Taking:
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        raise Taken(f)
+
+
+def test_decoded_tiles_leave_in_batches(spark, tables):
+    """Tiles of one batch of input aren't decoded all at once."""
+    from vexel.sources import mvt
+
+    with pytest.raises(Taken) as taken:
+        mvt.features(Taking())
+    tile = mvt.encode([{"name": "a", "features": [{"id": i, "type": "LineString", "geom": [[(0, i), (3, 4)]], "props": {"n": float(i)}} for i in range(5000)]}])
+    batch = pa.RecordBatch.from_pydict({"z": [1, 1], "x": [0, 1], "y": [0, 0], "data": [tile, tile]})
+    out = list(taken.value.args[0](iter([batch])))
+    assert max(b.num_rows for b in out) < 5000 and sum(b.num_rows for b in out) == 10_000
+    assert out[-1].to_pylist()[-1] == {"z": 1, "x": 1, "y": 0, "source_layer": "a", "extent": 4096, "feature_index": 4999, "id": 4999, "geom_type": "LineString", "geom": [[[{"x": 0.0, "y": 4999.0}, {"x": 3.0, "y": 4.0}]]], "props_json": '{"n": 4999.0}', "error": None}
+    assert agrees(spark, tables, "mvt_lines") == 120
