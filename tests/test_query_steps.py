@@ -139,3 +139,18 @@ def test_decoded_tiles_leave_in_batches(spark, tables):
     assert max(b.num_rows for b in out) < 5000 and sum(b.num_rows for b in out) == 10_000
     assert out[-1].to_pylist()[-1] == {"z": 1, "x": 1, "y": 0, "source_layer": "a", "extent": 4096, "feature_index": 4999, "id": 4999, "geom_type": "LineString", "geom": [[[{"x": 0.0, "y": 4999.0}, {"x": 3.0, "y": 4.0}]]], "props_json": '{"n": 4999.0}', "error": None}
     assert agrees(spark, tables, "mvt_lines") == 120
+
+
+def test_tiles_are_built_in_batches(spark, tables, monkeypatch):
+    """Layers in order, features in theirs, over bounds of batches."""
+    from vexel.sources import mvt
+
+    monkeypatch.setattr(mvt, "FEATURE_ROWS", 7)
+    with pytest.raises(Taken) as taken:
+        mvt.build(type("Grouped", (), {"groupBy": lambda self, *_: self, "applyInArrow": Taking.mapInArrow})())
+    rows = [{"z": 2, "x": 1, "y": 3, "source_layer": "ba"[i % 2], "feature_index": 99 - i, "id": i, "geom_type": "Polygon", "geom": [[[{"x": float(a), "y": float(b)} for a, b in ((0, 0), (i, 0), (i, 9), (0, 0))]]], "props_json": '{"n": %d}' % (i % 3)} for i in range(50)]
+    layers = mvt.decode(taken.value.args[0](pa.Table.from_pylist(rows))["data"][0].as_py())
+    assert [x["name"] for x in layers] == ["a", "b"]
+    assert [f["id"] for x in layers for f in x["features"]] == [*range(49, 0, -2), *range(48, -1, -2)]
+    assert layers[0]["features"][0] == {"id": 49, "type": "Polygon", "geom": [[(0, 0), (49, 0), (49, 9), (0, 0)]], "props": {"n": 1.0}}
+    assert agrees(spark, tables, "mvt_polygons") == 120
