@@ -154,3 +154,21 @@ def test_tiles_are_built_in_batches(spark, tables, monkeypatch):
     assert [f["id"] for x in layers for f in x["features"]] == [*range(49, 0, -2), *range(48, -1, -2)]
     assert layers[0]["features"][0] == {"id": 49, "type": "Polygon", "geom": [[(0, 0), (49, 0), (49, 9), (0, 0)]], "props": {"n": 1.0}}
     assert agrees(spark, tables, "mvt_polygons") == 120
+
+
+def test_captures_are_joined_from_pieces(spark, tables, monkeypatch):
+    """The same bytes as encode() makes, without a log's records as objects in one task; records leave in batches."""
+    from vexel.sources import capture
+
+    rows = [(f"log-{i % 3}", i * 37 % 1000, i * 90_000_017 % (1 << 32), None if i % 5 == 0 else b"r" * (i % 300), None if i % 7 == 0 else bytes([i % 256, 0, 255])) for i in range(1000)]
+    got = capture.write(spark.createDataFrame(rows, "name string, seq long, kind long, record binary, payload binary"))
+    assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {f"log-{n}": capture.encode([(k, r or b"", p or b"") for name, _, k, r, p in sorted(rows, key=lambda r: r[1]) if name == f"log-{n}"]) for n in range(3)}
+    data = {r.name: bytes(r.data) for r in got.collect()}
+    assert data == want
+    monkeypatch.setattr(capture, "RECORD_ROWS", 100)
+    with pytest.raises(Taken) as taken:
+        capture.read(Taking())
+    out = list(taken.value.args[0](iter([pa.RecordBatch.from_pydict({"name": list(data), "data": list(data.values())})])))
+    assert max(b.num_rows for b in out) == 100 and sum(b.num_rows for b in out) == 1000
+    assert [r["seq"] for b in out for r in b.to_pylist() if r["name"] == "log-1"] == [*range(333)]
