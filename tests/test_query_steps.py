@@ -172,3 +172,14 @@ def test_captures_are_joined_from_pieces(spark, tables, monkeypatch):
     out = list(taken.value.args[0](iter([pa.RecordBatch.from_pydict({"name": list(data), "data": list(data.values())})])))
     assert max(b.num_rows for b in out) == 100 and sum(b.num_rows for b in out) == 1000
     assert [r["seq"] for b in out for r in b.to_pylist() if r["name"] == "log-1"] == [*range(333)]
+
+
+def test_glyph_ranges_unfold_ranges(spark):
+    """A row for each range of a text, not for each of its characters."""
+    from vexel.operators import labels
+
+    texts = {"a": ["plain", "", None, "\x00\x7fÿ"], "b": ["Ā wide 東京 東", "😀"], "c": ["漢字"], "d": [""]}
+    got = labels.glyph_ranges(spark.createDataFrame([(k, t) for k, v in texts.items() for t in v], "stack string, text string"))
+    assert "Generate explode(array_distinct(" in got._jdf.queryExecution().executedPlan().toString()
+    want = {(k, ord(c) // 256) for k, v in texts.items() for t in v for c in t or ""}
+    assert sorted((r.stack, r.range) for r in got.collect()) == sorted(want)

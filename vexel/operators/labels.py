@@ -328,10 +328,12 @@ def shelf_pack(sizes: list[tuple[int, int]], width: int, height: int) -> list[tu
 
 def glyph_ranges(texts: DataFrame) -> DataFrame:
     """texts (stack, text) to the distinct ranges of 256 code points that each font stack needs."""
-    c = F.explode(F.split("text", "")).alias("c")
-    chars = texts.select("stack", c).where("c != ''").distinct()
-    point = F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("int")
-    return chars.select("stack", F.floor(point / 256).cast("int").alias("range")).distinct()
+    # most characters are of the first range: what is left without them is short, and each is looked at once a text
+    rest = texts.select("stack", "text", F.regexp_replace("text", r"[\x00-\xFF]+", "").alias("rest"))
+    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+    others = F.transform(F.filter(F.array_distinct(F.split("rest", "")), lambda c: c != ""), lambda c: F.floor(point(c) / 256).cast("int"))
+    first = F.when(F.length("rest") < F.length("text"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return rest.select("stack", F.explode(F.array_distinct(F.concat(first, others))).alias("range")).distinct()
 
 
 def owed(needed: DataFrame, loaded: DataFrame) -> DataFrame:
