@@ -183,3 +183,10 @@ def test_glyph_ranges_unfold_ranges(spark):
     assert "Generate explode(array_distinct(" in got._jdf.queryExecution().executedPlan().toString()
     want = {(k, ord(c) // 256) for k, v in texts.items() for t in v for c in t or ""}
     assert sorted((r.stack, r.range) for r in got.collect()) == sorted(want)
+
+
+def test_glyphs_covered_by_ranges(spark, tables):
+    pq.write_table(pa.table({"lang": ["en", "en", "ja", "xx"], "text": ["aé", "Ā", "a東", None]}), f"{tables}/documents.parquet")
+    plan = e.queries()["glyphs_covered"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(array_distinct(" in plan
+    assert agrees(spark, tables, "glyphs_covered") == 2
