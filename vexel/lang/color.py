@@ -92,11 +92,10 @@ def struct_of(r: Column, g: Column, b: Column, a: Column) -> Column:
 def parsed(text: Column) -> Column:
     """A column of CSS texts (names, hex, rgb and hsl notation) as colors; null for what isn't one. The text is bound to a
     variable, so that what makes it is evaluated once."""
-    return F.get(F.transform(F.array(text), _parsed), F.lit(0))
+    return F.get(F.transform(F.array(F.lower(F.trim(text))), _parsed), F.lit(0))
 
 
-def _parsed(text: Column) -> Column:
-    t = F.lower(F.trim(text))
+def _parsed(t: Column) -> Column:
     pairs = [x for name, n in NAMED.items() for x in (F.lit(name), F.lit(n))]
     number = F.try_element_at(F.create_map(*pairs), t)
     long = F.when(F.length(t).isin(4, 5), F.regexp_replace(t, "([0-9a-f])", "$1$1")).otherwise(t)

@@ -222,6 +222,7 @@ _read("expr_match_labels", {"v": ["match", ["get", "segment"], ["BUILDING", "MAC
 def expr_to_color(spark, sf):
     """Texts of colors and arrays of channels as colors; what is neither is an error."""
     df, fields = _canonical(spark, sf)
+    df = dealt(df.select("c_custkey", "props"), "c_custkey")
     written = ["match", ["%", ["number", ["at", 0, ["array", ["get", "pair"]]]], 4], 0, "rgba(255, 0, 0, 0.5)", 1, "lime", 2, "#102030", "no color"]
     v = compile_expression(["to-color", written], fields)
     return df.select("c_custkey", F.when(v.ok, v.col).alias("c")).select("c_custkey", F.col("c.r").alias("r"), F.col("c.a").alias("a"))
