@@ -190,3 +190,31 @@ def test_glyphs_covered_by_ranges(spark, tables):
     plan = e.queries()["glyphs_covered"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(array_distinct(" in plan
     assert agrees(spark, tables, "glyphs_covered") == 2
+
+
+def test_colors_get_rows_dealt_out(spark, tables):
+    """What makes a color's text and reads it takes long for a row: all cores share a table of one row group."""
+    plan = e.queries()["expr_to_color"](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("lower(") <= 4
+    assert agrees(spark, tables, "expr_to_color") == 300
+
+
+def test_bezier_is_found_once(spark):
+    """A curve's parameter is found once a row, and is what halving an interval of two ends gives."""
+    from vexel.lang.compiler import compile_expression
+    from vexel.lang.values import Fields
+
+    df = spark.range(-5, 62).selectExpr("case when id < 61 then cast(id as double) end as x")
+    v = compile_expression(["interpolate", ["cubic-bezier", 0.42, 0, 0.58, 1], ["number", ["get", "x"], 7], 0, 0, 50, 1], Fields.of(df))
+    rows = df.select("x", v.col.alias("v"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("aggregate(") == 1
+
+    def at(t, a, b):
+        return ((1 - 3 * b + 3 * a) * t + (3 * b - 6 * a)) * t * t + 3 * a * t
+
+    for r in rows.collect():
+        x, low, high = (7.0 if r.x is None else r.x) / 50, 0.0, 1.0
+        for _ in range(30):
+            middle = (low + high) / 2
+            low, high = (middle, high) if at(middle, 0.42, 0.58) < x else (low, middle)
+        assert r.v == (0.0 if x <= 0 else 1.0 if x >= 1 else at((low + high) / 2, 0.0, 1.0))

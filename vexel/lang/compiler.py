@@ -184,12 +184,19 @@ class Compiler:
         for k in range(len(at) - 1):
             t = factor(x.col, base, at[k], at[k + 1])
             if kind == "cubic-bezier":
-                t = bezier(t, *controls)
+                out = self._bent(values[k], values[k + 1], bezier(t, *controls))
+            else:
+                out = mixed(values[k], values[k + 1], t)
             tests.append(x.col < at[k + 1])
-            ladder.append(mixed(values[k], values[k + 1], t))
+            ladder.append(out)
         v = self._ladder(tests, [*ladder, values[-1]])
         return replace(v, ok=all_ok(x.ok, v.ok)).with_deps(x)
 
+    @staticmethod
+    def _bent(a: Val, b: Val, t: Column) -> Val:
+        """mixed(a, b, t) with t bound to a variable, so that it is found once."""
+        return replace(mixed(a, b, t), col=F.get(F.transform(F.array(t), lambda s: mixed(a, b, s).col), F.lit(0)))
+
     @staticmethod
     def _interpolatable(v: Val, others: list[Val]) -> Val:
         if any(o.kind == "color" for o in others) or v.kind == "string" and v.const is not ABSENT:

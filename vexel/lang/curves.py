@@ -50,14 +50,17 @@ def bezier(x: Column, x1: float, y1: float, x2: float, y2: float, rounds: int =
     def at(t: Column, a: float, b: float) -> Column:
         return ((1 - 3 * b + 3 * a) * t + (3 * b - 6 * a)) * t * t + 3 * a * t
 
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["low"] + s["high"]) / 2
-        below = at(middle, x1, x2) < s["x"]
-        return F.struct(F.when(below, middle).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(middle).alias("high"), s["x"].alias("x"))
-
-    def height(s: Column) -> Column:
-        return F.when(s["x"] <= 0, F.lit(0.0)).when(s["x"] >= 1, F.lit(1.0)).otherwise(at((s["low"] + s["high"]) / 2, y1, y2))
-
-    # x goes along in the state, so that what makes it is evaluated once
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), x.alias("x"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve, height)
+    def halve(low: Column, half: Column) -> Column:
+        # what is halved ends at low + 2 * half: all of these numbers are whole parts of 2^-30, so sums are exact
+        return F.when(at(low + half, x1, x2) < bound, low + half).otherwise(low)
+
+    def height(x: Column) -> Column:
+        nonlocal bound
+        bound = x
+        halves = F.array(*[F.lit(2.0**-i) for i in range(1, rounds + 1)])
+        found = F.aggregate(halves, F.lit(0.0), halve, lambda low: at(low + 2.0 ** -(rounds + 1), y1, y2))
+        return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(found)
+
+    # x is bound to a variable, so that what makes it is evaluated once
+    bound = x
+    return F.get(F.transform(F.array(x), height), F.lit(0))
